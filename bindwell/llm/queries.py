@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bindwell.llm.chat import format_conversations, read_back
 from bindwell.llm.decontam import decontaminate
 from bindwell.llm.dedup_exact import exact_dedup
+from bindwell.llm.jaccard import jaccard_join
 from bindwell.llm.langid import identify, train
 from bindwell.llm.license_scan import scan_licenses
 from bindwell.llm.packing import pack
@@ -35,6 +36,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -74,6 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
@@ -82,6 +88,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i : i + least(5, len(words)) - 1], ' ') as s
+  from (select doc_id, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.reach = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.reach) as component_id
+from documents d join r using (doc_id) left join n using (doc_id) group by d.doc_id, n.n""",
     "op5_exact_dedup": r"""
 with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 g as (select norm, first(doc_id order by length(text) desc, doc_id) as keep_id, count(*) as group_size from t group by norm)
