@@ -13,6 +13,7 @@ from bindwell.llm.jaccard import jaccard_join
 from bindwell.llm.langid import identify, train
 from bindwell.llm.license_scan import scan_licenses
 from bindwell.llm.packing import pack
+from bindwell.llm.substring import substring_dedup
 from bindwell.llm.tokenbin import token_file_digest
 
 
@@ -72,6 +73,10 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_token_planes": op7_token_planes,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -102,6 +108,16 @@ from documents d join r using (doc_id) left join n using (doc_id) group by d.doc
 with t as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 g as (select norm, first(doc_id order by length(text) desc, doc_id) as keep_id, count(*) as group_size from t group by norm)
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256 from t join g using (norm)""",
+    "op9_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+k as (select doc_id, i, array_to_string(words[i : i + 12], ' ') as win from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) >= 13)),
+f as (select win, min(doc_id) as least from k group by win),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from k join f using (win) where least < doc_id),
+n as (select doc_id, count(*) as n_removed from gone group by doc_id),
+u as (select doc_id, unnest(range(1, len(words) + 1)) as i, unnest(words) as word from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as kept from u anti join gone using (doc_id, i) group by doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join n using (doc_id) left join kept using (doc_id)""",
     "op10_decontamination": r"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
