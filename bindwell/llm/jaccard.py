@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindwell.llm.graph import components
-from bindwell.llm.store import cut, fresh_path
+from bindwell.llm.store import bounded, cut, fresh_path
 from bindwell.llm.text import SPACED, U64, Words, map_texts, mix
 
 SKETCH_BITS = 512
 #: Members of a key's group that are compared with each other in one piece of work.
 CELL = 512
-#: Ids of which a broadcast is made at most (16 MB); beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
 
 
 class Rule:
@@ -172,18 +170,13 @@ def _groups(features: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, hub long")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A stored one-column id table, marked for broadcast only when it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def _sketch_filter(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, na, sa, b, nb, sb) whose sizes and sketches allow a link."""
 
     @F.pandas_udf("boolean")
     def near(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(sa), np.uint64).reshape(-1, SKETCH_BITS // 64)
-        y = np.frombuffer(b"".join(sb), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        x = np.frombuffer(b"".join(sa), np.uint64).reshape(len(sa), -1)
+        y = np.frombuffer(b"".join(sb), np.uint64).reshape(len(sb), -1)
         return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= rule.differences((na + nb).to_numpy()))
 
     sizes = F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num
@@ -195,7 +188,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, siz
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     wanted = cut(pairs.select(F.col("a").alias("__wanted")).union(pairs.select("b")).distinct())
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    mine = mine.join(_bounded(wanted), F.col("id") == F.col("__wanted"), "left_semi")
+    mine = mine.join(bounded(wanted), F.col("id") == F.col("__wanted"), "left_semi")
 
     def run(batch):
         words = Words(batch.column(1), SPACED, lower=True)
@@ -242,7 +235,7 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
         left = cell if one else cell[cell["piece"] == cell["i"].iat[0]]
         right = cell if one else cell[cell["piece"] == cell["j"].iat[0]]
         la, lb = left["n"].to_numpy(), right["n"].to_numpy()
-        sa, sb = (np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(-1, SKETCH_BITS // 64) for s in (left, right))
+        sa, sb = (np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), -1) for s in (left, right))
         ca, cb, ia, ib = left["component"].to_numpy(), right["component"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
         for k in range(len(la)):
             low, high = np.minimum(la[k], lb), np.maximum(la[k], lb)
@@ -274,29 +267,33 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def links_and_components(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Features (id, n) of every row, and (node, component) of the documents with links."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "jaccard")
-    _features(docs, id_col, text_col, size, rule).write.parquet(path)
-    features = spark.read.parquet(path)
+def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
+    """(node, component) of the nodes with links, from stored ``features`` (id, n, sketch, keys).
+
+    ``verify`` turns candidate pairs (a, b) into the pairs that are links.
+    """
     groups = cut(_groups(features))
     stars = cut(groups.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     light = features.where("id is not null").select("id", "n", "sketch")
     ends = [light.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-    near = _sketch_filter(stars.join(ends[0], "a").join(ends[1], "b"), rule)
-    links = _verified(docs, id_col, text_col, near, size, rule)
+    links = verify(_sketch_filter(stars.join(ends[0], "a").join(ends[1], "b"), rule))
     found = cut(components(links))
     # what is left: keys whose members are not all in one component
     labelled = groups.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
     labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("component")).distinct())
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     members = labelled.join(cut(mixed), "key", "left_semi").join(light.dropDuplicates(["id"]), "id")
-    more = _cells(members, rule)
-    new = _verified(docs, id_col, text_col, more.join(stars, ["a", "b"], "left_anti"), size, rule)
-    if new.isEmpty():
-        return features.select("id", "n"), found
-    return features.select("id", "n"), cut(components(links.union(new)))
+    new = verify(_cells(members, rule).join(stars, ["a", "b"], "left_anti"))
+    return found if new.isEmpty() else cut(components(links.union(new)))
+
+
+def links_and_components(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Features (id, n) of every row, and (node, component) of the documents with links."""
+    path = fresh_path(docs.sparkSession, "jaccard")
+    _features(docs, id_col, text_col, size, rule).write.parquet(path)
+    features = docs.sparkSession.read.parquet(path)
+    found = linked_components(features, rule, lambda pairs: _verified(docs, id_col, text_col, pairs, size, rule))
+    return features.select("id", "n"), found
 
 
 def jaccard_join(

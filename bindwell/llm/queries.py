@@ -12,6 +12,7 @@ from bindwell.llm.dedup_exact import exact_dedup
 from bindwell.llm.jaccard import jaccard_join
 from bindwell.llm.langid import identify, train
 from bindwell.llm.license_scan import scan_licenses
+from bindwell.llm.line_dedup import line_dedup
 from bindwell.llm.packing import pack
 from bindwell.llm.substring import substring_dedup
 from bindwell.llm.tokenbin import token_file_digest
@@ -73,6 +74,11 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_token_planes": op7_token_planes,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }

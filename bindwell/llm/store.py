@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids of which a broadcast is made at most (16 MB); beyond, the join is shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast only if it is counted to be small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindwell.llm.fmindex import FMIndex
-from bindwell.llm.store import cut
+from bindwell.llm.store import bounded, cut
 from bindwell.llm.text import SPACED, U64, Words, map_texts
 
 ANCHOR = 5
 #: Words of an index and places of a task's portion.
 INDEX_WORDS, INDEX_PLACES = 1_000_000, 200_000
-#: Ids of which a broadcast is made at most (16 MB); beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,14 +104,10 @@ def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
     return ordered.mapInArrow(run, "key long, id long, place long, hot boolean").where("place >= 0")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def _with_text(docs: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
     """Documents that have a list, with it. Others' texts are not moved while the ids are few."""
     ids = cut(lists.select(F.col(keys[0]).alias("__id")).distinct())
-    some = docs.join(_bounded(ids), docs[keys[0]] == F.col("__id"), "left_semi")
+    some = docs.join(bounded(ids), docs[keys[0]] == F.col("__id"), "left_semi")
     return some.join(lists, keys)
 
 
