@@ -8,23 +8,45 @@ from pyspark.sql import functions as F
 
 from bindwell.llm.decontam import decontaminate
 from bindwell.llm.dedup_exact import exact_dedup
+from bindwell.llm.jaccard import jaccard_join
+from bindwell.llm.langid import UNKNOWN, identify, train
 from bindwell.llm.packing import pack
-from bindwell.llm.store import fresh_path
+from bindwell.llm.queries import held_out
+from bindwell.llm.store import bounded, cut, fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Calibrated probability below which a text is in none of the learnt languages.
+LEAST_SCORE = 0.5
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped``; texts are not moved while those are few."""
+    ids = bounded(cut(dropped.select(F.col("doc_id").alias("_dropped")).distinct()))
+    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti").select(COLUMNS)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters or in no learnt language go."""
+    model = train(docs, ~F.coalesce(held_out(), F.lit(False)))
+    judged = identify(docs, model, carry=tuple(COLUMNS[1:]))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(COLUMNS)
+    judged = cut(exact_dedup(docs).select("doc_id", "kept"))
+    return without(docs, judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each linked group stays."""
+    return without(docs, jaccard_join(docs).where("doc_id <> component_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(COLUMNS)
+    """Documents of which a twentieth or more is benchmark text go."""
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(COLUMNS[1:]))
+    return judged.where("not contaminated").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +54,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact), ("decontamination", uncontaminated), ("packing", packed)]
+STAGES = [
+    ("language id", known_language),
+    ("exact dedup", exact),
+    ("n-gram jaccard join", near),
+    ("benchmark decontamination", uncontaminated),
+    ("best-fit packing", packed),
+]
 
 #: SQL can't express language identification or tokenisation.
 ORACLE_SQL = None
