@@ -1,4 +1,8 @@
 """Names of all queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from bindwell.plans import state
+
+QUERIES: dict = {**state.QUERIES}
+ORACLES: dict = {**state.ORACLES}
