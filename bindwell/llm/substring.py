@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,8 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
     """(id, place, hot) of the anchors with two places or more; ``hot`` from the place ``most`` on."""
 
-    def emit(key, ident, place, count):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(place), pa.array(count > most)], names=["key", "id", "place", "hot"])
+    def emit(ident, place, count):
+        return pa.RecordBatch.from_arrays([pa.array(ident), pa.array(place), pa.array(count > most)], names=["id", "place", "hot"])
 
     def run(batches):
         key, ident, place = (np.empty(0, np.int64) for _ in range(3))
@@ -86,10 +87,9 @@ def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
             size = np.repeat(count, count)
             end = first[-1] if count[-1] <= most else len(key)
             keep = np.flatnonzero(size[:end] > 1)
-            yield emit(key[keep], ident[keep], place[keep], size[keep])
+            yield emit(ident[keep], place[keep], size[keep])
             if end == len(key):  # the rest of a hot key goes on as hot
                 hot_key = key[-1]
-                key, ident, place = (a[:0] for a in (key, ident, place))
                 key, ident, place = np.array([hot_key] * (most + 1)), np.full(most + 1, -1), np.full(most + 1, -1)
             else:
                 key, ident, place = key[end:], ident[end:], place[end:]
@@ -98,51 +98,70 @@ def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
             count = np.diff(np.append(first, len(key)))
             size = np.repeat(count, count)
             keep = np.flatnonzero(size > 1)
-            yield emit(key[keep], ident[keep], place[keep], size[keep])
+            yield emit(ident[keep], place[keep], size[keep])
 
     ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "key long, id long, place long, hot boolean").where("place >= 0")
+    return ordered.mapInArrow(run, "id long, place long, hot boolean").where("place >= 0")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, th, packed): texts as zstandard frames, for the way through a shuffle."""
+
+    def run(batch):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        packed = pa.array([pack(x.as_buffer()) for x in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["id", "th", "packed"])
+
+    return map_texts(docs, ["id", "th", "text"], run, "id long, th long, packed binary")
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x.as_buffer()) for x in column], pa.binary()).cast(pa.string())
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
     """Documents that have a list, with it. Others' texts are not moved while the ids are few."""
-    ids = cut(lists.select(F.col(keys[0]).alias("__id")).distinct())
-    some = docs.join(bounded(ids), docs[keys[0]] == F.col("__id"), "left_semi")
-    return some.join(lists, keys)
+    ids = cut(lists.select(F.col("id").alias("__id")).distinct())
+    some = docs.join(bounded(ids), docs["id"] == F.col("__id"), "left_semi")
+    return _packed(some).join(lists, keys)
 
 
-def _segments(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """(key, id, th, start, words, hot): the words of repeated segments; hot ones window by window."""
-    lists = repeated.groupBy("id").agg(F.collect_list(F.struct("key", "place", "hot")).alias("list"))
+def _segments(docs: DataFrame, repeated: DataFrame, window: int, single: bool) -> DataFrame:
+    """(key, id, th, start, words): the words of repeated segments, by anchor.
+
+    With ``single`` (id, th, key, start) of each of their windows, the key being the window's own hash.
+    """
+    lists = repeated.groupBy("id").agg(F.collect_list("place").alias("list"))
 
     def run(batch):
-        words = Words(batch.column(batch.num_columns - 1), SPACED, lower=False)
-        lists = batch.column(2)
-        offsets = lists.offsets.to_numpy()
-        entries = lists.values
-        key, place, hot = (entries.field(k).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for k in range(3))
+        words = Words(_unpacked(batch.column(3)), SPACED, lower=False)
+        at, count, key = anchors(words, window)
+        own = words.row[at]
+        offsets = batch.column(2).offsets.to_numpy()
+        wanted = batch.column(2).values.to_numpy()[offsets[0] : offsets[-1]]
         row = np.repeat(np.arange(words.rows), np.diff(offsets))
-        start, count = place >> 4, place & 15
-        fits = start + count + window - 1 <= words.count[row]  # rows that repeat an id have others' places too
-        key, hot, row, start, count = (a[fits] for a in (key, hot, row, start, count))
-        ids, hashes = batch.column(0), batch.column(1)
-        first = words.first[row] + start
-        cold = np.flatnonzero(~hot)
-        texts = [words.span(int(first[k]), int(count[k]) + window - 1) for k in cold]
-        warm = np.repeat(np.flatnonzero(hot), count[hot])
-        shift = np.arange(len(warm)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
-        whole = words.gram_at(first[warm] + shift, window).view(np.int64)
-        rows = pa.array(np.append(row[cold], row[warm]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(key[cold], whole)), ids.take(rows), hashes.take(rows), pa.array(np.append(start[cold], start[warm] + shift)),
-                pa.array(texts + [None] * len(warm), pa.binary()),
-            ],
-            names=["key", "id", "th", "start", "words"],
-        )
-
-    found = _with_text(docs, lists, ["id"])
-    return map_texts(found, ["id", "th", "list", "text"], run, "key long, id long, th long, start long, words binary")
+        # rows that repeat an id have each other's places too: only a row's own segments count
+        mine = np.stack([own, (at - words.first[own]) * 16 + count], axis=1)
+        keep = np.flatnonzero(_among(mine, np.stack([row, wanted], axis=1)))
+        at, count, key, own = at[keep], count[keep], key[keep], own[keep]
+        if single:
+            shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, own = np.repeat(at, count) + shift, np.repeat(own, count)
+            key = words.gram_at(at, window)
+        columns = [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(at - words.first[own])]
+        if not single:
+            columns.append(pa.array([words.span(int(a), int(n) + window - 1) for a, n in zip(at, count, strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "th", "start", "words"][: len(columns)])
+
+    schema = "key long, id long, th long, start long" + ("" if single else ", words binary")
+    return map_texts(_with_text(docs, lists, ["id"]), ["id", "th", "list", "packed"], run, schema)
+
+
+def _among(pairs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``pairs`` (row, place) are among ``wanted``."""
+    size = int(max(pairs[:, 1].max(initial=0), wanted[:, 1].max(initial=0))) + 1
+    return np.isin(pairs[:, 0] * size + pairs[:, 1], wanted[:, 0] * size + wanted[:, 1])
 
 
 def covered_windows(keys, ids, contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,12 +240,12 @@ def _cold_ranges(segments: DataFrame, window: int) -> DataFrame:
         if held:
             yield ranges(pd.concat(held, ignore_index=True))
 
-    cold = segments.where("words is not null")
-    return cold.repartition("key").sortWithinPartitions("key").mapInPandas(run, "id long, th long, a long, b long")
+    return segments.repartition("key").sortWithinPartitions("key").mapInPandas(run, "id long, th long, a long, b long")
 
 
-def _hot_ranges(segments: DataFrame, window: int) -> DataFrame:
-    hot = segments.where("words is null").select("key", "id", "th", "start")
+def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
+    """(id, th, a, b) of windows grouped one by one; only sums are shuffled with a hot window's key."""
+    hot = cut(hot)
     least = cut(hot.groupBy("key").agg(F.min("id").alias("least")))
     return hot.join(least, "key").where("least < id").select("id", "th", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
 
@@ -249,7 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.count, pa.int64()), pa.array(digests)], names=["id", "th", "n_words", "all"])
 
     def kept(batch):
-        words = Words(batch.column(batch.num_columns - 1), SPACED, lower=False)
+        words = Words(_unpacked(batch.column(3)), SPACED, lower=False)
         offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values
         a, b = (values.field(k).to_numpy()[offsets[0] : offsets[-1]] for k in range(2))
         row = np.repeat(np.arange(words.rows), np.diff(offsets))
@@ -265,11 +284,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests)], names=["id", "th", "n_removed", "rest"])
 
     every = map_texts(mine, ["id", "th", "text"], whole, "id long, th long, n_words long, all string")
-    repeated = _repeated_anchors(_anchor_rows(mine, window), most)
-    segments = cut(_segments(mine, repeated, window))
-    ranges = _cold_ranges(segments, window).unionByName(_hot_ranges(segments, window))
+    repeated = cut(_repeated_anchors(_anchor_rows(mine, window), most))
+    ranges = _cold_ranges(_segments(mine, repeated.where("not hot"), window, single=False), window)
+    hot = repeated.where("hot")
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(_hot_ranges(_segments(mine, hot, window, single=True), window))
     lists = ranges.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("list"))
-    changed = map_texts(_with_text(mine, cut(lists), ["id", "th"]), ["id", "th", "list", "text"], kept, "id long, th long, n_removed long, rest string")
+    changed = map_texts(_with_text(mine, cut(lists), ["id", "th"]), ["id", "th", "list", "packed"], kept, "id long, th long, n_removed long, rest string")
     joined = every.join(changed.distinct(), ["id", "th"], "left")
     return joined.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("rest", "all").alias("kept_sha256")

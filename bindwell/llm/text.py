@@ -48,7 +48,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
-    column = pc.fill_null(column, "")
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))
     if pa.types.is_large_string(column.type):
         kind = np.int64
     else:
