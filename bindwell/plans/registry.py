@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindwell.plans import state
+from bindwell.plans import network, state
 
-QUERIES: dict = {**state.QUERIES}
-ORACLES: dict = {**state.ORACLES}
+QUERIES: dict = {**state.QUERIES, **network.QUERIES}
+ORACLES: dict = {**state.ORACLES, **network.ORACLES}
