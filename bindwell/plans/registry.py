@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindwell.plans import network, state
+from bindwell.plans import ingest, network, state
 
-QUERIES: dict = {**state.QUERIES, **network.QUERIES}
-ORACLES: dict = {**state.ORACLES, **network.ORACLES}
+QUERIES: dict = {**state.QUERIES, **network.QUERIES, **ingest.QUERIES}
+ORACLES: dict = {**state.ORACLES, **network.ORACLES, **ingest.ORACLES}
