@@ -22,6 +22,8 @@ from functools import cache
 
 import numpy as np
 
+from bindwell.llm.text import FORGET
+
 #: Words that a task keeps twice over (recent and older ones) and the longest kept; both bound its memory.
 CACHE_WORDS, CACHE_CORES, CACHE_LENGTH = 250_000, 100_000, 40
 _BETWEEN = re.compile(rb"(?<=[^\x00-\x20]) (?=[^\x00-\x20])")
@@ -161,3 +163,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's encoder, which keeps its words from task to task."""
     return Encoder(path)
+
+
+FORGET.append(encoder.cache_clear)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from bindwell.llm.graph import components
 from bindwell.llm.store import bounded, cut, fresh_path
-from bindwell.llm.text import SPACED, U64, Words, map_texts, mix
+from bindwell.llm.text import SPACED, U64, Words, map_texts, mix, trimmed
 
 SKETCH_BITS = 512
 #: Members of a key's group that are compared with each other in one piece of work.
@@ -167,7 +167,7 @@ def _groups(features: DataFrame) -> DataFrame:
             yield rows_of(key, ident, hub)
 
     rows = features.where("id is not null").select(F.explode("keys").alias("key"), "id")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, hub long")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long")
 
 
 def _sketch_filter(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -264,7 +264,7 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
             yield pd.DataFrame(sorted(set(pairs_of(rest))), columns=["a", "b"], dtype="int64")
 
     ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+    return ordered.mapInPandas(trimmed(run), "a long, b long").distinct()
 
 
 def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:

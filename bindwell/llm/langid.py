@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.text import buffers, portions
+from bindwell.llm.text import buffers, forget, portions, trimmed
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -187,6 +187,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         for batch in batches:
             for part in portions(batch, len(columns) - 1, 1 << 20):
                 names, score = shared.value.predict(part.column(len(columns) - 1))
@@ -194,4 +195,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     [part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), *(part.column(columns.index(c)) for c in carry)], names=schema.names
                 )
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(trimmed(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from bindwell.llm.encode import encoder
 from bindwell.llm.store import cut
-from bindwell.llm.text import buffers, map_texts
+from bindwell.llm.text import buffers, map_texts, trimmed
 
 
 def patterns(lengths: np.ndarray, total: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def piece_table(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
             names=schema.names,
         )
 
-    return map_texts(docs, [id_col, text_col], run, schema)
+    return map_texts(docs, [id_col, text_col], run, schema, caches=True)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_tokens: int = 1024) -> DataFrame:
@@ -200,5 +200,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     fields = list(pieces.schema)
     with_rank = T.StructType([*fields, T.StructField("rank", T.LongType())])
     out = T.StructType([*(f for f in fields if f.name != "part"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    ready = pieces.mapInPandas(ranked, with_rank).join(before, ["part", "length"])
-    return ready.mapInPandas(placed, out).withColumnRenamed("id", id_col)
+    ready = pieces.mapInPandas(trimmed(ranked), with_rank).join(before, ["part", "length"])
+    return ready.mapInPandas(trimmed(placed), out).withColumnRenamed("id", id_col)

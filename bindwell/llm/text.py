@@ -6,7 +6,11 @@ bytes directly: every byte of a non-ASCII character is a word byte under both ru
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +66,42 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batch: pa.RecordBatch, text_index: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: What to call when a worker turns to a task that has no use for the caches of earlier tasks.
+FORGET: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    for clear in FORGET:
+        clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers wait for their next task with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+@cache
+def _libc():
+    name = ctypes.util.find_library("c")
+    libc = ctypes.CDLL(name) if name else None
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def trimmed(function: Callable) -> Callable:
+    """A partition function that trims its worker when it is done."""
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return run
+
+
+def portions(batch: pa.RecordBatch, text_index: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of at most ``most`` text bytes (a longer single text is a slice of its own)."""
     _, offsets = buffers(batch.column(text_index))
     first = 0
@@ -127,16 +166,19 @@ class Words:
         return b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(at, at + n))
 
 
-def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema) -> DataFrame:
+def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema, caches: bool = False) -> DataFrame:
     """Run ``function(batch) -> iterable of batches`` over Arrow slices of bounded text size.
 
     The last of ``columns`` is the text; only ``columns`` are read, so other columns never clash.
+    Unless the function uses ``caches``, a worker lets go of those of earlier tasks first.
     """
     text_index = len(columns) - 1
 
     def run(batches):
+        if not caches:
+            forget()
         for batch in batches:
             for part in portions(batch, text_index):
                 yield from function(part)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(trimmed(run), schema)
