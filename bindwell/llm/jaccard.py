@@ -230,38 +230,38 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
     spread = numbered.join(pieces, "key").select("key", "id", "n", "sketch", "component", "piece", x)
     spread = spread.select("key", F.least("piece", "x").alias("i"), F.greatest("piece", "x").alias("j"), "piece", "id", "n", "sketch", "component")
 
-    def pairs_of(cell: pd.DataFrame):
-        one = cell["i"].iat[0] == cell["j"].iat[0]
-        left = cell if one else cell[cell["piece"] == cell["i"].iat[0]]
-        right = cell if one else cell[cell["piece"] == cell["j"].iat[0]]
-        la, lb = left["n"].to_numpy(), right["n"].to_numpy()
-        sa, sb = (np.frombuffer(b"".join(s["sketch"]), np.uint64).reshape(len(s), -1) for s in (left, right))
-        ca, cb, ia, ib = left["component"].to_numpy(), right["component"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
-        for k in range(len(la)):
-            low, high = np.minimum(la[k], lb), np.maximum(la[k], lb)
-            fit = np.flatnonzero((cb != ca[k]) & (low * rule.den >= high * rule.num))
-            if len(fit):
-                apart = np.bitwise_count(sb[fit] ^ sa[k]).sum(axis=1)
-                fit = fit[apart <= rule.differences(la[k] + lb[fit])]
-                for b in ib[fit]:
-                    if ia[k] != b:
-                        yield (min(ia[k], b), max(ia[k], b))
+    def pairs_of(cells: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
+        """Rows of a cell stand together. Every row meets the row ``apart`` places on, for every such distance in a cell."""
+        n, component, ident, piece = (cells[c].to_numpy() for c in ("n", "component", "id", "piece"))
+        whole = (cells["i"] == cells["j"]).to_numpy()
+        sketch = np.frombuffer(b"".join(cells["sketch"]), np.uint64).reshape(len(cells), -1)
+        ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+        left = ends[np.searchsorted(ends, np.arange(len(cell)), "right")] - np.arange(len(cell)) - 1  # rows of the cell that follow
+        found, x, apart = [], np.flatnonzero(left), 1
+        while len(x):
+            y = x + apart
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fit = (component[x] != component[y]) & (whole[x] | (piece[x] != piece[y])) & (low * rule.den >= high * rule.num)
+            u, v = x[fit], y[fit]
+            close = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1) <= rule.differences(n[u] + n[v])
+            found.append(np.stack([ident[u[close]], ident[v[close]]], axis=1))
+            apart += 1
+            x = x[left[x] >= apart]
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame(pairs[pairs[:, 0] != pairs[:, 1]], columns=["a", "b"])
 
     def run(frames):
         rest = None
         for frame in frames:
             rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             label = rest[["key", "i", "j"]].to_numpy()
-            change = np.flatnonzero((label[1:] != label[:-1]).any(axis=1)) + 1
-            if not len(change):
-                continue
-            found: set = set()
-            for a, b in zip(np.append(0, change), change, strict=False):
-                found.update(pairs_of(rest.iloc[a:b]))
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-            rest = rest.iloc[change[-1] :].reset_index(drop=True)
+            cell = np.append(0, np.cumsum((label[1:] != label[:-1]).any(axis=1)))[: len(rest)]
+            done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
+            if done:
+                yield pairs_of(rest.iloc[:done], cell[:done])
+                rest = rest.iloc[done:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield pd.DataFrame(sorted(set(pairs_of(rest))), columns=["a", "b"], dtype="int64")
+            yield pairs_of(rest, np.zeros(len(rest), np.int64))
 
     ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInPandas(trimmed(run), "a long, b long").distinct()
