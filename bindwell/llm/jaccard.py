@@ -43,6 +43,10 @@ class Rule:
         """Most differing tokens of a pair with ``total`` tokens together: I >= t (a + b) / (1 + t)."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def near(self, x, y, total):
+        """Whether sketches (one row a set) allow a link of the pair with ``total`` tokens together."""
+        return np.bitwise_count(x ^ y).sum(axis=1) <= self.differences(total)
+
     def largest(self, n):
         return n * self.den // self.num
 
@@ -177,7 +181,7 @@ def _sketch_filter(pairs: DataFrame, rule: Rule) -> DataFrame:
     def near(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(sa), np.uint64).reshape(len(sa), -1)
         y = np.frombuffer(b"".join(sb), np.uint64).reshape(len(sb), -1)
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= rule.differences((na + nb).to_numpy()))
+        return pd.Series(rule.near(x, y, (na + nb).to_numpy()))
 
     sizes = F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num
     return pairs.where(sizes).where(near("na", "sa", "nb", "sb")).select("a", "b")
@@ -243,7 +247,7 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
             low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             fit = (component[x] != component[y]) & (whole[x] | (piece[x] != piece[y])) & (low * rule.den >= high * rule.num)
             u, v = x[fit], y[fit]
-            close = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1) <= rule.differences(n[u] + n[v])
+            close = rule.near(sketch[u], sketch[v], n[u] + n[v])
             found.append(np.stack([ident[u[close]], ident[v[close]]], axis=1))
             apart += 1
             x = x[left[x] >= apart]

@@ -417,3 +417,31 @@ def test_line_dedup_finds_edited_long_lines(spark):
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, texts)).collect()}
     edited, other = range(40, 120, 2), [*range(40), *range(41, 120, 2)]
     assert sum(got[k] for k in edited) >= 30 and not any(got[k] for k in other)
+
+
+def edited(rng, line):
+    """The line with one edit: of a letter, a whole word or a space."""
+    words, kind = line.split(), rng.choice(["letter", "word", "drop", "add", "merge", "split"])
+    k = rng.randrange(len(words) - 1)
+    if kind == "letter":
+        words[k] = "z" + words[k][1:]
+    elif kind in ("word", "add"):
+        words[k : k + (kind == "word")] = [letters(rng, 1)]
+    else:
+        words[k : k + 1 + (kind == "merge")] = {"drop": [], "merge": [words[k] + words[k + 1]], "split": [words[k][:1], words[k][1:]]}[kind]
+    return " ".join(words)
+
+
+def test_line_dedup_finds_one_edit_in_lines_of_ordinary_length(spark):
+    """The reference is the edit similarity alone, whatever the candidates."""
+    rng = random.Random(10)
+    pairs = []
+    for n in (10, 12, 15, 20, 30, 50, 100):
+        for _ in range(20):
+            line = letters(rng, n)
+            other = edited(rng, line)
+            if line != other and distance(line, other) <= max(len(line), len(other)) // 10:
+                pairs.append((line, other))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, [x for pair in pairs for x in pair])).collect()}
+    assert len(pairs) > 120 and not any(got[k] for k in range(0, 2 * len(pairs), 2))
+    assert sum(got[k] for k in range(1, 2 * len(pairs), 2)) >= 0.99 * len(pairs)
