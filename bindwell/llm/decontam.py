@@ -10,7 +10,8 @@ shingle: the window's rarest one in the corpus. Two passes over the documents, n
    exactly that many words is then compared whole.
 
 The prefix table is broadcast in blocks of at most ``block_windows`` windows (24 bytes each); a
-larger benchmark takes more passes over the documents, whose hits are then merged by document.
+larger benchmark takes more passes over the documents, which are then stored once with a key for
+each row, by which the passes' hits are merged.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.store import cut
+from bindwell.llm.store import cut, fresh_path
 from bindwell.llm.text import ALNUM, U64, Words, map_texts, portions
 
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 4
 _FILTER = 1 << 20
+#: The key of a stored row.
+_ROW = "__row"
 
 
 @dataclass
@@ -223,8 +226,8 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, windows: Windows, names:
     return map_texts(docs, columns, run, schema)
 
 
-def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Join of several blocks' hits by document id: hit words are those in the union of the ranges."""
+def _merged(parts: list[DataFrame], key: str) -> DataFrame:
+    """Join of several blocks' hits by the key of a row: hit words are those in the union of the ranges."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -237,13 +240,13 @@ def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
             reach = max(reach, b)
         return total
 
-    joined = every.groupBy(id_col).agg(
+    joined = every.groupBy(key).agg(
         F.max("n_words").alias("n_words"),
         covered(F.flatten(F.collect_list("ranges"))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return joined.select(
-        id_col, "n_words", "n_hit",
+        key, "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
@@ -267,22 +270,30 @@ def decontaminate(
     ``window`` consecutive words of an item; a shorter item with words is one window.
     Returns for each row: ``id_col``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``,
     ``contaminated`` (a hit and at least a twentieth of the words hit), then the columns named in
-    ``carry`` (not with a benchmark of more than ``block_windows`` windows: join those by id).
+    ``carry``.
 
     Null or wordless texts have no words and no hits; an item without id or words has no windows;
     items with the same id count once; an empty table or benchmark gives no rows or no hits. Other
-    columns are not read. Rows that repeat an id are judged singly (with a benchmark of more than
-    ``block_windows`` windows, an id's rows are one document).
+    columns are not read. Rows are judged singly, also those without an id or that repeat one. The
+    benchmark's size and ``block_windows`` change the number of passes, never the rows.
     """
-    parts: list[DataFrame] = []
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
     block = next(blocks, [])
     more = next(blocks, None)
+    if more is None:
+        if block:
+            windows, names = _columns(block, window)
+        else:
+            windows, names = Windows(np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty((0, 1), U64)), np.empty(0, object)
+        return _hits(docs, id_col, text_col, windows, names, merge=False, carry=carry)
+    path = fresh_path(docs.sparkSession, "rows")
+    columns = dict.fromkeys((id_col, *carry, text_col))
+    docs.select(F.monotonically_increasing_id().alias(_ROW), *columns).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    parts: list[DataFrame] = []
     while block:
         windows, names = _columns(block, window)
-        parts.append(_hits(docs, id_col, text_col, windows, names, merge=more is not None or bool(parts), carry=() if more or parts else carry))
+        parts.append(_hits(rows, _ROW, text_col, windows, names, merge=True))
         block, more = (more or []), next(blocks, None)
-    if not parts:
-        windows = Windows(np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty((0, 1), U64))
-        return _hits(docs, id_col, text_col, windows, np.empty(0, object), merge=False, carry=carry)
-    return parts[0] if len(parts) == 1 else _merged(parts, id_col)
+    judged = _merged(parts, _ROW).join(rows.select(_ROW, *dict.fromkeys((id_col, *carry))), _ROW)
+    return judged.select(id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *carry)

@@ -191,6 +191,29 @@ def test_decontamination(spark):
     assert decontaminate(table(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_gives_the_same_rows_for_any_benchmark_size(spark):
+    """Null and repeated ids and carried columns, in one pass and in several."""
+    rng = random.Random(4)
+    items = [prose(rng, 20, 300) for _ in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(1, items[0]), (1, prose(rng, 40, 300)), (1, f"a {items[1]} b {items[2]}"), (None, items[2]), (None, items[2]), (None, "x y"), (2, None)]
+    once, often = (decontaminate(table(spark, docs), bench, block_windows=n, carry=("text", "lang", "n")) for n in (1_000_000, 5))
+    assert once.columns == often.columns
+    assert Counter(map(tuple, once.collect())) == Counter(map(tuple, often.collect()))
+    assert often.count() == len(docs) and sum(r["contaminated"] for r in often.collect()) == 4
+
+
+def test_pipeline_stage_with_a_large_benchmark(spark, monkeypatch):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(str, corpus_pipeline.uncontaminated(spark, docs, sf).collect()))
+    many = lambda *args, **kwargs: decontaminate(*args, **kwargs, block_windows=300)
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", many)
+    assert sorted(map(str, corpus_pipeline.uncontaminated(spark, docs, sf).collect())) == want
+
+
 def test_license_scan(spark):
     docs = ["Under the MIT License! x", "released under the MIT licence", "CC-BY NC and Apache License, version 2.0", "cc by nc cc by nc", None, "", "clean words only", "GNU Genral Public License"]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(table(spark, docs)).collect()}
