@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHIFTED, NO_HANDSET, NOT_IN_CATALOGUE = 5, 6, 7
+#: The outcome of a number with too many handsets.
+NOT_ASSESSED = 4
 
 
 def handset_stage(flagged: DataFrame, radio: DataFrame) -> DataFrame:
@@ -68,18 +70,24 @@ def spells(events: DataFrame, snapshot: DataFrame, flagged: DataFrame, as_of: st
     return spell.where(F.col("start").isNotNull() & (F.datediff(F.coalesce("finish", day), "start") >= least_days))
 
 
-def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30, most_imeis: int = 40) -> DataFrame:
+def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30, most_imeis: int = 40, most_handsets: int = 20) -> DataFrame:
     """What ended each spell: 1 a change to the next handset, 2 gone, 3 still held. Higher twins are left out.
 
     The successor is the first later-starting handset, by start and IMEI, within the overlap and gap.
+    A number with more than ``most_imeis`` IMEIs, or ``most_handsets`` handsets once twins are left out, is
+    not assessed: one row of outcome 4 without handsets, of 0 days and cohort 0.
     """
     day = F.lit(as_of).cast("date")
-    counted = spell.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("msisdn"))).where(F.col("n") <= most_imeis)
+    per_number = F.count(F.lit(1)).over(Window.partitionBy("msisdn"))
+    sized = spell.withColumn("n", per_number)
+    counted = sized.where(F.col("n") <= most_imeis)
     head, serial = F.substring("imei", 1, 8).cast("int"), F.substring("imei", 9, 6).cast("int")
     pad = lambda a, b: F.concat(F.lpad(a.cast("string"), 8, "0"), F.lpad(b.cast("string"), 6, "0"))
     lower = counted.select("msisdn", "imei", F.explode(F.array(pad(head, serial - 1), pad(head - 100, serial))).alias("twin"))
     twins = lower.join(counted.select("msisdn", F.col("imei").alias("twin")), ["msisdn", "twin"]).select("msisdn", "imei").distinct()
-    kept = counted.join(twins, ["msisdn", "imei"], "left_anti").select("msisdn", "imei", "start", "finish", "dump")
+    alone = counted.join(twins, ["msisdn", "imei"], "left_anti").withColumn("handsets", per_number)
+    kept = alone.where(F.col("handsets") <= most_handsets).select("msisdn", "imei", "start", "finish", "dump")
+    heavy = sized.where(F.col("n") > most_imeis).select("msisdn").union(alone.where(F.col("handsets") > most_handsets).select("msisdn")).distinct()
     after = kept.select("msisdn", F.col("imei").alias("next_imei"), F.col("start").alias("next_start"))
     apart = F.datediff("next_start", "finish")
     pairs = kept.where("finish is not null").join(after, "msisdn").where((F.col("next_start") > F.col("start")) & apart.between(-overlap, gap))
@@ -87,15 +95,17 @@ def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30,
     joined = kept.join(successor, ["msisdn", "imei"], "left")
     outcome = F.when(F.col("finish").isNull(), 3).when(F.col("next").isNotNull(), 1).otherwise(2)
     end = F.coalesce("next.next_start", "finish", day)
-    return joined.select(
+    assessed = joined.select(
         "msisdn", "imei", outcome.alias("outcome"), F.greatest(F.datediff(end, "start"), F.lit(0)).alias("days"), F.when(F.col("dump") == 1, 0).otherwise(F.date_format("start", "yyyyMM").cast("int")).alias("cohort"),
         F.col("next.next_imei").alias("next_imei"),
     )
+    nothing = heavy.select("msisdn", F.lit(None).cast("string").alias("imei"), F.lit(NOT_ASSESSED).alias("outcome"), F.lit(0).alias("days"), F.lit(0).alias("cohort"), F.lit(None).cast("string").alias("next_imei"))
+    return assessed.unionByName(nothing)
 
 
 def survival(tenure: DataFrame, by: str = "cohort") -> DataFrame:
-    """Kaplan-Meier share still in use after each day with a change; other outcomes are censored."""
-    days = tenure.groupBy(by, "days").agg(F.count_if(F.col("outcome") == 1).alias("events"), F.count(F.lit(1)).alias("ended"))
+    """Kaplan-Meier share still in use after each day with a change; other outcomes are censored, numbers not assessed left out."""
+    days = tenure.where(F.col("outcome") != NOT_ASSESSED).groupBy(by, "days").agg(F.count_if(F.col("outcome") == 1).alias("events"), F.count(F.lit(1)).alias("ended"))
     back = Window.partitionBy(by).orderBy(F.desc("days"))
     at_risk = days.withColumn("at_risk", F.sum("ended").over(back))
     order = Window.partitionBy(by).orderBy("days")
