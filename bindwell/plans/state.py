@@ -203,7 +203,7 @@ def _(f):
     return daily.quality_history(fold.build_history(f.events).unionByName(fold.history_from_dump(f.snapshot)))
 
 
-@query("quality_examples", "\nselect category, count(*) as n from (select 'shifted' as category from flag where shifted = 1 union all select 'no_handset' from flag where no_handset = 1) group by 1 having count(*) > 0")
+@query("quality_flag_counts", "\nselect category, count(*) as n from (select 'shifted' as category from flag where shifted = 1 union all select 'no_handset' from flag where no_handset = 1) group by 1 having count(*) > 0")
 def _(f):
     flagged = flag_handsets(fold.fold_all(f.snapshot, f.events), f.tac)
     named = flagged.select(F.explode(F.array_compact(F.array(F.when(F.col("shifted") == 1, "shifted"), F.when(F.col("no_handset") == 1, "no_handset")))).alias("category"))
