@@ -10,8 +10,10 @@ both, so a set of n tokens has about n / 4 join keys, none of them an almost emp
 Sets that share a key are candidates. To stay linear in a group's size, candidates are taken in two
 steps: each member is compared with its key's smallest member, and links found so contract a group
 to few components; only pairs of different components that share a key are then compared, in
-blocks of bounded size. Before sets are compared, a second parity sketch of 512 bits (each token
-flips one bit, so the Hamming distance is at most the symmetric difference) rules most out.
+blocks of bounded size. Before sets are compared, a second parity sketch (each token flips one bit,
+so the Hamming distance is at most the symmetric difference) rules most out. It has as many bits as
+the set has tokens, rounded up to a power of two, so that it tells large sets apart as well as small
+ones; sketches of two widths are compared at the narrower one's, to which the wider one is folded.
 Comparison is exact on 64-bit shingle hashes.
 """
 
@@ -28,6 +30,7 @@ from bindwell.llm.graph import components
 from bindwell.llm.store import bounded, cut, fresh_path
 from bindwell.llm.text import SPACED, U64, Words, map_texts, mix, trimmed
 
+#: Bits of the narrowest sketch.
 SKETCH_BITS = 512
 #: Members of a key's group that are compared with each other in one piece of work.
 CELL = 512
@@ -43,9 +46,17 @@ class Rule:
         """Most differing tokens of a pair with ``total`` tokens together: I >= t (a + b) / (1 + t)."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def near(self, x, y, total):
-        """Whether sketches (one row a set) allow a link of the pair with ``total`` tokens together."""
-        return np.bitwise_count(x ^ y).sum(axis=1) <= self.differences(total)
+    def changed(self, total):
+        """Differences up to which a pair is sure to share a key."""
+        return self.differences(total)
+
+    def prints(self, tokens, begins):
+        """What a block is known by: here the parity of its tokens, which stand together from ``begins`` on."""
+        return np.bitwise_xor.reduceat(mix(tokens ^ U64(0x9FB21C651E98DF25)), begins)
+
+    def near(self, apart, total):
+        """Whether sketches ``apart`` bits apart allow a link of the pair with ``total`` tokens together."""
+        return apart <= self.differences(total)
 
     def largest(self, n):
         return n * self.den // self.num
@@ -54,6 +65,44 @@ class Rule:
         return np.ceil((d + 1) * self.spare).astype(np.int64)
 
 
+class Sketches:
+    """Parity sketches of several widths, all of them powers of two."""
+
+    def __init__(self, cells):
+        self.width = np.fromiter(map(len, cells), np.int64, len(cells)) // 8
+        self.row = np.empty(len(cells), np.int64)  # in the matrix of its width
+        self.of_width = {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.row[mine] = np.arange(len(mine))
+            self.of_width[w] = np.frombuffer(b"".join([cells[k] for k in mine]), np.uint64).reshape(-1, w)
+
+    def folded(self, which, width: int, to: int) -> np.ndarray:
+        """Sketches of one ``width`` as if they had been made with ``to`` words."""
+        rows = self.of_width[width][self.row[which]]
+        return rows if width == to else np.bitwise_xor.reduce(rows.reshape(len(rows), -1, to), axis=1)
+
+    def apart(self, mine, other: Sketches, theirs) -> np.ndarray:
+        """Hamming distances of the sketches ``mine`` from ``theirs`` in ``other``."""
+        out = np.empty(len(mine), np.int64)
+        widths = self.width[mine] << 32 | other.width[theirs]
+        for code in np.unique(widths).tolist():
+            same, to = np.flatnonzero(widths == code), min(code >> 32, code & 0xFFFFFFFF)
+            x, y = self.folded(mine[same], code >> 32, to), other.folded(theirs[same], code & 0xFFFFFFFF, to)
+            out[same] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
+def parity_sketches(tokens: np.ndarray, rows: np.ndarray, n: np.ndarray, least: int = SKETCH_BITS) -> list[bytes]:
+    """The parity sketch of every row's ``n`` tokens."""
+    bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    bit = begin[rows] + (mix(tokens ^ U64(0xD1B54A32D192ED03)) & (bits[rows] - 1).astype(U64)).astype(np.int64)
+    parity = np.bincount(bit, minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed, ends = np.packbits(parity).tobytes(), ((begin + bits) // 8).tolist()
+    return [packed[a:b] for a, b in zip((begin // 8).tolist(), ends, strict=True)]
+
+
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every row, in order of row and hash."""
     at, hashes = words.grams(size)
@@ -70,7 +119,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], rows[new]
 
 
-def block_keys(tokens, rows, n, d, k_of, band) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(tokens, rows, rule: Rule, d, k_of, band) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of the d + 1 first blocks of the rows with ``k_of`` > 0 blocks."""
     take = k_of[rows] > 0
     tokens, rows = tokens[take], rows[take]
@@ -84,7 +133,7 @@ def block_keys(tokens, rows, n, d, k_of, band) -> tuple[np.ndarray, np.ndarray]:
     print_ = np.zeros(base[-1], U64)
     if len(first):
         size[block[first]] = np.diff(np.append(first, len(block)))
-        print_[block[first]] = np.bitwise_xor.reduceat(mix(tokens ^ U64(0x9FB21C651E98DF25)), first)
+        print_[block[first]] = rule.prints(tokens, first)
     owner = np.repeat(np.arange(len(k_of)), k_of)
     index = np.arange(base[-1]) - base[owner]
     content = mix(print_ ^ mix(index.astype(U64) + U64(1) + (band[owner].astype(U64) << U64(40))))
@@ -105,22 +154,22 @@ def all_keys(tokens, rows, n_rows: int, rule: Rule) -> tuple[np.ndarray, np.ndar
     keys, owners = [], []
 
     def add(which, d, most, band):
-        k = np.where(which, rule.blocks(rule.differences(most)), 0)
-        key, owner = block_keys(tokens, rows, n, d, k, band)
+        k = np.where(which, rule.blocks(rule.changed(most)), 0)
+        key, owner = block_keys(tokens, rows, rule, d, k, band)
         keys.append(key)
         owners.append(owner)
 
-    add(some, rule.differences(n + np.minimum(rule.largest(n), top)), 2 * top, 3 * level)
+    add(some, rule.changed(n + np.minimum(rule.largest(n), top)), 2 * top, 3 * level)
     up = some & (rule.largest(n) > top)  # partners in the band above
-    add(up, rule.differences(n + rule.largest(n)), top + rule.largest(top), 3 * level + 1)
+    add(up, rule.changed(n + rule.largest(n)), top + rule.largest(top), 3 * level + 1)
     low = (1 << level) - 1  # largest size of the band below
     down = some & (rule.largest(low) >= n)
-    add(down, rule.differences(n + low), low + rule.largest(low), 3 * level - 2)
+    add(down, rule.changed(n + low), low + rule.largest(low), 3 * level - 2)
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) -> DataFrame:
-    """id, number of shingles, 512-bit parity sketch and join keys of every document."""
+    """id, number of shingles, parity sketch and join keys of every document."""
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
     ])
@@ -129,16 +178,12 @@ def _features(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule
         words = Words(batch.column(1), SPACED, lower=True)
         tokens, rows = shingle_sets(words, size)
         n = np.bincount(rows, minlength=words.rows)
-        bit = (mix(tokens ^ U64(0xD1B54A32D192ED03)) & U64(SKETCH_BITS - 1)).astype(np.int64)
-        parity = np.bincount(rows * SKETCH_BITS + bit, minlength=words.rows * SKETCH_BITS).astype(np.uint8) & 1
-        sketches = np.packbits(parity).tobytes()
-        width = SKETCH_BITS // 8
         keys, owner = all_keys(tokens, rows, words.rows, rule)
         order = np.argsort(owner, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=words.rows))))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([sketches[k * width : (k + 1) * width] for k in range(words.rows)], pa.binary()),
+                batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(parity_sketches(tokens, rows, n), pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order].view(np.int64))),
             ],
             names=schema.names,
@@ -179,9 +224,9 @@ def _sketch_filter(pairs: DataFrame, rule: Rule) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(sa), np.uint64).reshape(len(sa), -1)
-        y = np.frombuffer(b"".join(sb), np.uint64).reshape(len(sb), -1)
-        return pd.Series(rule.near(x, y, (na + nb).to_numpy()))
+        every = np.arange(len(sa))
+        apart = Sketches(sa.tolist()).apart(every, Sketches(sb.tolist()), every)
+        return pd.Series(rule.near(apart, (na + nb).to_numpy()))
 
     sizes = F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num
     return pairs.where(sizes).where(near("na", "sa", "nb", "sb")).select("a", "b")
@@ -238,7 +283,7 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
         """Rows of a cell stand together. Every row meets the row ``apart`` places on, for every such distance in a cell."""
         n, component, ident, piece = (cells[c].to_numpy() for c in ("n", "component", "id", "piece"))
         whole = (cells["i"] == cells["j"]).to_numpy()
-        sketch = np.frombuffer(b"".join(cells["sketch"]), np.uint64).reshape(len(cells), -1)
+        sketches = Sketches(cells["sketch"].tolist())
         ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
         left = ends[np.searchsorted(ends, np.arange(len(cell)), "right")] - np.arange(len(cell)) - 1  # rows of the cell that follow
         found, x, apart = [], np.flatnonzero(left), 1
@@ -247,7 +292,7 @@ def _cells(members: DataFrame, rule: Rule) -> DataFrame:
             low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             fit = (component[x] != component[y]) & (whole[x] | (piece[x] != piece[y])) & (low * rule.den >= high * rule.num)
             u, v = x[fit], y[fit]
-            close = rule.near(sketch[u], sketch[v], n[u] + n[v])
+            close = rule.near(sketches.apart(u, sketches, v), n[u] + n[v])
             found.append(np.stack([ident[u[close]], ident[v[close]]], axis=1))
             apart += 1
             x = x[left[x] >= apart]
@@ -286,7 +331,7 @@ def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
     labelled = groups.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
     labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("component")).distinct())
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = labelled.join(cut(mixed), "key", "left_semi").join(light.dropDuplicates(["id"]), "id")
+    members = labelled.join(cut(mixed), "key", "left_semi").join(light.distinct(), "id")
     new = verify(_cells(members, rule).join(stars, ["a", "b"], "left_anti"))
     return found if new.isEmpty() else cut(components(links.union(new)))
 
