@@ -365,66 +365,20 @@ def distance(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark):
-    rng = random.Random(7)
-    long = [prose(rng, 60, 3000) for _ in range(12)]
-    texts = []
-    for k in range(24):
-        lines = [long[rng.randrange(12)] for _ in range(3)]
-        if k % 3 == 0:
-            lines[0] = lines[0].replace("w1", "w9", 1)
-        if k % 4 == 0:
-            lines[1] = lines[1].upper() + "!!"
-        texts.append("\n".join([*lines, "", "---"]))
-    texts += ["", None, "\n\n", texts[0]]
-    nodes, at = {}, []
-    for k, t in enumerate(texts):
-        for n, line in enumerate((t or "").encode().split(b"\n")):
-            x = line_dedup.normalise(line)
-            at.append((k, n, x))
-            if x:
-                nodes[x] = x
-    bits = dict(zip(nodes, line_dedup.simhashes(pa.array(list(nodes), pa.binary())).tolist(), strict=True))
-
-    def find(x):
-        while nodes[x] != x:
-            x = nodes[x]
-        return x
-
-    names = list(nodes)
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            near = (bits[a] ^ bits[b]).bit_count() <= line_dedup.BLOCKS - line_dedup.TOGETHER and 10 * min(len(a), len(b)) >= 9 * max(len(a), len(b))
-            if near and distance(a, b) <= max(len(a), len(b)) // 10:
-                nodes[find(a)] = find(b)
-    seen, want = set(), defaultdict(list)
-    for k, n, x in at:
-        root = find(x) if x else None
-        if root is None or root not in seen:
-            want[k].append((texts[k] or "").split("\n")[n])
-        seen.add(root)
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(table(spark, texts)).collect()}
-    for k, t in enumerate(texts):
-        assert got[k]["text"] == "\n".join(want[k])
-        assert got[k]["n_lines"] == len((t or "").split("\n")) and got[k]["n_removed"] == got[k]["n_lines"] - len(want[k])
-    assert line_dedup.line_dedup(table(spark, []).limit(0)).count() == 0
-
-
 def letters(rng, n):
     """Words without digits, which lines don't tell apart."""
     return " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
 
 
-def test_simhash_counts_each_word_once():
-    rng = random.Random(8)
-    lines = ["a", "b a", letters(rng, 40), letters(rng, 900), letters(rng, 3000), ""]
-    got = line_dedup.simhashes(pa.array([x.encode() for x in lines], pa.binary())).tolist()
-    for line, bits in zip(lines, got, strict=True):
-        hashes = np.unique(Words(pa.array([line]), ALNUM, lower=False).hash >> np.uint64(24))
-        votes = [int(x) for x in mix(hashes)]
-        sums = [sum(v >> k & 1 for v in votes) for k in range(64)]
-        want = sum(1 << k for k in range(64) if votes and (2 * sums[k] > len(votes) or (2 * sums[k] == len(votes) and votes[0] >> k & 1)))
-        assert bits == want
+def test_simhashes_vote_once_a_token():
+    rng = np.random.default_rng(8)
+    groups = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 2, 3, 40, 900)]
+    begins = np.cumsum([0, *map(len, groups)])[:-1]
+    for group, got in zip(groups, line_dedup.simhashes(np.concatenate(groups), begins).tolist(), strict=True):
+        votes = [int(x) for x in mix(group ^ np.uint64(0x6A09E667F3BCC909))]
+        tie = int(np.bitwise_xor.reduce(mix(group ^ np.uint64(0x9FB21C651E98DF25))))
+        sums = [2 * sum(v >> k & 1 for v in votes) for k in range(64)]
+        assert got == sum(1 << k for k in range(64) if sums[k] > len(votes) or (sums[k] == len(votes) and tie >> k & 1))
 
 
 def test_line_dedup_finds_edited_long_lines(spark):
@@ -439,7 +393,7 @@ def test_line_dedup_finds_edited_long_lines(spark):
         texts.append(" ".join(words[:150] + letters(rng, 150).split()))
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, texts)).collect()}
     edited, other = range(40, 120, 2), [*range(40), *range(41, 120, 2)]
-    assert sum(got[k] for k in edited) >= 30 and not any(got[k] for k in other)
+    assert sum(got[k] for k in edited) >= 39 and not any(got[k] for k in other)
 
 
 def edited(rng, line):
@@ -455,16 +409,63 @@ def edited(rng, line):
     return " ".join(words)
 
 
+def test_line_dedup(spark):
+    """Against edit similarity alone over all pairs of distinct lines."""
+    rng = random.Random(7)
+    long = [letters(rng, rng.choice([6, 9, 14, 25, 60])) for _ in range(14)]
+    texts = []
+    for k in range(24):
+        lines = [long[rng.randrange(14)] for _ in range(3)]
+        if k % 3 == 0:
+            lines[0] = edited(rng, lines[0])
+        if k % 4 == 0:
+            lines[1] = lines[1].upper() + "!!"
+        texts.append("\n".join([*lines, "", "---"]))
+    texts = [*enumerate(["\n".join(long), *texts, "", None, "\n\n", texts[0]]), (4, texts[3]), (None, texts[5])]
+    nodes, at = {}, []
+    for k, t in sorted({x for x in texts if x[0] is not None}):
+        for n, line in enumerate((t or "").encode().split(b"\n")):
+            x = line_dedup.normalise(line)
+            at.append((k, n, x))
+            if x:
+                nodes[x] = x
+
+    def find(x):
+        while nodes[x] != x:
+            x = nodes[x]
+        return x
+
+    names = list(nodes)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if 10 * min(len(a), len(b)) >= 9 * max(len(a), len(b)) and distance(a, b) <= max(len(a), len(b)) // 10:
+                nodes[find(a)] = find(b)
+    seen, want, of = set(), defaultdict(list), dict(x for x in texts if x[0] is not None)
+    for k, n, x in at:
+        root = find(x) if x else None
+        if root is None or root not in seen:
+            want[k].append((of[k] or "").split("\n")[n])
+        seen.add(root)
+    rows = line_dedup.line_dedup(table(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        k, t = r["doc_id"], of[r["doc_id"]] if r["doc_id"] is not None else texts[-1][1]
+        left = want[k] if k is not None else t.split("\n")
+        assert r["text"] == "\n".join(left)
+        assert r["n_lines"] == len((t or "").split("\n")) and r["n_removed"] == r["n_lines"] - len(left)
+    assert line_dedup.line_dedup(table(spark, []).limit(0)).count() == 0
+
+
 def test_line_dedup_finds_one_edit_in_lines_of_ordinary_length(spark):
     """The reference is the edit similarity alone, whatever the candidates."""
     rng = random.Random(10)
     pairs = []
-    for n in (10, 12, 15, 20, 30, 50, 100):
+    for n in (5, 7, 10, 12, 15, 20, 30, 50, 100):
         for _ in range(20):
             line = letters(rng, n)
             other = edited(rng, line)
             if line != other and distance(line, other) <= max(len(line), len(other)) // 10:
                 pairs.append((line, other))
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, [x for pair in pairs for x in pair])).collect()}
-    assert len(pairs) > 120 and not any(got[k] for k in range(0, 2 * len(pairs), 2))
-    assert sum(got[k] for k in range(1, 2 * len(pairs), 2)) >= 0.99 * len(pairs)
+    assert len(pairs) > 140 and not any(got[k] for k in range(0, 2 * len(pairs), 2))
+    assert sum(got[k] for k in range(1, 2 * len(pairs), 2)) >= 0.97 * len(pairs)
