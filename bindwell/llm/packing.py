@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.encode import encoder
+from bindwell.llm.encode import SLICE_BYTES, encoder
 from bindwell.llm.store import cut
 from bindwell.llm.text import buffers, map_texts, trimmed
 
@@ -160,7 +160,7 @@ def piece_table(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
             names=schema.names,
         )
 
-    return map_texts(docs, [id_col, text_col], run, schema, caches=True)
+    return map_texts(docs, [id_col, text_col], run, schema, caches=True, most=SLICE_BYTES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_tokens: int = 1024) -> DataFrame:

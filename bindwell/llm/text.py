@@ -166,7 +166,7 @@ class Words:
         return b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(at, at + n))
 
 
-def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema, caches: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema, caches: bool = False, most: int = 2 << 20) -> DataFrame:
     """Run ``function(batch) -> iterable of batches`` over Arrow slices of bounded text size.
 
     The last of ``columns`` is the text; only ``columns`` are read, so other columns never clash.
@@ -178,7 +178,7 @@ def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema, c
         if not caches:
             forget()
         for batch in batches:
-            for part in portions(batch, text_index):
+            for part in portions(batch, text_index, most):
                 yield from function(part)
 
     return docs.select(*columns).mapInArrow(trimmed(run), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.encode import encoder
+from bindwell.llm.encode import SLICE_BYTES, encoder
 from bindwell.llm.store import fresh_path
 from bindwell.llm.text import buffers, portions
 
@@ -135,7 +135,7 @@ def write_token_files(
         size = 0
         for batch in batches:
             kind = batch.column(0).type
-            for some in portions(batch, 1):
+            for some in portions(batch, 1, SLICE_BYTES):
                 data, offsets = buffers(some.column(1))
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
