@@ -265,19 +265,20 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, siz
     return cut(with_b.where(similar("ta", "tb")).select("a", "b").distinct())
 
 
-def _cells(members: DataFrame, rule: Rule) -> DataFrame:
+def _cells(members: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of one key and of different components that sizes and sketches allow.
 
-    ``members``: key, id, n, sketch, component. A key's members are numbered and cut into pieces;
-    every two pieces meet in a cell of at most 2 x CELL rows, so no group is held whole.
+    ``members``: key, id, component; ``light``: id, n, sketch. A key's members are numbered and cut into
+    pieces; every two pieces meet in a cell of at most 2 x CELL rows, so no group is held whole.
+    Sketches join last and are shuffled once, to their cells.
     """
     by_key = Window.partitionBy("key").orderBy("component", "id")
     piece = ((F.row_number().over(by_key) - 1) / CELL).cast("int")
     numbered = cut(members.withColumn("piece", piece))
     pieces = numbered.groupBy("key").agg(F.max("piece").alias("last"))
     x = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x")
-    spread = numbered.join(pieces, "key").select("key", "id", "n", "sketch", "component", "piece", x)
-    spread = spread.select("key", F.least("piece", "x").alias("i"), F.greatest("piece", "x").alias("j"), "piece", "id", "n", "sketch", "component")
+    spread = numbered.join(pieces, "key").select("key", "id", "component", "piece", x)
+    spread = spread.select("key", F.least("piece", "x").alias("i"), F.greatest("piece", "x").alias("j"), "piece", "id", "component").join(light, "id")
 
     def pairs_of(cells: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
         """Rows of a cell stand together. Every row meets the row ``apart`` places on, for every such distance in a cell."""
@@ -331,8 +332,8 @@ def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
     labelled = groups.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
     labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("component")).distinct())
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = labelled.join(cut(mixed), "key", "left_semi").join(light.distinct(), "id")
-    new = verify(_cells(members, rule).join(stars, ["a", "b"], "left_anti"))
+    members = labelled.join(cut(mixed), "key", "left_semi")
+    new = verify(_cells(members, light.distinct(), rule).join(stars, ["a", "b"], "left_anti"))
     return found if new.isEmpty() else cut(components(links.union(new)))
 
 
