@@ -92,7 +92,7 @@ def union_periods(spans: DataFrame, by: list[str]) -> DataFrame:
     """The union of overlapping periods (open, close; no close is endless) for each ``by``."""
     endless = F.lit("9999-12-31").cast("date")
     order = Window.partitionBy(*by).orderBy("open", "_end")
-    ends = spans.select(*by, "open", F.coalesce("close", endless).alias("_end"))
+    ends = spans.select(*by, "open", F.coalesce("close", endless).alias("_end")).distinct()  # both windows see the same order
     reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = ends.withColumn("_new", F.when(F.col("open") <= reach, 0).otherwise(1))
     islands = starts.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

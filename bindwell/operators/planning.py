@@ -13,7 +13,8 @@ NOT_ASSESSED = 4
 def handset_stage(flagged: DataFrame, radio: DataFrame) -> DataFrame:
     """Handsets of each number: sunset class of the model, or why there is none."""
     joined = flagged.where("active = 1").join(radio.select("tac", "sunset", "esim", "umts", "device_class"), "tac", "left")
-    state = F.when(F.col("shifted") == 1, SHIFTED).when(F.col("no_handset") == 1, NO_HANDSET).when(F.col("sunset").isNull(), NOT_IN_CATALOGUE).otherwise(F.col("sunset"))
+    signs = ~F.col("imei").rlike("^[0-9]*$")  # no handset has other signs than digits
+    state = F.when(F.col("shifted") == 1, SHIFTED).when((F.col("no_handset") == 1) | signs, NO_HANDSET).when(F.col("sunset").isNull(), NOT_IN_CATALOGUE).otherwise(F.col("sunset"))
     return joined.groupBy("msisdn", "imei").agg(
         F.min("tac").alias("tac"), F.min(state).alias("state"), F.min(F.coalesce("esim", F.lit(2))).alias("esim"), F.max(F.coalesce("umts", F.lit(0))).alias("umts"),
         F.max(F.coalesce((F.col("device_class") == "IoT / M2M").cast("int"), F.lit(0))).alias("iot"), F.count(F.lit(1)).alias("bindings"),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindwell.functions import radio
 from bindwell.functions.radio import parse_radio
 from bindwell.functions.rules import flag_handsets, imsi_range, model_key
 from bindwell.operators import daily, fold, marts, planning, risk
 from bindwell.plans.state import DQ, EVIDENCE, FEED
-from bindwell.sources.feed import LAST_DAY, derived
+from bindwell.sources.feed import LAST_DAY, stored
+from bindwell.sources.store import kept
 
 QUERIES, ORACLES = {}, {}
 AS_OF = LAST_DAY
@@ -19,9 +21,9 @@ class Tables:
 
     def __init__(self, spark, sf_dir):
         self.spark = spark
-        feed = derived(spark, sf_dir)
+        feed = stored(spark, sf_dir)
         self.events, self.snapshot, self.tac, self.vendors = feed.events, feed.snapshot, feed.tac, feed.vendors
-        self.state = fold.fold_all(feed.snapshot, feed.events)
+        self.state = kept(spark, sf_dir, "state", lambda: fold.fold_all(feed.snapshot, feed.events))
         self.flagged = flag_handsets(self.state, feed.tac)
         self.radio = parse_radio(feed.tac)
         self.devices = marts.with_vendor(feed.tac, feed.vendors)
@@ -44,15 +46,45 @@ def query(name: str, sql: str | None = None):
 ACT = """,
 act as (select msisdn, imsi, imei, case when no_handset = 1 then '' else tac end as tac, last_change_date from flag where active = 1)"""
 FIGURES = "count(*) as bindings, count(distinct msisdn) as subscribers, count(distinct imsi) as sims, count(distinct imei) filter (tac <> '') as handsets"
-RADIO = """,
-radio as (select tac, case when regexp_matches(bandDetails, 'LTE (FDD|TDD)') then 1 else 0 end as lte, case when regexp_matches(bandDetails, '5G NR: n') then 1 else 0 end as nr,
- case when bandDetails like '%WCDMA%' then 1 else 0 end as umts, case when bandDetails like '%GSM %' then 1 else 0 end as gsm, case when bandDetails like '%Cat-%' then 1 else 0 end as lpwan,
- list_sort(list_transform(regexp_extract_all(bandDetails, 'LTE FDD BAND (\\d+)', 1), lambda x: cast(x as int))) as lte_bands,
- list_sort(list_transform(regexp_extract_all(bandDetails, '[ :]n(\\d+)', 1), lambda x: cast(x as int))) as nr_bands,
- case when cast(removableEUICC as int) > 0 or cast(nonremovableEUICC as int) > 0 then 1 when removableEUICC = '0' or nonremovableEUICC = '0' then 0 else 2 end as esim,
- case when ntnConnectivity like '3GPP NTN%' then 1 when ntnConnectivity = 'No' then 0 else 2 end as ntn,
- case when deviceType = 'IoT Device' then 'IoT / M2M' when deviceType like 'Mobile Phone%' then 'Feature phone' else deviceType end as device_class from tac),
-radios as (select *, case when lte = 1 or nr = 1 then 1 when lpwan = 1 then 2 when gsm = 1 or umts = 1 then 3 else 0 end as sunset from radio)"""
+
+
+def _token_sql() -> str:
+    """Facts of the band tokens, one select a pattern."""
+    return " union all ".join(
+        f"select tac, '{fact}' as f, " + (f"try_cast(regexp_extract(t, '(?i){pattern}', 1) as int)" if "(\\d" in pattern else "null") + f" as band from tok where label = '{section}' and regexp_matches(t, '(?i){pattern}')"
+        for section, rules in radio.TOKENS.items() for pattern, fact in rules
+    )
+
+
+_words = lambda names: ", ".join(f"'{n}'" for n in names)
+RADIO = f""",
+sec as (select tac, s, trim(case when contains(s, ':') then split_part(s, ':', 1) else s end) as label from (select tac, unnest(list_filter(list_transform(string_split(bandDetails, '|'), lambda x: trim(x)), lambda x: x <> '')) as s from tac)),
+tok as (select tac, label, trim(t) as t from (select tac, label, unnest(string_split(substr(s, strpos(s, ':') + 1), ',')) as t from sec where contains(s, ':')) where trim(t) <> ''),
+free as (select * from tok where (label = 'Radio Interface' or (label = '2G/3G' and not ({' or '.join(f"regexp_matches(t, '(?i){p}')" for p, _ in radio.TOKENS['2G/3G'])}))) and lower(t) <> '2.4-2.5 ghz'),
+word as (select tac, label, t, upper(rtrim(w, ':')) as w from (select tac, label, t, unnest(string_split_regex(t, '[ /]+')) as w from free) where w <> ''),
+spoken as ({' union all '.join(f"select tac, '{f}' as f, null as band from word where w in ({_words(n)})" for f, n in radio.WORDS.items() if f)}
+ union all select tac, 'lte', cast(substr(w, 2) as int) from word where regexp_matches(w, '{radio.BARE_BAND}')),
+fact as ({_token_sql()} union all select * from spoken union all select tac, 'listed', null from spoken where f <> 'satellite'
+ union all select tac, 'listed', null from sec where label in ('2G/3G', 'LPWAN', '5G NR', '5G REDCAP') or label like '4G%' union all select tac, 'nr', null from sec where label in ('5G NR', '5G REDCAP')
+ union all select tac, 'lte', null from sec where label like '4G%' union all select tac, 'redcap', null from sec where label = '5G REDCAP' union all select tac, 'satellite', null from sec where label = 'SATELLITE'
+ union all select tac, 'dual', null from sec where label like '5G%' and (contains(label, 'EN-DC') or contains(label, 'NE-DC'))),
+odd as (select tac, concat(label, ': ', t) as t from tok where label in ({_words(radio.TOKENS)}) and label <> '2G/3G' and not ({' or '.join(f"(label = '{s}' and regexp_matches(t, '(?i){p}'))" for s, rules in radio.TOKENS.items() for p, _ in rules)})
+ union all select distinct tac, concat(label, ': ', t) from word where w not in ({_words(w for n in radio.WORDS.values() for w in n)}) and not regexp_matches(w, '{radio.BARE_BAND}') and not regexp_matches(w, '(?i){radio.OTHER_WORD}')
+ union all select tac, concat(label, ': (section)') from sec where label not in ({_words(radio.TOKENS)}, 'SATELLITE', 'Radio Interface') and label not like '4G%' and label not like '5G%'),
+heard as (select tac, {', '.join(f"coalesce(bool_or(f = '{f}'), false) as {f}" for f in ('listed', 'gsm', 'umts', 'cdma', 'lte', 'nr', 'nb_iot', 'lte_m', 'ec_gsm', 'redcap', 'satellite', 'dual'))},
+ coalesce(bool_or(f = 'option' and band = 2), false) as alone, coalesce(bool_or(f = 'option' and band in (3, 4, 7)), false) as beside,
+ {', '.join(f"coalesce(list_sort(list(distinct band) filter (f = '{f}' and band is not null)), []) as {f}_bands" for f in ('lte', 'nr', 'umts', 'gsm', 'nb_iot', 'lte_m', 'ntn_b', 'ntn_n'))} from tac left join fact using (tac) group by 1),
+esims as (select tac, try_cast(nullif(trim(removableEUICC), '00') as int) as a, try_cast(nullif(trim(nonremovableEUICC), '00') as int) as b from tac),
+radios as (select tac, cast(listed as int) as bands_listed, case when not listed then 2 when lte or nb_iot or lte_m then 1 else 0 end as lte, case when not listed then 2 when nr then 1 else 0 end as nr, cast(umts as int) as umts,
+ cast(gsm or ec_gsm as int) as gsm, cast(cdma as int) as cdma, cast(nb_iot or lte_m as int) as lpwan, cast(redcap as int) as redcap, cast(satellite as int) as satellite, lte_bands, nr_bands, umts_bands, gsm_bands, nb_iot_bands, lte_m_bands,
+ case when alone then 1 else 2 end as sa, case when dual or beside then 1 else 2 end as nsa, coalesce(options, '') as options, case when coalesce(a, 0) > 0 or coalesce(b, 0) > 0 then 1 when a = 0 and b = 0 then 0 else 2 end as esim,
+ case when lower(trim(ntnConnectivity)) = 'no' then 0 when ntnConnectivity like '3GPP NTN%' then 1 else 2 end as ntn, case when ntnConnectivity like '3GPP NTN &%' then 'NTN and TN' when ntnConnectivity like '3GPP NTN Only%' then 'NTN only' end as ntn_mode,
+ case when ntnConnectivity like '3GPP NTN%' then replace(regexp_extract(ntnConnectivity, '[(](.*)[)]', 1), ' ', '') end as ntn_orbits,
+ list_concat(list_transform(ntn_b_bands, lambda x: concat('B', x)), list_transform(ntn_n_bands, lambda x: concat('n', x))) as ntn_bands,
+ case {' '.join(f"when deviceType in ({_words(kinds)}) then '{name}'" for name, kinds in radio.CLASSES.items())} else 'Other' end as device_class,
+ case when not listed then 0 when lte or nr then 1 when nb_iot or lte_m then 2 when gsm or umts or cdma or ec_gsm then 3 else 0 end as sunset, coalesce(unparsed, []) as unparsed
+ from heard join esims using (tac) join tac using (tac) left join (select tac, string_agg(t, ',') as options from tok where label = '5G NA Options' group by 1) using (tac)
+ left join (select tac, list_sort(list(t)) as unparsed from odd group by 1) using (tac))"""
 POP = ACT + """,
 pop as (select tac, count(*) as bindings, count(*) filter (imei = '000000') as unknown_device, count(*) filter (length(imei) <> 14 and imei <> '000000') as malformed_imei,
  count(*) filter (length(imei) = 14 and tac = '') as invalid_imei, count(distinct msisdn) as subscribers, count(distinct imsi) as sims, count(distinct imei) filter (tac <> '') as handsets,
@@ -135,8 +167,9 @@ query("enrichment_split", ACT + KPI + "\nselect bindings - unknown_device - malf
     lambda t: marts.kpi(t.flagged, t.tac).select((F.col("bindings") - F.col("unknown_device") - F.col("malformed_imei") - F.col("invalid_imei")).alias("with_handset"), "unknown_device", "malformed_imei", "invalid_imei", "tac_matched", F.round(100 * F.col("tac_matched") / F.col("bindings"), 3).alias("percent_matched"))
 )
 query("flagged_days", DQ + '\nselect data_date, "check", rate from assessed where flagged')(lambda t: daily.assess_feed(daily.dq_daily(t.events, t.tac), "2026-02-01", "2026-02-28").where("flagged").select("data_date", "check", "rate"))
-query("parse_radio", RADIO + "\nselect tac, lte, nr, umts, gsm, lpwan, array_to_string(lte_bands, ',') as lte_bands, array_to_string(nr_bands, ',') as nr_bands, esim, ntn, device_class, sunset from radios")(
-    lambda t: t.radio.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("lte_bands", "nr_bands")})
+_LISTS = ("lte_bands", "nr_bands", "umts_bands", "gsm_bands", "nb_iot_bands", "lte_m_bands", "ntn_bands", "unparsed")
+query("parse_radio", RADIO + "\nselect * replace (" + ", ".join(f"array_to_string({c}, ',') as {c}" for c in _LISTS) + ") from radios")(
+    lambda t: t.radio.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in _LISTS})
 )
 query("band_rows", ACT + RADIO + "\nselect band, count(*) as bindings, count(distinct msisdn) as subscribers, count(distinct imei) as handsets from (select a.*, unnest(lte_bands) as band from act a join radios r on r.tac = a.tac) group by 1")(
     lambda t: t.flagged.where("active = 1 and no_handset = 0").join(t.radio.select("tac", F.explode("lte_bands").alias("band")), "tac").groupBy("band").agg(F.count(F.lit(1)).alias("bindings"), F.count_distinct("msisdn").alias("subscribers"), F.count_distinct("imei").alias("handsets"))
@@ -199,7 +232,7 @@ query("number_changes", DQ + EVIDENCE + "\nselect msisdn, count(*) filter (set_a
     lambda t: risk.number_changes(daily.sim_change_evidence(t.events, t.multi, daily.dq_daily(t.events, t.tac)), AS_OF)
 )
 STAGE = RADIO + """,
-stage as (select msisdn, imei, min(f.tac) as tac, min(case when shifted = 1 then 5 when no_handset = 1 then 6 when r.tac is null then 7 else sunset end) as state, min(coalesce(esim, 2)) as esim,
+stage as (select msisdn, imei, min(f.tac) as tac, min(case when shifted = 1 then 5 when no_handset = 1 or not regexp_full_match(imei, '[0-9]*') then 6 when r.tac is null then 7 else sunset end) as state, min(coalesce(esim, 2)) as esim,
  max(coalesce(umts, 0)) as umts, max(case when device_class = 'IoT / M2M' then 1 else 0 end) as iot, count(*) as bindings from flag f left join radios r on r.tac = f.tac where active = 1 group by all),
 asks as (select msisdn, imei, unnest([concat(substr(imei, 1, 8), lpad(cast(cast(substr(imei, 9, 6) as int) + 1 as varchar), 6, '0')), concat(substr(imei, 1, 8), lpad(cast(cast(substr(imei, 9, 6) as int) - 1 as varchar), 6, '0')),
  concat(lpad(cast(cast(substr(imei, 1, 8) as int) + 100 as varchar), 8, '0'), substr(imei, 9, 6)), concat(lpad(cast(cast(substr(imei, 1, 8) as int) - 100 as varchar), 8, '0'), substr(imei, 9, 6))]) as partner from stage where state in (0, 7)),

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from bindwell.functions.rules import REPORTING_BODIES, enrich_identifiers, flag_handsets, mask_table
 from bindwell.operators import daily, fold
-from bindwell.sources.feed import KEY, LAST_SEQ, ORACLE, derived
+from bindwell.sources.feed import KEY, LAST_SEQ, oracle, stored
 
-FEED = "with recursive " + ORACLE.format(bodies=", ".join(f"'{b}'" for b in REPORTING_BODIES))
+FEED = "with recursive " + oracle(REPORTING_BODIES)
 
 STEPS = """,
 said as (select ev.*, s.imei is not null as in_dump,
@@ -54,7 +54,7 @@ QUERIES, ORACLES = {}, {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(derived(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(stored(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = FEED + sql
         return f
@@ -107,7 +107,7 @@ for by in KEY:
         return fold.union_periods(fold.periods(f.events, f.snapshot), [by])
 
     query(f"union_periods_{by}", STEPS + f""",
-q as (select {by}, open, coalesce(close, date '9999-12-31') as e from periods),
+q as (select distinct {by}, open, coalesce(close, date '9999-12-31') as e from periods),
 n as (select *, case when open <= max(e) over (partition by {by} order by open, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from q),
 i as (select *, sum(new) over (partition by {by} order by open, e rows unbounded preceding) as island from n)
 select {by}, min(open) as open, nullif(max(e), date '9999-12-31') as close from i group by {by}, island""")(_)
@@ -157,9 +157,9 @@ def _(f):
     return daily.backfill(daily.change_daily, f.events, f.events.where("seq <= 45"))
 
 
-@query("missing_days", "\nselect cast(d as date) as data_date from (select unnest(generate_series(date '2026-01-26', date '2026-04-25', interval 1 day)) as d) where cast(d as date) not in (select data_date from ev where tac like '35100%' and seq % 7 <> 0) and cast(d as date) between (select min(data_date) from ev where tac like '35100%' and seq % 7 <> 0) and (select max(data_date) from ev where tac like '35100%' and seq % 7 <> 0)")
+@query("missing_days", "\nselect cast(d as date) as data_date from (select unnest(generate_series((select min(data_date) from ev), (select max(data_date) from ev), interval 1 day)) as d) where cast(d as date) not in (select data_date from ev)")
 def _(f):
-    return daily.missing_days(f.events.where("tac like '35100%' and seq % 7 <> 0"))
+    return daily.missing_days(f.events)
 
 
 query("multi_number_sims", DQ + "\nselect data_date, imsi, numbers, rows from multi")(lambda f: daily.multi_number_sims(f.events))

@@ -3,7 +3,11 @@
 ``derived`` builds the feed from the order tables, so that every query's work grows with them:
 a customer is a number, an order line an event, a part a device model. One order in five belongs to
 the initial dump. Defects (unknown, short, shifted and unassigned identifiers, SIMs under several
-numbers) come from part keys.
+numbers) come from part keys. Four customers share models and five a SIM, so models, handsets and
+SIMs grow with the customers; one part in 23 is missing from the catalogue.
+
+``stored`` keeps feed and folded state as Parquet in the shared folder, once a session and table
+folder: the log and the current state that every later question reads.
 """
 
 from __future__ import annotations
@@ -13,10 +17,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindwell.sources.store import kept
+
 KEY = ["msisdn", "imsi", "imei"]
 FIRST_DAY = "2026-01-26"
 LAST_DAY = "2026-04-25"
 LAST_SEQ = 90
+#: Models that the digits of a TAC after "351" leave room for.
+MODELS = 900_000
+#: What the catalogue's columns say, by part key.
+DEVICE_TYPES = ("Smartphone", "Smartphone", "Mobile Phone/Feature phone", "Tablet", "IoT Device", "Handheld", "Modem", "e-Book", "Wearable", "Vehicle", "Smartphone")
+SYSTEMS = (" Android ", "Android", "", "iOS")
+REMOVABLE = ("0", "1", "00")
+NONREMOVABLE = ("0", "00", "0", "2", "00")
+NTN = ("3GPP NTN & TN(GSO)", "No", "Not Known", "Not Known", "3GPP NTN Only (GSO, NGSO)", "no", "Not Known")
+BANDS = (
+    "5G NR: n1, n78 | 4G: LTE FDD BAND 1, LTE FDD Band 3 | 2G/3G: GSM 900",
+    "4G: LTE FDD BAND 3, LTE TDD BAND 40 | 2G/3G: GSM850 (GSM800),WCDMA FDD Band 1",
+    "2G/3G: GSM 900,GSM 1800 | Radio Interface: NONE",
+    "LPWAN: Cat-NB1,Cat-M1,Cat-NB-LTEFDD LTE FDD BAND 20 | 2G/3G: GSM 900",
+    "Radio Interface: NONE",
+    "5G NR: n78 | 5G DC BC EN-DC FR1 2B: DC_1A_n78A | 5G NA Options: 5G-2Series,5G-5Series | 4G: LTE FDD BAND 7 | 4G Cat: LTE 12",
+    "2G/3G: GSM 900,WCDMA TDD Band A,LTE FDD BAND 61,odd radio | NTN: E-UTRA B255,NR FR1 n256",
+    "Radio Interface: CDMA2000/EDGE, Bluetooth, 2.4-2.5 GHz",
+    "5G REDCAP: n5 | LPWAN: EC-GSM-IoT | SATELLITE: L-Band | Strange: x",
+    "LPWAN: EC-GSM-IoT | Radio Interface: Inmarsat, 802.11b",
+    "",
+)
 
 
 @dataclass
@@ -38,15 +65,15 @@ def derived(spark: SparkSession, sf_dir: str) -> Feed:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     part, cust = F.col("l_partkey"), F.col("o_custkey")
-    model = F.lpad((100000 + part % 12 * 100).cast("string"), 6, "0")
-    serial = F.lpad((cust % 997 + F.when(part % 24 >= 12, 1).otherwise(0)).cast("string"), 6, "0")
+    model = F.lpad((100000 + (F.floor(cust / 4) + part % 12 * 100) % MODELS).cast("string"), 6, "0")
+    serial = F.lpad((cust % 999000 + F.when(part % 24 >= 12, 1).otherwise(0)).cast("string"), 6, "0")
     imei14 = F.concat(F.lit("35"), model, serial)
     removed = F.col("l_returnflag") == "R"
     day_no = (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) % 90).cast("int")
     raw = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey",
         (9120000000 + cust).cast("long").alias("msisdn"),
-        (432110000000000 + F.when(part % 71 == 0, cust % 5 * 2).otherwise(cust * 2 + F.col("l_suppkey") % 2)).cast("long").alias("imsi"),
+        (432110000000000 + F.when(part % 71 == 0, (cust - cust % 5) * 2).otherwise(cust * 2 + F.col("l_suppkey") % 2)).cast("long").alias("imsi"),
         F.when(part % 53 == 0, F.lit("000000"))
         .when(part % 59 == 0, F.substring(imei14, 1, 10))
         .when(part % 61 == 0, F.concat(F.substring(imei14, 2, 13), F.lit("0")))
@@ -67,33 +94,34 @@ def derived(spark: SparkSession, sf_dir: str) -> Feed:
     return Feed(events, snapshot, catalogue(spark, sf_dir), vendor_map(spark))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Feed:
+    """The feed, its log and dump as tables."""
+    feed = derived(spark, sf_dir)
+    feed.events = kept(spark, sf_dir, "events", lambda: feed.events)
+    feed.snapshot = kept(spark, sf_dir, "snapshot", lambda: feed.snapshot)
+    return feed
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The device catalogue: eleven columns a model, one row for each of the first parts."""
+    """The device catalogue: twelve columns a model, one row for each part but one in 23; a TAC has room for ``MODELS`` parts."""
     p = F.col("p_partkey")
-    text = lambda *cases: F.element_at(F.array(*map(F.lit, cases[1:])), (p % cases[0] + 1).cast("int"))
+    text = lambda cases: F.element_at(F.array(*map(F.lit, cases)), (p % len(cases) + 1).cast("int"))
     return (
         spark.read.parquet(f"{sf_dir}/part.parquet")
-        .where(p < 11)
+        .where((p % 23 != 0) & (p < MODELS))
         .select(
-            F.concat(F.lit("35"), F.lpad((100000 + p * 100).cast("string"), 6, "0")).alias("tac"),
-            F.when(p.isin(3, 9), "Maker A Korea").when(p == 4, "Maker A Vietnam").otherwise(F.col("p_brand")).alias("manufacturer"),
+            F.concat(F.lit("35"), F.lpad((100000 + p).cast("string"), 6, "0")).alias("tac"),
+            F.when((p % 50).isin(3, 9), "Maker A Korea").when(p % 50 == 4, "Maker A Vietnam").otherwise(F.col("p_brand")).alias("manufacturer"),
             F.col("p_brand").alias("brandName"),
             F.concat(F.lit("M"), p.cast("string")).alias("modelName"),
-            F.when(p.isin(6, 7), "twin phone").otherwise(F.col("p_name")).alias("marketingName"),
-            text(6, "Smartphone", "Smartphone", "Mobile Phone/Feature phone", "Tablet", "IoT Device", "Handheld").alias("deviceType"),
-            text(4, " Android ", "Android", "", "iOS").alias("operatingSystem"),
-            text(3, "0", "1", "00").alias("removableEUICC"),
-            text(3, "0", "00", "00").alias("nonremovableEUICC"),
-            text(5, "3GPP NTN & TN(GSO)", "No", "Not Known", "Not Known", "Not Known").alias("ntnConnectivity"),
-            F.concat(F.lit("0"), (1 + p % 9).cast("string"), F.lit("-Jan-20"), (10 + p).cast("string")).alias("allocationDate"),
-            text(
-                5,
-                "5G NR: n1, n78 | 4G: LTE FDD BAND 1, LTE FDD BAND 3 | 2G/3G: GSM 900",
-                "4G: LTE FDD BAND 3 | 2G/3G: GSM 900,WCDMA FDD BAND 1",
-                "2G/3G: GSM 900,GSM 1800 | Radio Interface: NONE",
-                "LPWAN: Cat-NB1,Cat-M1 | 2G/3G: GSM 900",
-                "Radio Interface: NONE",
-            ).alias("bandDetails"),
+            F.when((p % 50).isin(6, 7), F.concat(F.lit("twin phone "), (p % 50).cast("string"))).otherwise(F.col("p_name")).alias("marketingName"),
+            text(DEVICE_TYPES).alias("deviceType"),
+            text(SYSTEMS).alias("operatingSystem"),
+            text(REMOVABLE).alias("removableEUICC"),
+            text(NONREMOVABLE).alias("nonremovableEUICC"),
+            text(NTN).alias("ntnConnectivity"),
+            F.concat(F.lit("0"), (1 + p % 9).cast("string"), F.lit("-Jan-20"), (10 + p % 16).cast("string")).alias("allocationDate"),
+            text(BANDS).alias("bandDetails"),
         )
     )
 
@@ -108,9 +136,9 @@ ORACLE = """
 raw as (
  select o.o_custkey, l.l_orderkey, l.l_partkey,
   cast(9120000000 + o.o_custkey as bigint) as msisdn,
-  cast(432110000000000 + case when l.l_partkey % 71 = 0 then (o.o_custkey % 5) * 2 else o.o_custkey * 2 + (l.l_suppkey % 2) end as bigint) as imsi,
-  concat('35', lpad(cast(100000 + (l.l_partkey % 12) * 100 as varchar), 6, '0'),
-         lpad(cast(o.o_custkey % 997 + case when l.l_partkey % 24 >= 12 then 1 else 0 end as varchar), 6, '0')) as imei14,
+  cast(432110000000000 + case when l.l_partkey % 71 = 0 then (o.o_custkey - o.o_custkey % 5) * 2 else o.o_custkey * 2 + (l.l_suppkey % 2) end as bigint) as imsi,
+  concat('35', lpad(cast(100000 + (o.o_custkey // 4 + (l.l_partkey % 12) * 100) % 900000 as varchar), 6, '0'),
+         lpad(cast(o.o_custkey % 999000 + case when l.l_partkey % 24 >= 12 then 1 else 0 end as varchar), 6, '0')) as imei14,
   case when l.l_returnflag = 'R' then 'remove' else 'add' end as label,
   cast(datediff('day', date '1995-01-01', cast(l.l_shipdate as date)) % 90 as int) as day_no,
   (l.l_orderkey * 8 + l.l_linenumber) * 2 + case when l.l_returnflag = 'R' then 1 else 0 end as ord
@@ -127,21 +155,13 @@ ev as (
  from dirty where l_orderkey % 5 <> 0 group by msisdn, imsi, imei, day_no),
 snapshot as (select distinct msisdn, imsi, imei from dirty where l_orderkey % 5 = 0),
 tac as (
- select concat('35', lpad(cast(100000 + p_partkey * 100 as varchar), 6, '0')) as tac,
-  case when p_partkey in (3, 9) then 'Maker A Korea' when p_partkey = 4 then 'Maker A Vietnam' else p_brand end as manufacturer,
+ select concat('35', lpad(cast(100000 + p_partkey as varchar), 6, '0')) as tac,
+  case when p_partkey % 50 in (3, 9) then 'Maker A Korea' when p_partkey % 50 = 4 then 'Maker A Vietnam' else p_brand end as manufacturer,
   p_brand as brandName, concat('M', cast(p_partkey as varchar)) as modelName,
-  case when p_partkey in (6, 7) then 'twin phone' else p_name end as marketingName,
-  case p_partkey % 6 when 0 then 'Smartphone' when 1 then 'Smartphone' when 2 then 'Mobile Phone/Feature phone'
-       when 3 then 'Tablet' when 4 then 'IoT Device' else 'Handheld' end as deviceType,
-  case p_partkey % 4 when 0 then ' Android ' when 1 then 'Android' when 2 then '' else 'iOS' end as operatingSystem,
-  case p_partkey % 3 when 0 then '0' when 1 then '1' else '00' end as removableEUICC,
-  case p_partkey % 3 when 0 then '0' else '00' end as nonremovableEUICC,
-  case p_partkey % 5 when 0 then '3GPP NTN & TN(GSO)' when 1 then 'No' else 'Not Known' end as ntnConnectivity,
-  concat('0', cast(1 + p_partkey % 9 as varchar), '-Jan-20', cast(10 + p_partkey as varchar)) as allocationDate,
-  case p_partkey % 5 when 0 then '5G NR: n1, n78 | 4G: LTE FDD BAND 1, LTE FDD BAND 3 | 2G/3G: GSM 900'
-       when 1 then '4G: LTE FDD BAND 3 | 2G/3G: GSM 900,WCDMA FDD BAND 1' when 2 then '2G/3G: GSM 900,GSM 1800 | Radio Interface: NONE'
-       when 3 then 'LPWAN: Cat-NB1,Cat-M1 | 2G/3G: GSM 900' else 'Radio Interface: NONE' end as bandDetails
- from part where p_partkey < 11),
+  case when p_partkey % 50 in (6, 7) then concat('twin phone ', p_partkey % 50) else p_name end as marketingName,
+  {types} as deviceType, {systems} as operatingSystem, {removable} as removableEUICC, {nonremovable} as nonremovableEUICC, {ntn} as ntnConnectivity,
+  concat('0', cast(1 + p_partkey % 9 as varchar), '-Jan-20', cast(10 + p_partkey % 16 as varchar)) as allocationDate, {bands} as bandDetails
+ from part where p_partkey % 23 <> 0 and p_partkey < 900000),
 vendor_map as (select 'Maker A Korea' as raw_manufacturer, 'Maker A' as vendor_canonical union all select 'Maker A Vietnam', 'Maker A'),
 cur as (
  select msisdn, imsi, imei, case when arg_max(label, seq) = 'add' then 1 else 0 end as active, max(seq) as last_change_seq,
@@ -160,3 +180,13 @@ flag as (
 counted as (select * from flag where active = 1 and no_handset = 0),
 dev as (select k.*, coalesce(nullif(v.vendor_canonical, ''), nullif(k.manufacturer, ''), '(unknown TAC)') as vendor
  from tac k left join vendor_map v on v.raw_manufacturer = k.manufacturer)"""
+
+
+def _case(values: tuple[str, ...]) -> str:
+    return f"case p_partkey % {len(values)} " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(values)) + " end"
+
+
+def oracle(bodies: tuple[str, ...]) -> str:
+    """``ORACLE`` with the catalogue's texts and the reporting bodies in it."""
+    texts = {"types": DEVICE_TYPES, "systems": SYSTEMS, "removable": REMOVABLE, "nonremovable": NONREMOVABLE, "ntn": NTN, "bands": BANDS}
+    return ORACLE.format(bodies=", ".join(f"'{b}'" for b in bodies), **{k: _case(v) for k, v in texts.items()})
