@@ -28,6 +28,10 @@ class Tables:
         self.radio = parse_radio(feed.tac)
         self.devices = marts.with_vendor(feed.tac, feed.vendors)
 
+    @property
+    def history(self):
+        return fold.build_history(self.events).unionByName(fold.history_from_dump(self.snapshot))
+
     @property
     def multi(self):
         return daily.multi_number_sims(self.events)
