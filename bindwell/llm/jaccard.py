@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindwell.llm.graph import components
-from bindwell.llm.store import bounded, cut, fresh_path
+from bindwell.llm.store import bounded, cut, fresh_path, written
 from bindwell.llm.text import SPACED, U64, Words, map_texts, mix, trimmed
 
 #: Bits of the narrowest sketch.
@@ -193,7 +193,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule
 
 
 def _groups(features: DataFrame) -> DataFrame:
-    """(key, id, hub) of the keys that two or more documents have; the hub is the smallest of them."""
+    """(key, id, hub) of the keys that two or more documents have, each once; the hub is the smallest of them."""
 
     def rows_of(key, ident, hub):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(hub)], names=["key", "id", "hub"])
@@ -206,6 +206,8 @@ def _groups(features: DataFrame) -> DataFrame:
             ident = np.append(ident, batch.column(1).to_numpy())
             if not len(key):
                 continue
+            again = np.append(False, (key[1:] == key[:-1]) & (ident[1:] == ident[:-1]))  # a document that stands twice
+            key, ident = key[~again], ident[~again]
             new = np.append(begins, key[1:] != key[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             hub = np.where(first < 0, hub[:1] if len(hub) else 0, ident[first])
@@ -274,7 +276,7 @@ def _cells(members: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     """
     by_key = Window.partitionBy("key").orderBy("component", "id")
     piece = ((F.row_number().over(by_key) - 1) / CELL).cast("int")
-    numbered = cut(members.withColumn("piece", piece))
+    numbered = written(members.withColumn("piece", piece), "numbered")
     pieces = numbered.groupBy("key").agg(F.max("piece").alias("last"))
     x = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x")
     spread = numbered.join(pieces, "key").select("key", "id", "component", "piece", x)
@@ -322,18 +324,18 @@ def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
 
     ``verify`` turns candidate pairs (a, b) into the pairs that are links.
     """
-    groups = cut(_groups(features))
+    groups = written(_groups(features), "groups")
     stars = cut(groups.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    light = features.where("id is not null").select("id", "n", "sketch")
+    light = features.where("id is not null").select("id", "n", "sketch").distinct()
     ends = [light.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
     links = verify(_sketch_filter(stars.join(ends[0], "a").join(ends[1], "b"), rule))
     found = cut(components(links))
     # what is left: keys whose members are not all in one component
     labelled = groups.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
-    labelled = cut(labelled.select("key", "id", F.coalesce("component", "id").alias("component")).distinct())
+    labelled = written(labelled.select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     members = labelled.join(cut(mixed), "key", "left_semi")
-    new = verify(_cells(members, light.distinct(), rule).join(stars, ["a", "b"], "left_anti"))
+    new = verify(_cells(members, light, rule).join(stars, ["a", "b"], "left_anti"))
     return found if new.isEmpty() else cut(components(links.union(new)))
 
 
