@@ -381,6 +381,20 @@ def test_simhashes_vote_once_a_token():
         assert got == sum(1 << k for k in range(64) if sums[k] > len(votes) or (sums[k] == len(votes) and tie >> k & 1))
 
 
+def test_edit_distances():
+    rng = random.Random(11)
+    for _ in range(400):
+        a = letters(rng, rng.randrange(1, 12))
+        b = a
+        for _ in range(rng.randrange(4)):
+            b = edited(rng, b) if " " in b else b + "x"
+        true = distance(a, b)
+        assert true <= line_dedup.edits_by_words(a.split(" "), b.split(" "))
+        for most in range(max(0, true - 2), true + 3):
+            assert line_dedup.edits_within(a, b, most) == (true <= most)
+        assert line_dedup.alike(a, b) == (true <= max(len(a), len(b)) // 10)
+
+
 def test_line_dedup_finds_edited_long_lines(spark):
     """Lines of 300 words with one changed word are mostly found; lines that share half their words never."""
     rng = random.Random(9)
