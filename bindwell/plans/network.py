@@ -138,35 +138,6 @@ for _name, _args in {"top_vendors": ("vendor", "bindings", 10), "top_models": ("
     query(_name, _sql)(_run)
 
 
-@query("daily_changes", """,
-d as (select data_date, count(*) filter (label = 'add') as added, count(*) filter (label = 'remove') as removed from ev group by 1)
-select data_date, added, removed, (select count(*) from counted) - sum(added - removed) over (order by data_date desc) + (added - removed) as cumulative from d""")
-def _(t):
-    """Changes a day with the population at its end, anchored on the served state; the window runs over days, not rows."""
-    from pyspark.sql import Window
-
-    days = daily.change_summary(t.events).select("data_date", "added", "removed")
-    served = t.flagged.where("active = 1 and no_handset = 0").agg(F.count(F.lit(1)).alias("now"))
-    net = F.col("added") - F.col("removed")
-    later = F.sum(net).over(Window.orderBy(F.desc("data_date")))
-    return days.crossJoin(F.broadcast(served)).select("data_date", "added", "removed", (F.col("now") - later + net).alias("cumulative"))
-
-
-@query("daily_churn", """
-select data_date, sum(sim) as sim_changes, sum(dev) as device_changes from (
- select data_date, count(*) as sim, 0 as dev from (select data_date, msisdn from (select data_date, msisdn, imsi, max(label = 'add') as a, max(label = 'remove') as r from ev group by all) group by all having count(*) filter (r) > 0 and count(*) filter (a and not r) > 0) group by 1
- union all select data_date, 0, count(*) from (select data_date, msisdn from (select data_date, msisdn, imei, max(label = 'add') as a, max(label = 'remove') as r from ev group by all) group by all having count(*) filter (r) > 0 and count(*) filter (a and not r) > 0) group by 1) group by 1""")
-def _(t):
-    sim = daily.sim_changes(t.events).select("data_date", F.col("changes").alias("sim"), F.lit(0).alias("dev"))
-    dev = daily.device_changes(t.events).select("data_date", F.lit(0).alias("sim"), F.col("changes").alias("dev"))
-    return sim.unionByName(dev).groupBy("data_date").agg(F.sum("sim").alias("sim_changes"), F.sum("dev").alias("device_changes"))
-
-
-@query("population_trend_weekly", "\nselect cast(date_trunc('week', data_date) as date) as week, max(data_date) as last_day, sum(case when label = 'add' then 1 else -1 end) as net from ev group by 1")
-def _(t):
-    return t.events.groupBy(F.date_trunc("week", "data_date").cast("date").alias("week")).agg(F.max("data_date").alias("last_day"), F.sum(F.when(F.col("label") == "add", 1).otherwise(-1)).alias("net"))
-
-
 query("enrichment_split", ACT + KPI + "\nselect bindings - unknown_device - malformed_imei - invalid_imei as with_handset, unknown_device, malformed_imei, invalid_imei, tac_matched, round(100 * tac_matched / bindings, 3) as percent_matched from kpi")(
     lambda t: marts.kpi(t.flagged, t.tac).select((F.col("bindings") - F.col("unknown_device") - F.col("malformed_imei") - F.col("invalid_imei")).alias("with_handset"), "unknown_device", "malformed_imei", "invalid_imei", "tac_matched", F.round(100 * F.col("tac_matched") / F.col("bindings"), 3).alias("percent_matched"))
 )

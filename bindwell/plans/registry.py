@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindwell.plans import ingest, lookups, network, state
+from bindwell.plans import dashboards, ingest, lookups, network, state
 
-QUERIES: dict = {**state.QUERIES, **network.QUERIES, **lookups.QUERIES, **ingest.QUERIES}
-ORACLES: dict = {**state.ORACLES, **network.ORACLES, **lookups.ORACLES, **ingest.ORACLES}
+QUERIES: dict = {**state.QUERIES, **network.QUERIES, **lookups.QUERIES, **dashboards.QUERIES, **ingest.QUERIES}
+ORACLES: dict = {**state.ORACLES, **network.ORACLES, **lookups.ORACLES, **dashboards.ORACLES, **ingest.ORACLES}
