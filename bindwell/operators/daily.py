@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindwell.functions.rules import flag_handsets
-from bindwell.sources.feed import KEY
+from bindwell.sources.feed import KEY, tac_of
 
 CHECKS = ("shifted_imei", "multi_number_sim", "malformed_imei", "unknown_device")
 
@@ -120,6 +120,12 @@ def tac_day(events: DataFrame, tac: DataFrame) -> DataFrame:
     return added.groupBy("data_date", "tac").agg(F.count_distinct("imei").alias("handsets"), F.count_distinct("imsi").alias("sims"), F.count(F.lit(1)).alias("adds"))
 
 
+def tac_dump(snapshot: DataFrame, tac: DataFrame) -> DataFrame:
+    """Countable handsets, SIMs and bindings of each model in the dump."""
+    held = flag_handsets(snapshot.select(*KEY, tac_of("imei").alias("tac")), tac).where("countable = 1")
+    return held.groupBy("tac").agg(F.count_distinct("imei").alias("handsets"), F.count_distinct("imsi").alias("sims"), F.count(F.lit(1)).alias("bindings"))
+
+
 def quality_current(state: DataFrame, tac: DataFrame) -> DataFrame:
     """Quality categories of the current state, a binding in each that fits it."""
     f = flag_handsets(state, tac)
