@@ -40,10 +40,17 @@ def sim_window(events: DataFrame, tac: DataFrame, multi: DataFrame, as_of: str,
 def imei_window(events: DataFrame, tac: DataFrame, multi: DataFrame, as_of: str, floor: int = 6) -> DataFrame:
     """Handsets with many SIMs or numbers over 30 days."""
     adds = _adds(events, tac, multi, as_of).where("countable = 1")
-    pair = adds.groupBy("imei", "imsi").agg(F.max("clean").alias("clean"), F.count(F.lit(1)).alias("adds"))
-    sims = pair.groupBy("imei").agg(F.count_if("clean").alias("sims_30"), F.count(F.lit(1)).alias("sims_30_raw"), F.sum("adds").alias("adds_30"))
-    numbers = adds.groupBy("imei", "msisdn").agg(F.lit(1).alias("one")).groupBy("imei").agg(F.count("one").alias("numbers_30"))
-    return sims.join(numbers, "imei").where(F.greatest("sims_30_raw", "numbers_30") >= floor)
+    pair = adds.groupBy("imei", "imsi").agg(
+        F.max("clean").alias("clean"), F.max(F.col("clean") & (F.col("age") < 7)).alias("c7"), F.count(F.lit(1)).alias("adds"), F.count_if(~F.col("clean")).alias("aside")
+    )
+    sims = pair.groupBy("imei").agg(
+        F.count_if("clean").alias("sims_30"), F.count(F.lit(1)).alias("sims_30_raw"), F.count_if("c7").alias("sims_7"), F.sum("adds").alias("adds_30"), F.sum("aside").alias("adds_set_aside_30")
+    )
+    numbers = adds.groupBy("imei", "msisdn").agg(F.max("clean").alias("clean")).groupBy("imei").agg(F.count_if("clean").alias("numbers_30"))
+    days = adds.where("clean").groupBy("imei", "data_date").agg(F.count_distinct("imsi").alias("n"))
+    busy = days.groupBy("imei").agg(F.count(F.lit(1)).alias("add_days_30"), F.max("n").alias("max_sims_one_day_30"), F.max_by("data_date", F.struct("n", -F.unix_date("data_date"))).alias("max_day_30"))
+    counted = sims.join(numbers, "imei").where(F.greatest("sims_30_raw", "numbers_30") >= floor)
+    return counted.join(busy, "imei", "left").fillna(0, ["add_days_30", "max_sims_one_day_30"])
 
 
 def imei_lifetime(flagged: DataFrame, floor: int = 6) -> DataFrame:

@@ -194,9 +194,6 @@ select p.imsi, count(*) filter (c30) as imeis_30, count(*) as imeis_30_raw, coun
  count(*) filter (r7) as imeis_7_raw, sum(adds) as adds_30, sum(aside) as adds_set_aside_30, coalesce(any_value(add_days), 0) as add_days_30, coalesce(any_value(most), 0) as max_imeis_one_day_30, any_value(day) as max_day_30, coalesce(any_value(tacs), '') as top_tacs_20
 from pair p left join busy using (imsi) left join top using (imsi) group by p.imsi having count(*) >= {floor}"""
 query("risk_sim_window", SIM_WINDOW.replace("{floor}", "6"))(lambda t: risk.sim_window(t.events, t.tac, t.multi, AS_OF))
-query("risk_imei_window", ADDS + """,
-pair as (select imei, imsi, max(clean) as clean, count(*) as adds from clean where countable group by all), num as (select imei, count(distinct msisdn) as numbers from clean where countable group by 1)
-select p.imei, count(*) filter (clean) as sims_30, count(*) as sims_30_raw, sum(adds) as adds_30, any_value(numbers) as numbers_30 from pair p join num using (imei) group by 1 having greatest(count(*), any_value(numbers)) >= 2""")(lambda t: risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=2))
 query("risk_imei_lifetime", """,
 pair as (select imei, imsi, count(*) as bindings, max(active = 1 and last_change_date is not null) as dated, max(active = 1 and last_change_date is null) as dump from flag where countable = 1 group by all),
 num as (select imei, count(distinct msisdn) as numbers from flag where countable = 1 group by 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindwell.plans import dashboards, devices, ingest, lookups, network, profiles, state
+from bindwell.plans import dashboards, devices, ingest, lookups, network, profiles, signals, state
 
-QUERIES: dict = {**state.QUERIES, **network.QUERIES, **lookups.QUERIES, **dashboards.QUERIES, **devices.QUERIES, **profiles.QUERIES, **ingest.QUERIES}
-ORACLES: dict = {**state.ORACLES, **network.ORACLES, **lookups.ORACLES, **dashboards.ORACLES, **devices.ORACLES, **profiles.ORACLES, **ingest.ORACLES}
+QUERIES: dict = {**state.QUERIES, **network.QUERIES, **lookups.QUERIES, **dashboards.QUERIES, **devices.QUERIES, **profiles.QUERIES, **signals.QUERIES, **ingest.QUERIES}
+ORACLES: dict = {**state.ORACLES, **network.ORACLES, **lookups.ORACLES, **dashboards.ORACLES, **devices.ORACLES, **profiles.ORACLES, **signals.ORACLES, **ingest.ORACLES}
