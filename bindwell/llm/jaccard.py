@@ -7,12 +7,12 @@ K - d blocks agree (pigeonhole). Ordering blocks by a rule on their content alon
 first), each set may leave out its K - d - 1 last blocks and one agreeing block is still kept by
 both, so a set of n tokens has about n / 4 join keys, none of them an almost empty block.
 
-Sets that share a key are candidates. To stay linear in a group's size, candidates are taken in two
-steps: each member is compared with its key's smallest member, and links found so contract a group
-to few components; only pairs of different components that share a key are then compared, in
-blocks of bounded size. Before sets are compared, a second parity sketch (each token flips one bit,
-so the Hamming distance is at most the symmetric difference) rules most out. It has as many bits as
-the set has tokens, rounded up to a power of two, so that it tells large sets apart as well as small
+Sets that share a key are candidates. To stay linear in a group's size, candidates are taken in
+steps: each member is compared with its key's smallest member, then with the one that shares most
+keys with others, and links found so contract a group to few components; only pairs of different
+components that share a key are then compared, in blocks of bounded size. Before sets are compared, a second parity sketch (each token flips one bit,
+so the Hamming distance is at most the symmetric difference) rules most out. It has twice as many
+bits as the set has tokens, rounded up to a power of two, so that it tells large sets apart as well as small
 ones; sketches of two widths are compared at the narrower one's, to which the wider one is folded.
 Comparison is exact on 64-bit shingle hashes.
 """
@@ -95,7 +95,7 @@ class Sketches:
 
 def parity_sketches(tokens: np.ndarray, rows: np.ndarray, n: np.ndarray, least: int = SKETCH_BITS) -> list[bytes]:
     """The parity sketch of every row's ``n`` tokens."""
-    bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = np.maximum(least, 2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     begin = np.cumsum(bits) - bits
     bit = begin[rows] + (mix(tokens ^ U64(0xD1B54A32D192ED03)) & (bits[rows] - 1).astype(U64)).astype(np.int64)
     parity = np.bincount(bit, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -330,15 +330,39 @@ def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
     ends = [light.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
     links = verify(_sketch_filter(stars.join(ends[0], "a").join(ends[1], "b"), rule))
     found = cut(components(links))
-    # what is left: keys whose members are not all in one component
-    labelled = groups.select("key", "id").join(found, F.col("id") == F.col("node"), "left")
-    labelled = written(labelled.select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = labelled.join(cut(mixed), "key", "left_semi")
-    new = verify(_cells(members, light, rule).join(stars, ["a", "b"], "left_anti"))
+    members = _mixed(groups.select("key", "id"), found)
+    middle = cut(_middle_pairs(members).join(stars, ["a", "b"], "left_anti"))
+    more = verify(_sketch_filter(middle.join(ends[0], "a").join(ends[1], "b"), rule))
+    if not more.isEmpty():
+        links = links.union(more)
+        found = cut(components(links))
+        members = _mixed(members.select("key", "id"), found)
+    tested = stars.union(middle).union(middle.select("b", "a"))
+    new = verify(_cells(members, light, rule).join(tested, ["a", "b"], "left_anti"))
     return found if new.isEmpty() else cut(components(links.union(new)))
 
 
+def _mixed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component) of the keys whose members are not all in one component; of keys with the same members one."""
+    labelled = groups.join(found, F.col("id") == F.col("node"), "left")
+    labelled = written(labelled.select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    sets = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("id")).alias("set"), F.count(F.lit(1)).alias("size"))
+    mixed = sets.where("x <> y").groupBy("set", "size").agg(F.min("key").alias("key")).select("key")
+    return written(labelled.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _middle_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's middle member with those of other components.
+
+    Copies of one text that differ from each other often have links only with the text itself: it is
+    the one that shares most keys with others. Only what has no link with it is compared in pairs.
+    """
+    shared = members.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    best = members.join(shared, "id").groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("shared", -F.col("id"))).alias("hub"))
+    pairs = members.join(best, "key").where(F.col("component") != F.col("hub.component"))
+    return pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def links_and_components(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Features (id, n) of every row, and (node, component) of the documents with links."""
     path = fresh_path(docs.sparkSession, "jaccard")
