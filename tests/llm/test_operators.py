@@ -382,7 +382,7 @@ def test_simhashes_vote_once_a_token():
 
 
 def test_edit_distances():
-    rng = random.Random(11)
+    rng, pairs = random.Random(11), []
     for _ in range(400):
         a = letters(rng, rng.randrange(1, 12))
         b = a
@@ -392,7 +392,11 @@ def test_edit_distances():
         assert true <= line_dedup.edits_by_words(a.split(" "), b.split(" "))
         for most in range(max(0, true - 2), true + 3):
             assert line_dedup.edits_within(a, b, most) == (true <= most)
-        assert line_dedup.alike(a, b) == (true <= max(len(a), len(b)) // 10)
+        pairs.append((a, b, true <= max(len(a), len(b)) // 10))
+    long = letters(rng, 900)
+    pairs += [(long, edited(rng, long), True), (long, letters(rng, 900), False), ("é" * 40, "é" * 39 + "ü", True), ("a", "a", True), ("a", "b", False)]
+    assert line_dedup.alike([x[0] for x in pairs], [x[1] for x in pairs]).tolist() == [x[2] for x in pairs]
+    assert line_dedup.alike([], []).tolist() == []
 
 
 def test_line_dedup_finds_edited_long_lines(spark):
