@@ -72,7 +72,7 @@ def spells(events: DataFrame, snapshot: DataFrame, flagged: DataFrame, as_of: st
 
 
 def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30, most_imeis: int = 40, most_handsets: int = 20) -> DataFrame:
-    """What ended each spell: 1 a change to the next handset, 2 gone, 3 still held. Higher twins are left out.
+    """What ended each spell: 1 a change to the next handset (in ``month``), 2 gone, 3 still held. Higher twins are left out.
 
     The successor is the first later-starting handset, by start and IMEI, within the overlap and gap.
     A number with more than ``most_imeis`` IMEIs, or ``most_handsets`` handsets once twins are left out, is
@@ -98,9 +98,9 @@ def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30,
     end = F.coalesce("next.next_start", "finish", day)
     assessed = joined.select(
         "msisdn", "imei", outcome.alias("outcome"), F.greatest(F.datediff(end, "start"), F.lit(0)).alias("days"), F.when(F.col("dump") == 1, 0).otherwise(F.date_format("start", "yyyyMM").cast("int")).alias("cohort"),
-        F.col("next.next_imei").alias("next_imei"),
+        F.when(outcome == 1, F.date_format("next.next_start", "yyyyMM").cast("int")).otherwise(0).alias("month"), F.col("next.next_imei").alias("next_imei"),
     )
-    nothing = heavy.select("msisdn", F.lit(None).cast("string").alias("imei"), F.lit(NOT_ASSESSED).alias("outcome"), F.lit(0).alias("days"), F.lit(0).alias("cohort"), F.lit(None).cast("string").alias("next_imei"))
+    nothing = heavy.select("msisdn", F.lit(None).cast("string").alias("imei"), F.lit(NOT_ASSESSED).alias("outcome"), F.lit(0).alias("days"), F.lit(0).alias("cohort"), F.lit(0).alias("month"), F.lit(None).cast("string").alias("next_imei"))
     return assessed.unionByName(nothing)
 
 
@@ -115,8 +115,10 @@ def survival(tenure: DataFrame, by: str = "cohort") -> DataFrame:
     return at_risk.select(by, "days", "events", "at_risk", F.round(F.when(dead == 1, 0.0).otherwise(product), 6).alias("share")).where("events > 0")
 
 
-def device_age(events: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Active handsets by the month in which they first came."""
-    first = events.where("label = 'add'").groupBy("imei").agg(F.min("data_date").alias("first"))
+def device_age(events: DataFrame, snapshot: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Active handsets by model and the month in which they first came, 0 for those of the dump."""
+    seen = events.select("imei", F.col("data_date").alias("first"), F.lit(0).alias("dump")).unionByName(snapshot.select("imei", F.lit(None).cast("date").alias("first"), F.lit(1).alias("dump")))
+    first = seen.groupBy("imei").agg(F.min("first").alias("first"), F.max("dump").alias("dump"))
     active = flagged.where("active = 1 and countable = 1").select("imei").distinct()
-    return active.join(first, "imei").groupBy(F.date_format("first", "yyyyMM").cast("int").alias("month")).agg(F.count(F.lit(1)).alias("handsets"))
+    month = F.when(F.col("dump") == 1, 0).otherwise(F.date_format("first", "yyyyMM").cast("int"))
+    return active.join(first, "imei").groupBy(F.substring("imei", 1, 8).alias("tac"), month.alias("month")).agg(F.count(F.lit(1)).alias("handsets"))

@@ -237,21 +237,23 @@ SPELLS = SPELL + """,
 few as (select * from (select *, count(*) over (partition by msisdn) as n from spell) where n <= 40),
 twins as (select distinct a.msisdn, a.imei from few a join few b on a.msisdn = b.msisdn and (b.imei = concat(substr(a.imei, 1, 8), lpad(cast(cast(substr(a.imei, 9, 6) as int) - 1 as varchar), 6, '0'))
  or b.imei = concat(lpad(cast(cast(substr(a.imei, 1, 8) as int) - 100 as varchar), 8, '0'), substr(a.imei, 9, 6)))),
-kept as (select * from few anti join twins using (msisdn, imei)),
+alone as (select * from few anti join twins using (msisdn, imei)),
+heavy as (select msisdn from spell group by 1 having count(*) > 40 union select msisdn from alone group by 1 having count(*) > 20),
+kept as (select * from alone anti join heavy using (msisdn)),
 succ as (select msisdn, imei, next_start, next_imei from (select a.msisdn, a.imei, b.start as next_start, b.imei as next_imei, row_number() over (partition by a.msisdn, a.imei order by b.start, b.imei) as k
  from kept a join kept b on a.msisdn = b.msisdn and b.start > a.start and datediff('day', a.finish, b.start) between -7 and 30 where a.finish is not null) where k = 1),
 tenure as (select k.msisdn, k.imei, case when finish is null then 3 when next_imei is not null then 1 else 2 end as outcome, greatest(datediff('day', start, coalesce(next_start, finish, date '2026-04-25')), 0) as days,
- case when dump = 1 then 0 else cast(strftime(start, '%Y%m') as int) end as cohort, next_imei from kept k left join succ using (msisdn, imei))"""
-_spells = lambda t: planning.spells(t.events, t.snapshot, t.flagged, AS_OF)
-query("spells", SPELL + "\nselect * from spell")(_spells)
-query("spell_events", SPELLS + "\nselect * from tenure")(lambda t: planning.spell_events(_spells(t), AS_OF))
-query("tenure", SPELLS + "\nselect cohort, days, outcome, count(*) as n from tenure group by all")(lambda t: planning.spell_events(_spells(t), AS_OF).groupBy("cohort", "days", "outcome").agg(F.count(F.lit(1)).alias("n")))
+ case when dump = 1 then 0 else cast(strftime(start, '%Y%m') as int) end as cohort,
+  case when finish is not null and next_imei is not null then cast(strftime(next_start, '%Y%m') as int) else 0 end as month, next_imei from kept k left join succ using (msisdn, imei)
+ union all select msisdn, null, 4, 0, 0, 0, null from heavy)"""
+spells_of = lambda t: planning.spells(t.events, t.snapshot, t.flagged, AS_OF)
+query("spells", SPELL + "\nselect * from spell")(spells_of)
+query("spell_events", SPELLS + "\nselect * from tenure")(lambda t: planning.spell_events(spells_of(t), AS_OF))
 query("survival", SPELLS + """,
-days as (select cohort, days, count(*) filter (outcome = 1) as events, count(*) as ended from tenure group by all),
+days as (select cohort, days, count(*) filter (outcome = 1) as events, count(*) as ended from tenure where outcome <> 4 group by all),
 risk as (select *, sum(ended) over (partition by cohort order by days desc) as at_risk from days),
 km as (select *, max(case when events = at_risk then 1 else 0 end) over w as dead, exp(sum(ln(case when events < at_risk then 1 - events / at_risk else 1.0 end)) over w) as p from risk window w as (partition by cohort order by days))
-select cohort, days, events, at_risk, round(case when dead = 1 then 0.0 else p end, 6) as share from km where events > 0""")(lambda t: planning.survival(planning.spell_events(_spells(t), AS_OF)))
-query("device_age", "\nselect cast(strftime(first, '%Y%m') as int) as month, count(*) as handsets from (select distinct imei from flag where active = 1 and countable = 1) join (select imei, min(data_date) as first from ev where label = 'add' group by 1) using (imei) group by 1")(lambda t: planning.device_age(t.events, t.flagged))
+select cohort, days, events, at_risk, round(case when dead = 1 then 0.0 else p end, 6) as share from km where events > 0""")(lambda t: planning.survival(planning.spell_events(spells_of(t), AS_OF)))
 query("profile_feed", "\nselect label, count(*) as n, count(distinct msisdn) as numbers, count(distinct imsi) as sims, count(distinct imei) as imeis, min(length(imei)) as shortest, max(length(imei)) as longest from ev group by 1")(
     lambda t: t.events.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("msisdn").alias("numbers"), F.count_distinct("imsi").alias("sims"), F.count_distinct("imei").alias("imeis"), F.min(F.length("imei")).alias("shortest"), F.max(F.length("imei")).alias("longest"))
 )
