@@ -49,36 +49,50 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of word codes (0 separates its parts), exact for patterns of up to ``depth`` words."""
+    """Index of a text of word codes (0 separates its parts), exact for matches of up to ``depth`` words.
 
-    def __init__(self, codes: np.ndarray, depth: int):
-        self.codes = codes
+    The text itself and its suffix array are not kept: the BWT stands in a wavelet matrix, and of each
+    suffix only the owner of its place (a small number a part) in 32 bits.
+    """
+
+    def __init__(self, codes: np.ndarray, depth: int, owners: np.ndarray):
         rank, step = codes.astype(np.int64), 1
         while step < depth:  # prefix doubling: suffixes in order of their first ``depth`` words
             ahead = np.zeros(len(rank), np.int64)
             ahead[:-step] = rank[step:] + 1
             rank = np.unique(rank * (int(rank.max(initial=0)) + 3) + ahead, return_inverse=True)[1]
             step *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        bwt = codes[self.suffixes - 1]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=int(codes.max(initial=0)) + 1))))
-        self.matrix = WaveletMatrix(bwt, max(1, int(codes.max(initial=0)).bit_length()))
+        suffixes = np.argsort(rank, kind="stable")
+        most = int(codes.max(initial=0))
+        self.size = len(codes)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=most + 1))))
+        self.matrix = WaveletMatrix(codes[suffixes - 1], max(1, most.bit_length()))
+        self.owners = owners[suffixes].astype(np.int32)
 
     def extend(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of ``code`` followed by what the given ranges stand for."""
         _, before_low, before_high = self.matrix.rank(code, low, high)
         return self.first[code] + before_low, self.first[code] + before_high
 
-    def repeated(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows of ``length`` words at ``at``, those that occur twice or more, with their suffix ranges.
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many words of ``stream`` up to each of ``ends`` stand at two or more places of the text, up to ``most``, and their suffix ranges.
 
-        Backward search word by word; a window whose match so far stands only once is given up: its
-        matching statistic with the rest of the text stays below ``length``.
+        Backward search goes on word by word and all places at once; a place whose match stands only once has its statistic.
         """
-        alive = np.arange(len(at))
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.codes), np.int64)
-        for k in range(length - 1, -1, -1):
-            low, high = self.extend(self.codes[at[alive] + k], low, high)
-            more = high - low > 1
+        reach = np.zeros(len(ends), np.int64)
+        first, last = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        alive, low, high = np.arange(len(ends)), first, last
+        for k in range(most):
+            low, high = self.extend(stream[ends[alive] - k], low, high)
+            more = np.flatnonzero(high - low > 1)
             alive, low, high = alive[more], low[more], high[more]
-        return alive, low, high
+            if not len(alive):
+                break
+            reach[alive], first[alive], last[alive] = k + 1, low, high
+        return reach, first, last
+
+    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest owner in each of the suffix ranges, which are equal or apart."""
+        begins, back, number = np.unique(low, return_index=True, return_inverse=True)
+        cells = np.stack([begins, high[back]], axis=1).ravel()
+        return np.minimum.reduceat(np.append(self.owners, np.iinfo(np.int32).max), cells)[::2][number]

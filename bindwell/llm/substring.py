@@ -120,6 +120,11 @@ def _unpacked(column: pa.Array) -> pa.Array:
     return pa.array([unpack(x.as_buffer()) for x in column], pa.binary()).cast(pa.string())
 
 
+def _words_of(text: pa.Scalar) -> list[bytes]:
+    """The words of a text; bytes are cut at the same ASCII white space as ``SPACED`` says."""
+    return text.as_buffer().to_pybytes().split()
+
+
 def _with_text(docs: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
     """Documents that have a list, with it. Others' texts are not moved while the ids are few."""
     ids = cut(lists.select(F.col("id").alias("__id")).distinct())
@@ -188,20 +193,20 @@ def covered_windows(keys, ids, contents: list[bytes], window: int) -> tuple[np.n
         own = np.flatnonzero(chosen[words.row])
         owner = words.row[own]
         place = np.arange(len(own)) + np.searchsorted(several, owner)  # a separator after each segment
-        codes = np.zeros(len(own) + len(several) + 1, np.int64)
+        codes = np.zeros(len(own) + len(several) + 1, np.int32)
         codes[place] = np.unique(words.hash[own], return_inverse=True)[1] + 1
-        index = FMIndex(codes, window)
+        by_place = np.full(len(codes), len(distinct), np.int32)  # segments in order of their smallest id
+        order = np.argsort(smallest, kind="stable")
+        by_place[place] = np.argsort(order, kind="stable")[owner]
+        index = FMIndex(codes, window, by_place)
         inner = own - words.first[owner]
         begins = inner < n_windows[owner]
         at, which = place[begins], (first_window[owner] + inner)[begins]
-        alive, low, high = index.repeated(at, window)
-        if len(alive):
-            by_place = np.full(len(codes), np.iinfo(np.int64).max)
-            by_place[place] = smallest[owner]
-            in_order = np.append(by_place[index.suffixes], np.iinfo(np.int64).max)
-            ranges, back = np.unique(low, return_index=True)
-            least = np.minimum.reduceat(in_order, np.stack([ranges, high[back]], axis=1).ravel())[::2]
-            best[which[alive]] = least[np.searchsorted(ranges, low)]
+        reach, low, high = index.matching_statistics(codes, at + window - 1, window)
+        above = np.flatnonzero(reach == window)
+        if len(above):
+            least = index.least_owner(low[above], high[above])
+            best[which[above]] = smallest[order[least]]
     windows = n_windows[number]
     owner = np.repeat(np.arange(len(number)), windows)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -262,26 +267,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
+    def digest(words: list[bytes]) -> str:
+        return hashlib.sha256(b" ".join(words)).hexdigest()
+
     def whole(batch):
-        words = Words(batch.column(2), SPACED, lower=False)
-        digests = [hashlib.sha256(words.span(int(words.first[k]), int(words.count[k]))).hexdigest() for k in range(words.rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.count, pa.int64()), pa.array(digests)], names=["id", "th", "n_words", "all"])
+        words = [_words_of(x) for x in batch.column(2)]
+        counts = pa.array([len(w) for w in words], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array([digest(w) for w in words], pa.string())], names=["id", "th", "n_words", "all"])
 
     def kept(batch):
-        words = Words(_unpacked(batch.column(3)), SPACED, lower=False)
-        offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values
-        a, b = (values.field(k).to_numpy()[offsets[0] : offsets[-1]] for k in range(2))
-        row = np.repeat(np.arange(words.rows), np.diff(offsets))
-        change = np.zeros(len(words.hash) + 1, np.int64)
-        np.add.at(change, words.first[row] + a, 1)
-        np.add.at(change, words.first[row] + b, -1)
-        gone = np.cumsum(change)[:-1] > 0
-        removed = np.bincount(words.row[gone], minlength=words.rows)
-        digests = []
-        for k in range(words.rows):
-            left = np.flatnonzero(~gone[words.first[k] : words.first[k + 1]]) + words.first[k]
-            digests.append(hashlib.sha256(b" ".join(words.data[words.start[w] : words.end[w]].tobytes() for w in left)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests)], names=["id", "th", "n_removed", "rest"])
+        removed, rest = [], []
+        for ranges, text in zip(batch.column(2), _unpacked(batch.column(3)), strict=True):
+            words = _words_of(text)
+            change = np.zeros(len(words) + 1, np.int64)
+            np.add.at(change, ranges.values.field(0).to_numpy(), 1)
+            np.add.at(change, ranges.values.field(1).to_numpy(), -1)
+            stays = np.cumsum(change)[:-1] == 0
+            removed.append(len(words) - int(stays.sum()))
+            rest.append(digest([words[k] for k in np.flatnonzero(stays)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(rest, pa.string())], names=["id", "th", "n_removed", "rest"])
 
     every = map_texts(mine, ["id", "th", "text"], whole, "id long, th long, n_words long, all string")
     repeated = cut(_repeated_anchors(_anchor_rows(mine, window), most))

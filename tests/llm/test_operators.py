@@ -153,18 +153,25 @@ def test_substring_dedup(spark, corpus):
     assert substring.substring_dedup(table(spark, []).limit(0)).count() == 0
 
 
-def test_fm_index_counts():
+def test_fm_index_gives_matching_statistics():
+    """Against all substrings of the text: the longest match that stands twice, its places, and their smallest owner."""
     rng = np.random.default_rng(2)
     codes = np.append(rng.integers(1, 6, 400), 0)
-    index = fmindex.FMIndex(codes, 8)
-    text = codes.tolist()
-    at = np.arange(0, 390)
-    for length in (1, 3, 8):
-        alive, low, high = index.repeated(at, length)
-        counts = Counter(tuple(text[i : i + length]) for i in range(len(text) - length + 1))
-        want = [i for i in at if counts[tuple(text[i : i + length])] > 1]
-        assert alive.tolist() == want
-        assert [int(h - lo) for lo, h in zip(low, high, strict=True)] == [counts[tuple(text[i : i + length])] for i in want]
+    owners = rng.integers(0, 50, len(codes))
+    index, text = fmindex.FMIndex(codes, 8, owners), codes.tolist()
+    stream = np.append(rng.integers(1, 6, 60), codes[100:160])
+    ends = np.arange(8, len(stream))
+    reach, low, high = index.matching_statistics(stream, ends, 8)
+    for k, e in enumerate(ends):
+        places = lambda n: [i for i in range(len(text) - n + 1) if text[i : i + n] == stream[e - n + 1 : e + 1].tolist()]  # noqa: B023, E731
+        n = max((n for n in range(1, 9) if len(places(n)) > 1), default=0)
+        assert reach[k] == n
+        assert high[k] - low[k] == (len(places(n)) if n else len(text))
+    some = np.flatnonzero(reach == 3)
+    least = index.least_owner(low[some], high[some])
+    for k, got in zip(some, least, strict=True):
+        e = ends[k]
+        assert got == min(owners[i] for i in range(len(text) - 2) if text[i : i + 3] == stream[e - 2 : e + 1].tolist())
 
 
 def test_decontamination(spark):
