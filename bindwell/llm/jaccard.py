@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,58 +267,89 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, siz
     return cut(with_b.where(similar("ta", "tb")).select("a", "b").distinct())
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """(key, hub, hub_component, size): of each key the member that shares most keys with others, and how many members there are."""
+    shared = members.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.max_by(F.struct("id", "component"), F.struct("shared", -F.col("id")))
+    hubs = members.join(shared, "id").groupBy("key").agg(best.alias("hub"), F.count(F.lit(1)).alias("size"))
+    return hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.component").alias("hub_component"), "size")
+
+
 def _cells(members: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of one key and of different components that sizes and sketches allow.
 
-    ``members``: key, id, component; ``light``: id, n, sketch. A key's members are numbered and cut into
-    pieces; every two pieces meet in a cell of at most 2 x CELL rows, so no group is held whole.
-    Sketches join last and are shuffled once, to their cells.
+    ``members``: key, id, component; ``light``: id, n, sketch. A key's members are dealt by the hash of
+    their id into pieces of about CELL, and every two pieces meet in a cell, so no group is held whole.
+    Keys with the same hub mostly have the same members: their cells are dealt alike and stand together,
+    so a pair that shares many keys comes out once. Sketches join last and are shuffled once.
     """
-    by_key = Window.partitionBy("key").orderBy("component", "id")
-    piece = ((F.row_number().over(by_key) - 1) / CELL).cast("int")
-    numbered = written(members.withColumn("piece", piece), "numbered")
-    pieces = numbered.groupBy("key").agg(F.max("piece").alias("last"))
-    x = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x")
-    spread = numbered.join(pieces, "key").select("key", "id", "component", "piece", x)
-    spread = spread.select("key", F.least("piece", "x").alias("i"), F.greatest("piece", "x").alias("j"), "piece", "id", "component").join(light, "id")
-
-    def pairs_of(cells: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
-        """Rows of a cell stand together. Every row meets the row ``apart`` places on, for every such distance in a cell."""
+    hubs = written(_hubs(members).drop("hub_component"), "hubs")
+    pieces = hubs.groupBy("hub").agg(F.ceil(F.max("size") / CELL).cast("int").alias("pieces"))
+    dealt = members.join(hubs.join(pieces, "hub").select("key", "hub", "pieces"), "key")
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece")
+    x = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x")
+    spread = dealt.select("key", "hub", "id", "component", piece, x)
+    spread = spread.select("hub", F.least("piece", "x").alias("i"), F.greatest("piece", "x").alias("j"), "key", "piece", "id", "component").join(light, "id")
+
+    def pairs_of(cells: pd.DataFrame, cell: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """(group, a, b). Rows of a cell stand together. Every row meets the row ``apart`` places on, for every such distance in a cell."""
         n, component, ident, piece = (cells[c].to_numpy() for c in ("n", "component", "id", "piece"))
         whole = (cells["i"] == cells["j"]).to_numpy()
         sketches = Sketches(cells["sketch"].tolist())
         ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
         left = ends[np.searchsorted(ends, np.arange(len(cell)), "right")] - np.arange(len(cell)) - 1  # rows of the cell that follow
-        found, x, apart = [], np.flatnonzero(left), 1
+        found, x, apart = [np.empty((0, 3), np.int64)], np.flatnonzero(left), 1
         while len(x):
             y = x + apart
             low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             fit = (component[x] != component[y]) & (whole[x] | (piece[x] != piece[y])) & (low * rule.den >= high * rule.num)
             u, v = x[fit], y[fit]
             close = rule.near(sketches.apart(u, sketches, v), n[u] + n[v])
-            found.append(np.stack([ident[u[close]], ident[v[close]]], axis=1))
+            u, v = u[close], v[close]
+            found.append(np.stack([group[u], np.minimum(ident[u], ident[v]), np.maximum(ident[u], ident[v])], axis=1))
             apart += 1
             x = x[left[x] >= apart]
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(pairs[pairs[:, 0] != pairs[:, 1]], columns=["a", "b"])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[pairs[:, 1] != pairs[:, 2]]
 
     def run(frames):
-        rest = None
+        rest, seen, of = None, np.empty((0, 2), np.int64), None  # pairs that the group ``of`` (hub, i, j) has given already
+
+        def fresh(rows: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
+            nonlocal seen, of
+            label = rows[["hub", "i", "j"]].to_numpy()
+            group = np.append(0, np.cumsum((label[1:] != label[:-1]).any(axis=1)))
+            pairs = pairs_of(rows, cell, group)
+            if of is not None and tuple(label[0]) == of and len(seen):
+                first = pairs[:, 0] == 0
+                again = np.zeros(len(pairs), bool)
+                again[first] = np.isin(_pair_codes(pairs[first, 1:]), _pair_codes(seen))
+                pairs = pairs[~again]
+            last = pairs[pairs[:, 0] == group[-1], 1:]
+            seen = np.concatenate((seen, last)) if of == tuple(label[-1]) else last
+            of = tuple(label[-1])
+            return pd.DataFrame(pairs[:, 1:], columns=["a", "b"])
+
         for frame in frames:
             rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            label = rest[["key", "i", "j"]].to_numpy()
+            label = rest[["hub", "i", "j", "key"]].to_numpy()
             cell = np.append(0, np.cumsum((label[1:] != label[:-1]).any(axis=1)))[: len(rest)]
             done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
             if done:
-                yield pairs_of(rest.iloc[:done], cell[:done])
+                yield fresh(rest.iloc[:done], cell[:done])
                 rest = rest.iloc[done:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield pairs_of(rest, np.zeros(len(rest), np.int64))
+            yield fresh(rest, np.zeros(len(rest), np.int64))
 
-    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    ordered = spread.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "key")
     return ordered.mapInPandas(trimmed(run), "a long, b long").distinct()
 
 
+def _pair_codes(pairs: np.ndarray) -> np.ndarray:
+    """Pairs as values that can be looked up."""
+    return np.ascontiguousarray(pairs, np.int64).view([("a", np.int64), ("b", np.int64)]).ravel()
+
+
 def linked_components(features: DataFrame, rule: Rule, verify) -> DataFrame:
     """(node, component) of the nodes with links, from stored ``features`` (id, n, sketch, keys).
 
@@ -357,10 +388,8 @@ def _middle_pairs(members: DataFrame) -> DataFrame:
     Copies of one text that differ from each other often have links only with the text itself: it is
     the one that shares most keys with others. Only what has no link with it is compared in pairs.
     """
-    shared = members.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    best = members.join(shared, "id").groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("shared", -F.col("id"))).alias("hub"))
-    pairs = members.join(best, "key").where(F.col("component") != F.col("hub.component"))
-    return pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.join(_hubs(members), "key").where(F.col("component") != F.col("hub_component"))
+    return pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def links_and_components(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
