@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindwell.llm.store import cut, fresh_path
-from bindwell.llm.text import ALNUM, U64, Words, map_texts, portions
+from bindwell.llm.text import ALNUM, U64, Words, in_batches, map_texts, portions
 
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 4
@@ -143,7 +143,7 @@ def _frequencies(docs: DataFrame, text_col: str, shingles: np.ndarray, sizes: li
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["k", "n"])
 
     out = np.zeros(len(shingles), np.int64)
-    counted = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = in_batches(docs).select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     for row in counted.toLocalIterator():
         out[row["k"]] = row["n"]
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.text import buffers, forget, portions, trimmed
+from bindwell.llm.text import buffers, forget, in_batches, portions, trimmed
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -169,7 +169,9 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     chosen = labelled.select(F.col(id_col).alias("__id")).orderBy(*order).limit(max_train).distinct()
     # the chosen ids are at most max_train, so the broadcast is bounded
     joined = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").where(F.col(text_col).isNotNull())
-    sample = joined.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).limit(max_train).collect()
+    wanted = joined.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    place = [F.xxhash64(F.col("id").cast("string")), "id", F.xxhash64("text"), "label"]  # rows that repeat an id come in one order
+    sample = wanted.orderBy(*place).limit(max_train).collect()
     sample.sort(key=lambda r: (str(r["id"]), r["text"], r["label"]))
     return fit([r["text"] for r in sample], [r["label"] for r in sample], **options)
 
@@ -195,4 +197,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     [part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), *(part.column(columns.index(c)) for c in carry)], names=schema.names
                 )
 
-    return docs.select(*columns).mapInArrow(trimmed(run), schema)
+    return in_batches(docs).select(*columns).mapInArrow(trimmed(run), schema)

@@ -101,6 +101,16 @@ def trimmed(function: Callable) -> Callable:
     return run
 
 
+#: Bytes of an Arrow batch between Spark and its workers.
+BATCH_BYTES = 6 << 20
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session from now on sends batches of bounded size: ten thousand long texts would fill both sides' memory."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def portions(batch: pa.RecordBatch, text_index: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of at most ``most`` text bytes (a longer single text is a slice of its own)."""
     _, offsets = buffers(batch.column(text_index))
@@ -181,4 +191,4 @@ def map_texts(docs: DataFrame, columns: list[str], function: Callable, schema, c
             for part in portions(batch, text_index, most):
                 yield from function(part)
 
-    return docs.select(*columns).mapInArrow(trimmed(run), schema)
+    return in_batches(docs).select(*columns).mapInArrow(trimmed(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from bindwell.llm.encode import SLICE_BYTES, encoder
 from bindwell.llm.store import fresh_path
-from bindwell.llm.text import buffers, portions
+from bindwell.llm.text import buffers, in_batches, portions
 
 MAGIC = b"BWPLANE1"
 _HEADER = struct.Struct("<8sIBBQQIQ")
@@ -149,7 +149,7 @@ def write_token_files(
         if held:
             yield flush()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    ordered = in_batches(docs).select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
