@@ -39,11 +39,19 @@ def counted_tac() -> Column:
 
 
 def normal_number(col: Column) -> Column:
-    """A phone number in its ten-digit national form: separators, 00, country code and trunk zero dropped."""
-    digits = F.regexp_replace(col.cast("string"), r"[\s\-().+]", "")
-    digits = F.regexp_replace(digits, "^00", "")
-    digits = F.when((F.length(digits) == 12) & digits.startswith("98"), F.substring(digits, 3, 10)).otherwise(digits)
-    return F.when((F.length(digits) == 11) & digits.startswith("0"), F.substring(digits, 2, 10)).otherwise(digits)
+    """A phone number in its national form: separators, 00, country code and trunk zero dropped. Null with any other sign."""
+    text = col.cast("string")
+    digits = F.regexp_replace(text, r"[+ \-.()\u00a0\t]", "")
+    digits = F.when((F.length(digits) > 2) & digits.startswith("00"), F.regexp_replace(digits, "^00", "")).otherwise(digits)
+    home = digits.startswith("98") & ((F.length(digits) == 12) | ((F.length(digits) == 13) & (F.substring(digits, 3, 1) == "0")))
+    digits = F.when(home, F.regexp_replace(digits, "^98", "")).otherwise(digits)
+    return F.when(digits.rlike("^[0-9]+$"), F.when((F.length(digits) > 1) & digits.startswith("0"), F.regexp_replace(digits, "^0", "")).otherwise(digits))
+
+
+def imsi_of_iccid(iccid: Column) -> Column:
+    """The SIM number that a card number of this numbering was made from."""
+    fits = iccid.rlike("^8998[0-9]{4}000[0-9]{8}$")
+    return F.when(fits, F.concat(F.lit("432"), F.substring(iccid, 5, 4), F.substring(iccid, 12, 8)))
 
 
 def imei_quality(imei: Column) -> Column:
@@ -72,8 +80,8 @@ def mask(col: Column, first: int, last: int) -> Column:
 
 
 def mask_table(df: DataFrame) -> DataFrame:
-    """Numbers 3 + 2, SIMs 5 + 4, handsets to their TAC."""
-    rules = {"msisdn": (3, 2), "imsi": (5, 4), "imei": (8, 0)}
+    """Numbers 3 + 2, SIMs 5 + 4, cards 6 + 4, handsets to their TAC."""
+    rules = {"msisdn": (3, 2), "imsi": (5, 4), "imei": (8, 0), "iccid": (6, 4)}
     return df.select([mask(F.col(c), *rules[c]).alias(c) if c in rules else F.col(c) for c in df.columns])
 
 

@@ -58,6 +58,11 @@ def missing_days(events: DataFrame) -> DataFrame:
     return every.join(events.select("data_date").distinct(), "data_date", "left_anti")
 
 
+def days_behind(events: DataFrame, today: str) -> DataFrame:
+    """The newest day and how many days it is behind ``today``."""
+    return events.agg(F.max("data_date").alias("newest")).withColumn("behind", F.datediff(F.lit(today).cast("date"), "newest"))
+
+
 def multi_number_sims(events: DataFrame) -> DataFrame:
     """SIMs under two or more numbers on a day (two linear groupings instead of a distinct count a SIM)."""
     pairs = events.groupBy("data_date", "imsi", "msisdn").agg(F.count(F.lit(1)).alias("r"))

@@ -8,6 +8,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindwell.functions.rules import mask_table
+from bindwell.sources.ingest import export_csv
+
 #: Limits of a specification.
 DEPTH, CONDITIONS, MEASURES = 6, 40, 10
 
@@ -39,6 +42,24 @@ def prefix_ranges(field: str, prefix: str, digits: int) -> Column:
     return F.col(field).between(int(prefix) * unit, (int(prefix) + 1) * unit - 1)
 
 
+#: Digits of the numeric keys, for which a prefix is a range.
+DIGITS = {"msisdn": 10, "imsi": 15}
+
+
+def route(spec: dict) -> tuple[str, Column | None]:
+    """The layout whose key the required conditions name, and a range that says a prefix again for its column statistics."""
+    need = spec.get("all", [spec]) if spec else []
+    layout, extra = "msisdn", None
+    for condition in need:
+        field, op = condition.get("field"), condition.get("op")
+        if field in ("msisdn", "imsi", "imei") and op in ("=", "in", "startsWith"):
+            layout = field
+        if field in DIGITS and op == "startsWith" and str(condition["value"]).isdigit() and len(str(condition["value"])) <= DIGITS[field]:
+            bounds = prefix_ranges(field, str(condition["value"]), DIGITS[field])
+            extra = bounds if extra is None else extra & bounds
+    return layout, extra
+
+
 def measure(spec: dict) -> Column:
     """count, countDistinct (of a field), min or max, of all rows or of active ones."""
     kind, field = spec["kind"], spec.get("field")
@@ -68,6 +89,8 @@ def explore(df: DataFrame, spec: dict) -> DataFrame:
         df = df.where("no_handset = 0")
     if "where" in spec:
         df = df.where(where(spec["where"]))
+        if (bounds := route(spec["where"])[1]) is not None:
+            df = df.where(bounds)
     by = spec.get("by", [])
     out = df.groupBy(*by).agg(*map(measure, spec["measures"])) if spec.get("measures") else df.select(*by)
     if "having" in spec:
@@ -76,3 +99,9 @@ def explore(df: DataFrame, spec: dict) -> DataFrame:
     if "limit" in spec:
         out = out.orderBy(*order).offset(spec.get("offset", 0)).limit(spec["limit"])
     return out
+
+
+def export(df: DataFrame, spec: dict, path: str, masked: bool = True) -> None:
+    """The answer to a specification as CSV, with identifiers masked unless asked otherwise."""
+    answer = explore(df, spec)
+    export_csv(mask_table(answer) if masked else answer, path)

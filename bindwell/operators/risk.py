@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindwell.functions.rules import flag_handsets
+from bindwell.functions.rules import flag_handsets, imsi_range
 
 
 def _adds(events: DataFrame, tac: DataFrame, multi: DataFrame, as_of: str) -> DataFrame:
@@ -110,3 +110,17 @@ def sim_facts(state: DataFrame) -> DataFrame:
 def search_imsi(state: DataFrame, ranges: DataFrame) -> DataFrame:
     """Bindings whose SIM lies in one of a few (low, high) ranges: a broadcast range join, redundant bounds prune the scan."""
     return state.join(F.broadcast(ranges), F.col("imsi").between(F.col("low"), F.col("high"))).select("prefix", "msisdn", "imsi", "imei", "active")
+
+
+def prefix_ranges(spark: SparkSession, prefixes: list[str]) -> DataFrame:
+    """A few prefixes with the ranges of SIM numbers that they stand for."""
+    low, high = imsi_range(F.col("prefix"))
+    return spark.createDataFrame([(p,) for p in prefixes], "prefix string").select("prefix", low.alias("low"), high.alias("high"))
+
+
+def imsi_page(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` bindings of each prefix with the number of all that were found."""
+    order = Window.partitionBy("prefix").orderBy("imsi", "msisdn", "imei")
+    totals = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("total"))
+    ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+    return ranked.join(F.broadcast(totals), "prefix")  # one row a prefix

@@ -147,9 +147,9 @@ query("sim_changes", SWAP.format(c="imsi"))(lambda f: daily.sim_changes(f.events
 query("device_changes", SWAP.format(c="imei"))(lambda f: daily.device_changes(f.events))
 
 
-@query("built_days", "\nselect distinct data_date from ev where msisdn in (select msisdn from ev) and data_date in (" + SWAP.format(c="imsi").replace("select data_date, count(*) as changes from", "select data_date from", 1).rsplit(" group by data_date", 1)[0] + ")")
+@query("built_days", "\nselect data_date from (" + SWAP.format(c="imsi") + ") intersect select data_date from (" + SWAP.format(c="imei") + ") intersect select data_date from ev")
 def _(f):
-    return daily.built_days(daily.change_daily(f.events), daily.change_summary(f.events), daily.sim_changes(f.events))
+    return daily.built_days(daily.change_daily(f.events), daily.change_summary(f.events), daily.sim_changes(f.events), daily.device_changes(f.events))
 
 
 @query("backfill_days", "\nselect data_date, tac, label, count(*) as n from ev where seq > 45 group by all")

@@ -52,6 +52,57 @@ def replace_days(log_path: str, days: DataFrame) -> None:
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_date").parquet(log_path)
 
 
+def replaced_keys(log: DataFrame, days: DataFrame) -> DataFrame:
+    """Bindings that the log holds on days which are about to be replaced: they are folded again, also where the new day lacks them."""
+    return log.join(days.select("data_date").distinct(), "data_date", "left_semi").select(*KEY).distinct()
+
+
+def reconcile_days(log: DataFrame, accepted: DataFrame) -> DataFrame:
+    """For each day the rows that were accepted and stored, and whether it is kept. A day whose numbers differ must not be published."""
+    count = lambda df, name: df.groupBy("data_date").agg(F.count(F.lit(1)).alias(name))
+    both = count(accepted, "accepted").join(count(log, "stored"), "data_date", "full_outer").fillna(0, ["accepted", "stored"])
+    return both.withColumn("kept", F.col("accepted") == F.col("stored"))
+
+
+# Rules in order, and the severity of each; rows with info and warnings alone are kept.
+SEVERITIES = {
+    "msisdn_not_numeric": "quarantine", "msisdn_length": "quarantine", "imsi_not_numeric": "quarantine", "imsi_length": "quarantine", "imei_not_numeric": "quarantine", "imei_unknown": "info",
+    "imei_length": "warning", "label_unknown": "reject", "field_count": "quarantine",
+}
+_RANK = {"info": 1, "warning": 2, "quarantine": 3, "reject": 4}
+
+
+def classify_rows(lines: DataFrame) -> DataFrame:
+    """Every raw delta line (``value``) with the rules it breaks, its gravest severity and whether it can be loaded."""
+    f = F.split("value", ",", -1)
+    part = lambda k: F.trim(F.coalesce(F.get(f, F.lit(k)), F.lit("")))
+    shape = F.size(f) == 4
+    digits = lambda c: c.rlike("^[0-9]+$")
+    tests = {
+        "msisdn_not_numeric": ~digits(part(0)), "msisdn_length": digits(part(0)) & (F.length(part(0)) != 10), "imsi_not_numeric": ~digits(part(1)), "imsi_length": digits(part(1)) & (F.length(part(1)) != 15),
+        "imei_not_numeric": ~digits(part(2)), "imei_unknown": part(2) == "000000", "imei_length": digits(part(2)) & (part(2) != "000000") & (F.length(part(2)) != 14), "label_unknown": ~F.lower(part(3)).isin("add", "remove"),
+    }
+    broken = [F.when(shape & test, F.lit(name)) for name, test in tests.items()] + [F.when(~shape, F.lit("field_count"))]
+    rank = F.create_map(*(x for name, level in SEVERITIES.items() for x in (F.lit(name), F.lit(_RANK[level]))))
+    judged = lines.select("value", F.array_compact(F.array(*broken)).alias("rules"))
+    worst = F.coalesce(F.array_max(F.transform("rules", lambda r: F.element_at(rank, r))), F.lit(0))
+    name = F.element_at(F.array(*(F.lit(x) for x in ("ok", *_RANK))), worst + 1)
+    return judged.select("value", F.array_join("rules", ",").alias("rules"), name.alias("severity"), (worst <= _RANK["warning"]).alias("loadable"))
+
+
+def scan_catalogue(lines: DataFrame, fields: int) -> DataFrame:
+    """The structure of a catalogue file's records (``value``; one a line, quoted fields may hold commas): records, those with a
+    wrong number of fields, TACs that stand more than once and their records, and the verdict."""
+    width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', "q"), ",", -1))
+    tac = F.regexp_replace(F.substring_index("value", ",", 1), '"', "")
+    rows = lines.where(F.col("value") != "").select(tac.alias("tac"), (width != fields).cast("int").alias("odd"))
+    by = rows.groupBy("tac").agg(F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odd"))
+    sums = by.agg(
+        F.sum("n").alias("records"), F.sum("odd").alias("malformed"), F.count(F.lit(1)).alias("tacs"), F.count_if(F.col("n") > 1).alias("repeated_tacs"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated_records")
+    )
+    return sums.withColumn("accepted", (F.col("malformed") == 0) & (F.col("repeated_tacs") == 0))
+
+
 def validate_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and findings of raw delta lines (one column, ``value``).
 
@@ -75,12 +126,18 @@ def validate_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, judged.select("value", F.inline("found"))
 
 
-def quarantine_summary(findings: DataFrame, rows: int, samples: int = 3) -> DataFrame:
-    """By rule the count, some samples, and whether rejects put the file in quarantine."""
-    order = Window.partitionBy("rule").orderBy("value")
-    sampled = findings.withColumn("k", F.row_number().over(order))
-    sums = sampled.groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.col("value")))).alias("samples"))
-    return sums.withColumn("quarantined", (F.col("level") == "reject") & (F.col("n") > QUARANTINE_SHARE * rows))
+def quarantine_summary(findings: DataFrame, lines: DataFrame, samples: int = 3) -> DataFrame:
+    """By rule the count, the first lines by value, and whether rejects put the file in quarantine.
+
+    The smallest lines are picked in salted parts first, so that no rule meets whole in one task.
+    """
+    salted = Window.partitionBy("rule", "salt").orderBy("value")
+    parts = findings.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("k", F.row_number().over(salted)).where(F.col("k") <= samples)
+    first = parts.withColumn("k", F.row_number().over(Window.partitionBy("rule").orderBy("value"))).where(F.col("k") <= samples)
+    shown = first.groupBy("rule").agg(F.array_sort(F.collect_list("value")).alias("samples"), F.min("value").alias("first"))
+    total = lines.agg(F.count(F.lit(1)).alias("rows"))
+    sums = findings.groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n")).join(shown, "rule").crossJoin(F.broadcast(total))
+    return sums.withColumn("quarantined", (F.col("level") == "reject") & (F.col("n") > QUARANTINE_SHARE * F.col("rows")))
 
 
 def check_headers(spark: SparkSession, path: str, contract: list[str]) -> DataFrame:
@@ -99,11 +156,11 @@ def read_catalogue(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').withColumn("version_id", F.lit(version))
 
 
-def check_version(catalogue: DataFrame) -> DataFrame:
-    """Rows, distinct and malformed TACs, blank makers of a version."""
+def check_version(catalogue: DataFrame, date_col: str = "allocationDate") -> DataFrame:
+    """Rows, distinct and malformed TACs, blank makers and the newest date of a version."""
     return catalogue.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("tac").alias("tacs"), F.count_if(~F.col("tac").rlike("^[0-9]{8}$")).alias("malformed"),
-        F.count_if(F.coalesce(F.trim("manufacturer"), F.lit("")) == "").alias("blank_maker"),
+        F.count_if(F.coalesce(F.trim("manufacturer"), F.lit("")) == "").alias("blank_maker"), F.max(F.to_date(F.try_to_timestamp(date_col, F.lit("dd-MMM-yyyy")))).alias("newest"),
     )
 
 
@@ -126,3 +183,16 @@ def export_csv(df: DataFrame, path: str) -> None:
     """CSV in which no text cell can start a formula."""
     safe = lambda c: F.when(F.col(c).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(c))).otherwise(F.col(c)).alias(c)
     df.select([safe(c) if kind == "string" else F.col(c) for c, kind in df.dtypes]).write.mode("overwrite").csv(path, header=True)
+
+
+def export_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV in a folder of its name."""
+    for name, df in tables.items():
+        export_csv(df, f"{path}/{name}")
+
+
+def to_parquet(spark: SparkSession, path: str, out: str, schema: str = DELTA) -> None:
+    """CSV files as compressed Parquet, each row with its file and batch (the file's folder)."""
+    rows = spark.read.csv(path, header=True, schema=schema)
+    file = F.col("_metadata.file_path")
+    rows.select("*", F.element_at(F.split(file, "/"), -1).alias("fname"), F.element_at(F.split(file, "/"), -2).alias("batch")).write.mode("overwrite").option("compression", "zstd").parquet(out)
