@@ -158,9 +158,10 @@ def read_catalogue(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 def check_version(catalogue: DataFrame, date_col: str = "allocationDate") -> DataFrame:
     """Rows, distinct and malformed TACs, blank makers and the newest date of a version."""
+    date = F.col(date_col) if date_col in catalogue.columns else F.lit(None).cast("string")
     return catalogue.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("tac").alias("tacs"), F.count_if(~F.col("tac").rlike("^[0-9]{8}$")).alias("malformed"),
-        F.count_if(F.coalesce(F.trim("manufacturer"), F.lit("")) == "").alias("blank_maker"), F.max(F.to_date(F.try_to_timestamp(date_col, F.lit("dd-MMM-yyyy")))).alias("newest"),
+        F.count_if(F.coalesce(F.trim("manufacturer"), F.lit("")) == "").alias("blank_maker"), F.max(F.to_date(F.try_to_timestamp(date, F.lit("dd-MMM-yyyy")))).alias("newest"),
     )
 
 

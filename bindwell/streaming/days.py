@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,31 +17,54 @@ def _partitions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_date").parquet(path)
 
 
-def on_days(batch: DataFrame, snapshot: DataFrame, root: str, number: int) -> None:
-    """Take the days of a batch: log, then state of the touched bindings, then the days' marts.
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """The log so far, empty before the first batch."""
+    empty = spark.createDataFrame([], SCHEMA)
+    try:
+        return spark.read.schema(SCHEMA).parquet(f"{root}/log")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+
+
+#: What is derived from the events of each day alone.
+DAY_MARTS = {"change_daily": daily.change_daily, "change_summary": daily.change_summary, "sim_changes": daily.sim_changes, "device_changes": daily.device_changes, "multi_number": daily.multi_number_sims}
+
+
+def on_days(batch: DataFrame, snapshot: DataFrame, root: str, number: int, tac: DataFrame | None = None) -> None:
+    """Take the days of a batch: log, then state, then history of their months, then the days' marts.
 
     A day is written over its own partition, so a redelivered batch changes nothing. Lateness is
-    unbounded, so there is no watermark: touched bindings are derived again from the whole log. State
-    is versioned by batch and readers take the last one that is marked ready.
+    unbounded, so there is no watermark: a newest day is folded onto the state, any other has its
+    touched bindings derived again from the whole log. State is versioned by batch and readers take
+    the last one that is marked ready. With a catalogue the day's defects and model day are kept too.
     """
     spark = batch.sparkSession
-    log_path = f"{root}/log"
     days = batch.select("data_date").distinct()
-    try:
-        before = spark.read.schema(SCHEMA).parquet(log_path).join(days, "data_date", "left_semi").select(*KEY).distinct()
+    log, last = _log(spark, root), latest(spark, root)
+    bounds = log.agg(F.max("data_date").alias("newest")).first()["newest"], batch.agg(F.min("data_date").alias("first")).first()["first"]
+    newest = last is not None and bounds[0] is not None and bounds[1] is not None and bounds[0] < bounds[1]
+    touched = None
+    if last is not None and not newest:
+        before = log.join(days, "data_date", "left_semi").select(*KEY).distinct()
         touched = before.unionByName(batch.select(*KEY)).distinct().checkpoint()
-    except Exception as error:  # the log's folder does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        touched = None
-    _partitions(batch.select("seq", *KEY, "tac", "label", "data_date"), log_path)
-    log = spark.read.schema(SCHEMA).parquet(log_path)
-    last = latest(spark, root)
-    state = fold.fold_all(snapshot, log) if touched is None or last is None else fold.refold_keys(last, log, snapshot, touched)
+    _partitions(batch.select("seq", *KEY, "tac", "label", "data_date"), f"{root}/log")
+    log = _log(spark, root)
+    if last is None:
+        state = fold.fold_all(snapshot, log)
+    else:
+        state = fold.fold_day(last, batch) if newest else fold.refold_keys(last, log, snapshot, touched)
     state.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
     mine = log.join(days, "data_date", "left_semi")
-    for name, step in (("change_daily", daily.change_daily), ("change_summary", daily.change_summary), ("sim_changes", daily.sim_changes), ("device_changes", daily.device_changes)):
+    steps = dict(DAY_MARTS)
+    if tac is not None:
+        steps |= {"dq_daily": lambda rows: daily.dq_daily(rows, tac), "tac_day": lambda rows: daily.tac_day(rows, tac)}
+    for name, step in steps.items():
         _partitions(step(mine), f"{root}/{name}")
+    months = days.select(F.date_format("data_date", "yyyyMM").cast("int").alias("month")).distinct()
+    of_month = log.withColumn("month", F.date_format("data_date", "yyyyMM").cast("int")).join(F.broadcast(months), "month", "left_semi").drop("month")
+    fold.build_history(of_month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{root}/history")
     spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{root}/ready/batch_{number}")
 
 
@@ -48,26 +72,26 @@ def latest(spark: SparkSession, root: str) -> DataFrame | None:
     """State of the newest batch that was finished."""
     try:
         number = spark.read.parquet(f"{root}/ready/*").agg(F.max("batch")).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     return None if number is None else spark.read.parquet(f"{root}/state/batch={number}")
 
 
-def stream_days(spark: SparkSession, source: str, snapshot: DataFrame, root: str) -> StreamingQuery:
+def stream_days(spark: SparkSession, source: str, snapshot: DataFrame, root: str, tac: DataFrame | None = None) -> StreamingQuery:
     """Run over all files that have arrived, then stop; the checkpoint remembers what was taken."""
     events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     events = events.withColumn("tac", tac_of("imei"))
     return (
         events.writeStream.option("checkpointLocation", f"{root}/offsets")
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: on_days(batch, snapshot, root, number))
+        .foreachBatch(lambda batch, number: on_days(batch, snapshot, root, number, tac))
         .start()
     )
 
 
-def daily_counts(events: DataFrame) -> DataFrame:
-    """Tumbling one-day windows over a stream of events, by label."""
+def daily_counts(events: DataFrame, length: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Windows of a length over a stream of events, by label; tumbling unless they slide."""
     timed = events.withColumn("at", F.col("data_date").cast("timestamp"))
-    return timed.withWatermark("at", "7 days").groupBy(F.window("at", "1 day"), "label").agg(F.count(F.lit(1)).alias("n"))
+    return timed.withWatermark("at", "7 days").groupBy(F.window("at", length, slide), "label").agg(F.count(F.lit(1)).alias("n"))
