@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from bindwell.llm.text import FORGET
 
 #: Runs of letters, and other words, that a worker keeps twice over (recent and older ones) and the longest kept; all bound its memory.
-CACHE_RUNS, CACHE_WORDS, CACHE_LENGTH = 100_000, 30_000, 40
+CACHE_RUNS, CACHE_WORDS, CACHE_LENGTH = 60_000, 20_000, 40
 #: Bytes of the texts that are encoded together: words that recur among them are handled once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 _BETWEEN = re.compile(rb"(?<=[^\x00-\x20]) (?=[^\x00-\x20])")
 #: Words with white space or a control character at an end, and empty ones.
 _ODD = r"^[\x00-\x20]|[\x00-\x20]$|^$"
