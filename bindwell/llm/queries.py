@@ -14,6 +14,7 @@ from bindwell.llm.langid import identify, train
 from bindwell.llm.license_scan import scan_licenses
 from bindwell.llm.line_dedup import line_dedup
 from bindwell.llm.packing import pack
+from bindwell.llm.phrases import mine_phrases
 from bindwell.llm.substring import substring_dedup
 from bindwell.llm.tokenbin import token_file_digest
 
@@ -87,6 +88,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_phrase_mining": op11_phrase_mining,
 }
 
 ORACLES = {
@@ -139,4 +145,19 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select w.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
 from w left join spots using (doc_id) left join items using (doc_id)""",
+    "op11_phrase_mining": r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+g as (select lang, m, array_to_string(words[i : i + m - 1], ' ') as phrase from (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i from w, (values (1), (2), (3)) as sizes(m) where len(words) >= m)),
+f as materialized (select lang, m, phrase, count(*) as a from g group by all),
+n as (select lang, cast(sum(a) as bigint) as n from f where m = 1 group by lang),
+c as materialized (select *, string_split(phrase, ' ') as ws from f where m > 1 and a >= 10),
+ends as (select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as pl, array_to_string(ws[k + 1:], ' ') as pr from (select *, unnest(range(1, m)) as k from c)),
+cut as (select e.lang, e.phrase, e.a, k, l.a as l, r.a as r, cast((1000000::hugeint * e.a * e.a) // (l.a::hugeint * r.a) as bigint) as score
+  from ends e join f l on l.lang = e.lang and l.phrase = pl join f r on r.lang = e.lang and r.phrase = pr),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, array_to_string(ws[i : i + 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, 3)) as i from c where m = 3) group by all),
+kept as (select best.* from best left join inside using (lang, phrase) where longer is null or 100 * longer < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join n using (lang) qualify rank <= 2000""",
 }
