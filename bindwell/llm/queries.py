@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from bindwell.llm.chat import format_conversations, read_back
 from bindwell.llm.decontam import decontaminate
 from bindwell.llm.dedup_exact import exact_dedup
+from bindwell.llm.html_text import extract_text
 from bindwell.llm.jaccard import jaccard_join
 from bindwell.llm.langid import identify, train
 from bindwell.llm.license_scan import scan_licenses
 from bindwell.llm.line_dedup import line_dedup
 from bindwell.llm.packing import pack
 from bindwell.llm.phrases import mine_phrases
+from bindwell.llm.runs import find_runs
 from bindwell.llm.substring import substring_dedup
 from bindwell.llm.tokenbin import token_file_digest
 
@@ -92,6 +94,41 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def with_tail_repeated(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of one in ten, by the hash of the id, the words from some place on repeat a unit that begins there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    unit = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), 1, (n - a).cast("int"))
+    changed = F.array_join(F.concat(F.slice(words, 1, a.cast("int")), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_tail_repeated(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = found.withColumn("best", best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -104,6 +141,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
