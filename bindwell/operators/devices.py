@@ -78,6 +78,24 @@ def first_days(tac_day: DataFrame, dump: DataFrame) -> DataFrame:
     return days.join(dump.select("tac", F.lit(1).alias("in_dump")).distinct(), "tac", "full_outer").fillna(0, ["in_dump", "days_seen", "first_day_handsets"])
 
 
+def new_models(firsts: DataFrame, population: DataFrame, tac: DataFrame, start: str, end: str, known_only: bool = False, brand: str = "", device_type: str = "") -> DataFrame:
+    """Models that the dump lacks and whose first countable handset came in a range of days, with what they have come to.
+
+    ``firsts`` as ``first_days`` gives it, ``population``: tac, handsets, sims as served. A brand is
+    part of the brand's or else the maker's name, in any case.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    names = tac.select("tac", F.nullif(F.coalesce(blank("brandName"), F.col("manufacturer")), F.lit("")).alias("brand"), blank("marketingName").alias("model"), blank("deviceType").alias("device_type"), F.lit(1).alias("_known"))
+    rows = firsts.where((F.col("in_dump") == 0) & (F.col("days_seen") > 0) & F.col("first_day").between(start, end)).join(names, "tac", "left")
+    if known_only:
+        rows = rows.where("_known = 1")
+    if brand:
+        rows = rows.where(F.lower(F.coalesce("brand", F.lit(""))).contains(brand.lower()))
+    if device_type:
+        rows = rows.where(F.col("device_type") == device_type)
+    return rows.join(population.select("tac", "handsets", "sims"), "tac", "left").select("tac", "brand", "model", "device_type", "first_day", "days_seen", "first_day_handsets", "handsets", "sims")
+
+
 def arrivals(firsts: DataFrame, tac: DataFrame, grain: str) -> DataFrame:
     """New models by week or month, and those that the catalogue knows."""
     new = firsts.where("in_dump = 0 and days_seen > 0").join(tac.select("tac", F.lit(1).alias("known")).distinct(), "tac", "left")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindwell.functions.rules import mask_table
+from bindwell.functions.rules import flag_handsets, mask_table
 from bindwell.sources.ingest import export_csv
+from bindwell.sources.layouts import Layouts, Manifest
 
 #: Limits of a specification.
 DEPTH, CONDITIONS, MEASURES = 6, 40, 10
@@ -60,6 +62,93 @@ def route(spec: dict) -> tuple[str, Column | None]:
     return layout, extra
 
 
+#: What a condition can say of a model, and how many TACs such conditions are turned into at most.
+DEVICE_FIELDS, MOST_TACS = ("manufacturer", "brandName", "modelName", "marketingName", "deviceType", "operatingSystem"), 300
+#: Digits of the longest number or SIM.
+LONGEST = 15
+
+
+@dataclass(frozen=True)
+class Read:
+    """Which copy of the state answers a question, how, and the key ranges (from, up to but not) that it lies in."""
+
+    layout: str
+    kind: str
+    ranges: tuple[tuple, ...] = ()
+
+
+def required(spec: dict) -> list[dict]:
+    """The conditions that every row must meet: those of the outermost conjunctions."""
+    if "all" in spec:
+        return [c for s in spec["all"] for c in required(s)]
+    return [spec] if "field" in spec else []
+
+
+def _ranges(field: str, condition: dict) -> tuple[tuple, ...]:
+    """Key ranges that a condition on a key, or on a TAC, keeps to."""
+    op, value = condition["op"], condition["value"]
+    values = value if op == "in" else [value]
+    if field == "tac":
+        return tuple((v, v + ":") for v in values)  # ":" follows "9"
+    if op in ("=", "in"):
+        return tuple((v, v + 1) if field in DIGITS else (v, v + "\0") for v in values)
+    if field not in DIGITS:
+        return ((value, value + ":"),)
+    head = str(value)
+    # a prefix is one range for every length that a number with it can have
+    return tuple((int(head) * 10**k, (int(head) + 1) * 10**k) for k in range(LONGEST - len(head) + 1))
+
+
+def choose(spec: dict, tacs: list[str] | None = None) -> Read:
+    """The copy to read: by an exact key, else by a key's prefix, else by TACs, named or resolved from the catalogue; else all."""
+    need = required(spec)
+    for kind, ops in (("key", ("=", "in")), ("range", ("=", "in", "startsWith"))):
+        for field in ("msisdn", "imsi", "imei"):
+            for c in need:
+                digits = field not in DIGITS or c.get("op") != "startsWith" or str(c["value"]).isdigit()
+                if c["field"] == field and c["op"] in ops and digits:
+                    return Read(field, kind, _ranges(field, c))
+    for c in need:
+        if c["field"] == "tac" and c["op"] in ("=", "in", "startsWith"):
+            return Read("imei", "range", _ranges("tac", c))
+    if tacs:
+        return Read("imei", "range", _ranges("tac", {"op": "in", "value": tacs}))
+    return Read("msisdn", "scan")
+
+
+def resolve_tacs(spec: dict, catalogue: DataFrame) -> list[str] | None:
+    """The TACs that the required positive conditions on models name; none if there are no such conditions or too many TACs."""
+    asked = [c for c in required(spec) if c["field"] in DEVICE_FIELDS and c["op"] in ("=", "in", "contains", "startsWith")]
+    if not asked:
+        return None
+    found = [r[0] for r in catalogue.where(reduce(and_, map(where, asked))).select("tac").distinct().limit(MOST_TACS + 1).collect()]
+    return found if len(found) <= MOST_TACS else None
+
+
+def routed(layouts: Layouts, manifest: Manifest, spec: dict, catalogue: DataFrame) -> DataFrame:
+    """The flagged rows of the state that can answer a specification, read from the copy that fits it best.
+
+    Ranges of the copy are chosen on the driver, row groups by the bounds that stand beside the
+    conditions. Columns of the catalogue are there if a condition or a grouping asks for them.
+    """
+    asked = spec.get("where", {})
+    read = choose(asked, resolve_tacs(asked, catalogue))
+    if read.kind == "scan":
+        rows = layouts.read(read.layout, manifest)
+    else:
+        ids = sorted({i for low, high in read.ranges for i in layouts.ranges_below(read.layout, low, high)})
+        column = F.col(read.layout)
+        rows = layouts.read(read.layout, manifest, ids).where(reduce(or_, ((column >= low) & (column < high) for low, high in read.ranges)))
+    flagged = flag_handsets(rows, catalogue)
+    named = [c for c in DEVICE_FIELDS if c in _fields(asked) | set(spec.get("by", [])) and c in catalogue.columns]
+    return flagged.join(catalogue.select("tac", *named), "tac", "left") if named else flagged
+
+
+def explore_stored(layouts: Layouts, manifest: Manifest, spec: dict, catalogue: DataFrame) -> DataFrame:
+    """Answer a specification from the stored copies of the state."""
+    return explore(routed(layouts, manifest, spec, catalogue), spec)
+
+
 def measure(spec: dict) -> Column:
     """count, countDistinct (of a field), min or max, of all rows or of active ones."""
     kind, field = spec["kind"], spec.get("field")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindwell.functions.rules import flag_handsets, imsi_range
@@ -107,9 +107,57 @@ def sim_facts(state: DataFrame) -> DataFrame:
     )
 
 
-def search_imsi(state: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Bindings whose SIM lies in one of a few (low, high) ranges: a broadcast range join, redundant bounds prune the scan."""
-    return state.join(F.broadcast(ranges), F.col("imsi").between(F.col("low"), F.col("high"))).select("prefix", "msisdn", "imsi", "imei", "active")
+def interval_join(rows: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
+    """Rows with every (low, high) range that their ``key`` (a whole number) lies in, for any number of ranges.
+
+    A range has the level of the smallest power of ten that is no less than its length, so it meets
+    one or two blocks of that size; rows ask in one block of each level that occurs (19 at most). An
+    equi join on level and block finds the pairs, which the bounds then confirm. No side is broadcast
+    unless Spark finds it small, and a hot block is split as any skewed join key is.
+    """
+    length = (F.col("high") - F.col("low") + 1).cast("string")
+    power = F.length(length) - F.when(length.rlike("^10*$"), 1).otherwise(0)
+    cut = ranges.where("low <= high").withColumn("_level", power).withColumn("_unit", F.expr("cast(pow(10, _level) as bigint)"))
+    cut = cut.withColumn("_block", F.explode(F.array_distinct(F.array(F.expr("low div _unit"), F.expr("high div _unit"))))).drop("_unit")
+    levels = [r[0] for r in cut.select("_level").distinct().collect()]  # 19 at most
+    asks = F.array(*(F.struct(F.lit(k).alias("_level"), F.expr(f"{key} div {10**k}L").alias("_block")) for k in levels)) if levels else F.expr("cast(array() as array<struct<_level:int,_block:bigint>>)")
+    asking = rows.select("*", F.inline(asks))
+    return asking.join(cut, ["_level", "_block"]).where(F.col(key).between(F.col("low"), F.col("high"))).drop("_level", "_block")
+
+
+def search_imsi(state: DataFrame, ranges: DataFrame, where: Column | None = None) -> DataFrame:
+    """Bindings whose SIM lies in one of the (prefix, low, high) ranges, and that meet a condition; the outermost bounds prune the scan."""
+    bounds = ranges.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    asked = state.where(F.col("imsi").between(bounds["low"], bounds["high"])) if bounds["low"] is not None else state.limit(0)
+    found = interval_join(asked if where is None else asked.where(where), "imsi", ranges)
+    return found.select("prefix", "msisdn", "imsi", "imei", "active")
+
+
+def search_sims(flagged: DataFrame, ranges: DataFrame, devices: DataFrame, most: int, active: bool | None = None, device_type: str = "", maker: str = "", confirmed_from: str = "", confirmed_to: str = "") -> DataFrame:
+    """The first ``most`` bindings of each term, with their models and how many were found, and how many no handset could carry.
+
+    Rows without a handset are left out and counted apart. Filters are on activity, device type,
+    maker and the day a binding was last confirmed. The page is picked in salted parts first.
+    """
+    rows = interval_join(flagged, "imsi", ranges)
+    left_out = rows.groupBy("prefix").agg(F.count_if(F.col("no_handset") == 1).alias("left_out"))
+    shown = rows.where("no_handset = 0").join(devices.select("tac", "manufacturer", "marketingName", "deviceType", "operatingSystem"), "tac", "left")
+    if active is not None:
+        shown = shown.where(F.col("active") == int(active))
+    for wanted, column in ((device_type, "deviceType"), (maker, "manufacturer")):
+        if wanted:
+            shown = shown.where(F.col(column) == wanted)
+    if confirmed_from:
+        shown = shown.where(F.col("last_change_date") >= F.lit(confirmed_from).cast("date"))
+    if confirmed_to:
+        shown = shown.where(F.col("last_change_date") <= F.lit(confirmed_to).cast("date"))
+    order = ["imsi", F.desc("active"), "msisdn", "imei"]
+    totals = shown.groupBy("prefix").agg(F.count(F.lit(1)).alias("total"))
+    salted = shown.withColumn("_salt", F.pmod(F.xxhash64("imsi", "msisdn", "imei"), F.lit(64)))
+    best = salted.withColumn("_k", F.row_number().over(Window.partitionBy("prefix", "_salt").orderBy(*order))).where(F.col("_k") <= most)
+    page = best.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy(*order))).where(F.col("place") <= most)
+    columns = ["prefix", "place", "imsi", "msisdn", "imei", "tac", "manufacturer", "marketingName", "deviceType", "operatingSystem", "active", "last_change_date"]
+    return page.join(totals, "prefix").join(left_out, "prefix").select(*columns, "total", "left_out")
 
 
 def prefix_ranges(spark: SparkSession, prefixes: list[str]) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from bindwell.functions import radio
 from bindwell.functions.radio import parse_radio
 from bindwell.functions.rules import flag_handsets, imsi_range, model_key
-from bindwell.operators import daily, fold, marts, planning, risk
+from bindwell.operators import daily, fold, marts, planning, risk, tac_mart
 from bindwell.plans.state import DQ, EVIDENCE, FEED
 from bindwell.sources.feed import LAST_DAY, stored
-from bindwell.sources.store import kept
+from bindwell.sources.layouts import Journal, Layouts
+from bindwell.sources.store import kept, kept_folder
+from bindwell.streaming.days import on_days
 
 QUERIES, ORACLES = {}, {}
 AS_OF = LAST_DAY
@@ -20,7 +22,7 @@ class Tables:
     """The feed with what most queries derive from it."""
 
     def __init__(self, spark, sf_dir):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         feed = stored(spark, sf_dir)
         self.events, self.snapshot, self.tac, self.vendors = feed.events, feed.snapshot, feed.tac, feed.vendors
         self.state = kept(spark, sf_dir, "state", lambda: fold.fold_all(feed.snapshot, feed.events))
@@ -28,6 +30,23 @@ class Tables:
         self.radio = parse_radio(feed.tac)
         self.devices = marts.with_vendor(feed.tac, feed.vendors)
 
+    @property
+    def mart(self):
+        """The models' mart with its sketches, written once."""
+        return kept(self.spark, self.sf_dir, "tac_mart", lambda: tac_mart.state_mart(self.flagged))
+
+    @property
+    def copies(self):
+        """The sorted copies of the state and their manifest: made from the first days, then kept up to date with the rest."""
+
+        def fill(root):
+            early, late = self.events.where("seq <= 60"), self.events.where("seq > 60")
+            for number, days in enumerate((early, late)):
+                on_days(days, self.snapshot, root, number)
+
+        root = kept_folder(self.spark, self.sf_dir, "copies", fill)
+        return Layouts(self.spark, root), Journal(self.spark, root).manifest()
+
     @property
     def history(self):
         return fold.build_history(self.events).unionByName(fold.history_from_dump(self.snapshot))
@@ -152,9 +171,6 @@ query("band_rows", ACT + RADIO + "\nselect band, count(*) as bindings, count(dis
 query("model_keys", "\nselect tac, lower(regexp_replace(trim(manufacturer), '\\s+', ' ', 'g')) || '|' || lower(regexp_replace(trim(marketingName), '\\s+', ' ', 'g')) as model_key from tac")(
     lambda t: t.tac.select("tac", model_key(F.col("manufacturer"), F.col("marketingName")).alias("model_key"))
 )
-query("new_models", "\nselect tac, min(data_date) as first_day, count(distinct data_date) as days_seen, arg_min(n, data_date) as first_day_handsets from (select tac, data_date, count(distinct imei) as n from ev where tac <> '' and label = 'add' group by all) group by tac")(
-    lambda t: t.events.where("tac <> '' and label = 'add'").groupBy("tac", "data_date").agg(F.count_distinct("imei").alias("n")).groupBy("tac").agg(F.min("data_date").alias("first_day"), F.count(F.lit(1)).alias("days_seen"), F.min_by("n", "data_date").alias("first_day_handsets"))
-)
 query("device_timeline", "\nselect data_date, count(*) filter (label = 'add') as adds, count(*) filter (label = 'remove') as removes from ev where tac = '35100300' group by 1")(
     lambda t: t.events.where("tac = '35100300'").groupBy("data_date").agg(F.count_if(F.col("label") == "add").alias("adds"), F.count_if(F.col("label") == "remove").alias("removes"))
 )
