@@ -71,29 +71,46 @@ act as (select msisdn, imsi, imei, case when no_handset = 1 then '' else tac end
 FIGURES = "count(*) as bindings, count(distinct msisdn) as subscribers, count(distinct imsi) as sims, count(distinct imei) filter (tac <> '') as handsets"
 
 
+_words = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+def _fits_sql(form: tuple) -> tuple[str, str]:
+    """A form as a condition on the list ``ws`` of a token's words, and its number."""
+    before, head, digits, fact = form
+    size = len(before) + (digits is not None)
+    tests = [f"len(ws) = {size}", *(f"ws[{k}] in ({_words(names)})" for k, names in enumerate(before, 1))]
+    if digits is None:
+        return " and ".join(tests), "try_cast(regexp_extract(ws[1], '-(.)', 1) as int)" if fact == "option" else "null"
+    return " and ".join([*tests, f"regexp_full_match(ws[{size}], '{head}[0-9]{{{digits[0]},{digits[1]}}}')"]), f"try_cast(substr(ws[{size}], {len(head) + 1}) as int)"
+
+
 def _token_sql() -> str:
-    """Facts of the band tokens, one select a pattern."""
-    return " union all ".join(
-        f"select tac, '{fact}' as f, " + (f"try_cast(regexp_extract(t, '(?i){pattern}', 1) as int)" if "(\\d" in pattern else "null") + f" as band from tok where label = '{section}' and regexp_matches(t, '(?i){pattern}')"
-        for section, rules in radio.TOKENS.items() for pattern, fact in rules
-    )
+    """Facts of the band tokens, one select a form."""
+    found = [(section, form[3], *_fits_sql(form)) for section, forms in radio.FORMS.items() for form in forms]
+    rows = [f"select tac, '{fact}' as f, {number} as band from tok where label = '{section}' and {test}" for section, fact, test, number in found]
+    return " union all ".join([*rows, f"select tac, 'gsm', null from tok where label = '2G/3G' and upper(t) like '{radio.RAILWAY}%'"])
 
 
-_words = lambda names: ", ".join(f"'{n}'" for n in names)
+def _known_sql(section: str) -> str:
+    railway = [f"upper(t) like '{radio.RAILWAY}%'"] if section == "2G/3G" else []
+    return " or ".join([*(f"({_fits_sql(form)[0]})" for form in radio.FORMS[section]), *railway])
+
+
+_OTHER = " or ".join(f"regexp_full_match(w, '{head.replace('.', '[.]')}[{'0-9' if '0' in signs else 'A-Z+' if '+' in signs else 'A-Z'}]{{{least},{most}}}')" for head, signs, least, most in radio.OTHER_WORDS)
 RADIO = f""",
 sec as (select tac, s, trim(case when contains(s, ':') then split_part(s, ':', 1) else s end) as label from (select tac, unnest(list_filter(list_transform(string_split(bandDetails, '|'), lambda x: trim(x)), lambda x: x <> '')) as s from tac)),
-tok as (select tac, label, trim(t) as t from (select tac, label, unnest(string_split(substr(s, strpos(s, ':') + 1), ',')) as t from sec where contains(s, ':')) where trim(t) <> ''),
-free as (select * from tok where (label = 'Radio Interface' or (label = '2G/3G' and not ({' or '.join(f"regexp_matches(t, '(?i){p}')" for p, _ in radio.TOKENS['2G/3G'])}))) and lower(t) <> '2.4-2.5 ghz'),
+tok as (select *, string_split_regex(case when upper(t) like 'GSM%' and regexp_full_match(upper(t), '[^(]*[(]GSM *[0-9]{{3,4}}[)]') then trim(split_part(upper(t), '(', 1)) else upper(t) end, '\\s+') as ws from (select tac, label, trim(t) as t from (select tac, label, unnest(string_split(substr(s, strpos(s, ':') + 1), ',')) as t from sec where contains(s, ':')) where trim(t) <> '')),
+free as (select * from tok where (label = 'Radio Interface' or (label = '2G/3G' and not ({_known_sql('2G/3G')}))) and lower(t) <> '2.4-2.5 ghz'),
 word as (select tac, label, t, upper(rtrim(w, ':')) as w from (select tac, label, t, unnest(string_split_regex(t, '[ /]+')) as w from free) where w <> ''),
 spoken as ({' union all '.join(f"select tac, '{f}' as f, null as band from word where w in ({_words(n)})" for f, n in radio.WORDS.items() if f)}
- union all select tac, 'lte', cast(substr(w, 2) as int) from word where regexp_matches(w, '{radio.BARE_BAND}')),
+ union all select tac, 'lte', cast(substr(w, 2) as int) from word where regexp_full_match(w, 'B[0-9]{{1,3}}')),
 fact as ({_token_sql()} union all select * from spoken union all select tac, 'listed', null from spoken where f <> 'satellite'
  union all select tac, 'listed', null from sec where label in ('2G/3G', 'LPWAN', '5G NR', '5G REDCAP') or label like '4G%' union all select tac, 'nr', null from sec where label in ('5G NR', '5G REDCAP')
  union all select tac, 'lte', null from sec where label like '4G%' union all select tac, 'redcap', null from sec where label = '5G REDCAP' union all select tac, 'satellite', null from sec where label = 'SATELLITE'
  union all select tac, 'dual', null from sec where label like '5G%' and (contains(label, 'EN-DC') or contains(label, 'NE-DC'))),
-odd as (select tac, concat(label, ': ', t) as t from tok where label in ({_words(radio.TOKENS)}) and label <> '2G/3G' and not ({' or '.join(f"(label = '{s}' and regexp_matches(t, '(?i){p}'))" for s, rules in radio.TOKENS.items() for p, _ in rules)})
- union all select distinct tac, concat(label, ': ', t) from word where w not in ({_words(w for n in radio.WORDS.values() for w in n)}) and not regexp_matches(w, '{radio.BARE_BAND}') and not regexp_matches(w, '(?i){radio.OTHER_WORD}')
- union all select tac, concat(label, ': (section)') from sec where label not in ({_words(radio.TOKENS)}, 'SATELLITE', 'Radio Interface') and label not like '4G%' and label not like '5G%'),
+odd as (select tac, concat(label, ': ', t) as t from tok where label in ({_words(radio.FORMS)}) and label <> '2G/3G' and not ({' or '.join(f"(label = '{s}' and ({_known_sql(s)}))" for s in radio.FORMS)})
+ union all select distinct tac, concat(label, ': ', t) from word where w not in ({_words(w for n in radio.WORDS.values() for w in n)}) and not regexp_full_match(w, 'B[0-9]{{1,3}}') and not ({_OTHER})
+ union all select tac, concat(label, ': (section)') from sec where label not in ({_words(radio.FORMS)}, 'SATELLITE', 'Radio Interface') and label not like '4G%' and label not like '5G%'),
 heard as (select tac, {', '.join(f"coalesce(bool_or(f = '{f}'), false) as {f}" for f in ('listed', 'gsm', 'umts', 'cdma', 'lte', 'nr', 'nb_iot', 'lte_m', 'ec_gsm', 'redcap', 'satellite', 'dual'))},
  coalesce(bool_or(f = 'option' and band = 2), false) as alone, coalesce(bool_or(f = 'option' and band in (3, 4, 7)), false) as beside,
  {', '.join(f"coalesce(list_sort(list(distinct band) filter (f = '{f}' and band is not null)), []) as {f}_bands" for f in ('lte', 'nr', 'umts', 'gsm', 'nb_iot', 'lte_m', 'ntn_b', 'ntn_n'))} from tac left join fact using (tac) group by 1),

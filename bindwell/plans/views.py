@@ -92,7 +92,7 @@ query("ntn_view", HELD + f""",
 cells as (select tac, 'mode' as "by", coalesce(ntn_mode, 'not-stated') as key from radios where ntn = 1 union all select tac, 'orbit', coalesce(ntn_orbits, 'not-stated') from radios where ntn = 1
  union all select tac, 'band', unnest(case when len(ntn_bands) = 0 then ['not-stated'] else ntn_bands end) from radios where ntn = 1)
 select "by", key, {FIGURES} from held join cells using (tac) group by 1, 2""")(lambda t: views.ntn_view(t.flagged, t.radio))
-for _by, _key in (("vendor", "coalesce(vendor, '(unknown TAC)')"), ("model", "coalesce(concat_ws(' ', vendor, nullif(marketingName, '')), '(unknown TAC)')"), ("tac", "s.tac")):
+for _by, _key in (("vendor", "coalesce(vendor, '(unknown TAC)')"), ("model", "coalesce(nullif(concat_ws(' ', vendor, nullif(marketingName, '')), ''), '(unknown TAC)')"), ("tac", "s.tac")):
     query(f"class_breakdown_{_by}", STAGE + f""",
 rows_ as (select {_key} as key, s.msisdn, s.imei, s.bindings from stage s join numbers n on n.msisdn = s.msisdn left join dev d on d.tac = s.tac where n.sunset = 2)
 select key, sum(bindings) as bindings, count(distinct msisdn) as numbers, count(distinct imei) as handsets from rows_ group by 1 order by bindings desc, key limit 12""")(
