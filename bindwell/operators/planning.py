@@ -48,6 +48,27 @@ def number_class(stage: DataFrame) -> DataFrame:
     )
 
 
+def number_models(stage: DataFrame, most: int = 64) -> DataFrame:
+    """The TACs of each number's handsets: the first ``most`` in order, and how many there are.
+
+    A number's rows are cut to ``most`` where they stand, before they are shuffled, so a number with
+    many handsets never has an unbounded list.
+    """
+    held = stage.where("tac <> ''").select("msisdn", "tac").distinct()
+    counts = held.groupBy("msisdn").agg(F.count(F.lit(1)).alias("n_models"))
+    first = held.withColumn("_k", F.row_number().over(Window.partitionBy("msisdn").orderBy("tac"))).where(F.col("_k") <= most)
+    return first.groupBy("msisdn").agg(F.array_sort(F.collect_list("tac")).alias("models")).join(counts, "msisdn")
+
+
+def class_summary(numbers: DataFrame, stage: DataFrame) -> DataFrame:
+    """Numbers, bindings and handsets of each sunset class and reason, and of each eSIM class (reason 0)."""
+    cells = F.array(F.struct(F.lit("sunset").alias("measure"), F.col("sunset").alias("class"), "reason"), F.struct(F.lit("esim").alias("measure"), F.col("esim").alias("class"), F.lit(0).alias("reason")))
+    by = ["measure", "class", "reason"]
+    counted = numbers.select("bindings", F.inline(cells)).groupBy(*by).agg(F.count(F.lit(1)).alias("numbers"), F.sum("bindings").alias("bindings"))
+    handsets = stage.select("msisdn", "imei").join(numbers.select("msisdn", F.inline(cells)), "msisdn").groupBy(*by).agg(F.count_distinct("imei").alias("handsets"))
+    return counted.join(handsets, by, "left").fillna(0, ["handsets"])
+
+
 def breakdown(stage: DataFrame, numbers: DataFrame) -> DataFrame:
     """Numbers, bindings and handsets of each class by model."""
     return stage.join(numbers.select("msisdn", "sunset"), "msisdn").groupBy("sunset", "tac").agg(
@@ -79,29 +100,28 @@ def spell_events(spell: DataFrame, as_of: str, overlap: int = 7, gap: int = 30,
     not assessed: one row of outcome 4 without handsets, of 0 days and cohort 0.
     """
     day = F.lit(as_of).cast("date")
-    per_number = F.count(F.lit(1)).over(Window.partitionBy("msisdn"))
-    sized = spell.withColumn("n", per_number)
-    counted = sized.where(F.col("n") <= most_imeis)
-    head, serial = F.substring("imei", 1, 8).cast("int"), F.substring("imei", 9, 6).cast("int")
+    # the spells of a number side by side: cut to one more than are assessed before they are shuffled
+    first = spell.withColumn("_k", F.row_number().over(Window.partitionBy("msisdn").orderBy("imei"))).where(F.col("_k") <= most_imeis + 1)
+    listed = first.groupBy("msisdn").agg(F.collect_list(F.struct("imei", "start", "finish", "dump")).alias("all"))
+    head, serial = (lambda x: F.substring(x["imei"], 1, 8).cast("int")), (lambda x: F.substring(x["imei"], 9, 6).cast("int"))
     pad = lambda a, b: F.concat(F.lpad(a.cast("string"), 8, "0"), F.lpad(b.cast("string"), 6, "0"))
-    lower = counted.select("msisdn", "imei", F.explode(F.array(pad(head, serial - 1), pad(head - 100, serial))).alias("twin"))
-    twins = lower.join(counted.select("msisdn", F.col("imei").alias("twin")), ["msisdn", "twin"]).select("msisdn", "imei").distinct()
-    alone = counted.join(twins, ["msisdn", "imei"], "left_anti").withColumn("handsets", per_number)
-    kept = alone.where(F.col("handsets") <= most_handsets).select("msisdn", "imei", "start", "finish", "dump")
-    heavy = sized.where(F.col("n") > most_imeis).select("msisdn").union(alone.where(F.col("handsets") > most_handsets).select("msisdn")).distinct()
-    after = kept.select("msisdn", F.col("imei").alias("next_imei"), F.col("start").alias("next_start"))
-    apart = F.datediff("next_start", "finish")
-    pairs = kept.where("finish is not null").join(after, "msisdn").where((F.col("next_start") > F.col("start")) & apart.between(-overlap, gap))
-    successor = pairs.groupBy("msisdn", "imei").agg(F.min(F.struct("next_start", "next_imei")).alias("next"))
-    joined = kept.join(successor, ["msisdn", "imei"], "left")
-    outcome = F.when(F.col("finish").isNull(), 3).when(F.col("next").isNotNull(), 1).otherwise(2)
-    end = F.coalesce("next.next_start", "finish", day)
-    assessed = joined.select(
-        "msisdn", "imei", outcome.alias("outcome"), F.greatest(F.datediff(end, "start"), F.lit(0)).alias("days"), F.when(F.col("dump") == 1, 0).otherwise(F.date_format("start", "yyyyMM").cast("int")).alias("cohort"),
-        F.when(outcome == 1, F.date_format("next.next_start", "yyyyMM").cast("int")).otherwise(0).alias("month"), F.col("next.next_imei").alias("next_imei"),
-    )
-    nothing = heavy.select("msisdn", F.lit(None).cast("string").alias("imei"), F.lit(NOT_ASSESSED).alias("outcome"), F.lit(0).alias("days"), F.lit(0).alias("cohort"), F.lit(0).alias("month"), F.lit(None).cast("string").alias("next_imei"))
-    return assessed.unionByName(nothing)
+    lower = lambda x: F.array(pad(head(x), serial(x) - 1), pad(head(x) - 100, serial(x)))
+    alone = listed.withColumn("names", F.transform("all", lambda x: x["imei"])).select("msisdn", "all", F.filter("all", lambda x: ~F.arrays_overlap("names", lower(x))).alias("kept"))
+    heavy = (F.size("all") > most_imeis) | (F.size("kept") > most_handsets)
+    after = lambda x: F.filter("kept", lambda y: (y["start"] > x["start"]) & F.datediff(y["start"], x["finish"]).between(-overlap, gap))
+    following = lambda x: F.array_min(F.transform(after(x), lambda y: F.struct(y["start"].alias("start"), y["imei"].alias("imei"))))
+    def told(x):
+        own, then = x["own"], x["next"]
+        outcome = F.when(own["finish"].isNull(), 3).when(then.isNotNull(), 1).otherwise(2)
+        end = F.coalesce(then["start"], own["finish"], day)
+        cohort = F.when(own["dump"] == 1, 0).otherwise(F.date_format(own["start"], "yyyyMM").cast("int"))
+        month = F.when(outcome == 1, F.date_format(then["start"], "yyyyMM").cast("int")).otherwise(0)
+        return F.struct(own["imei"].alias("imei"), outcome.alias("outcome"), F.greatest(F.datediff(end, own["start"]), F.lit(0)).alias("days"), cohort.alias("cohort"), month.alias("month"), then["imei"].alias("next_imei"))
+
+    no_text, zero = F.lit(None).cast("string"), F.lit(0)
+    nothing = F.array(F.struct(no_text.alias("imei"), F.lit(NOT_ASSESSED).alias("outcome"), zero.alias("days"), zero.alias("cohort"), zero.alias("month"), no_text.alias("next_imei")))
+    paired = F.transform("kept", lambda x: F.struct(x.alias("own"), F.when(x["finish"].isNotNull(), following(x)).alias("next")))
+    return alone.select("msisdn", F.inline(F.when(heavy, nothing).otherwise(F.transform(paired, told))))
 
 
 def survival(tenure: DataFrame, by: str = "cohort") -> DataFrame:

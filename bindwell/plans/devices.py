@@ -46,10 +46,17 @@ act as (select msisdn, imsi, imei, tac from flag where active = 1 and no_handset
 held as (select tac, count(distinct imei) as handsets, count(distinct imsi) as sims from act group by 1),
 named as (select tac, nullif(coalesce(nullif(brandName, ''), manufacturer), '') as brand, nullif(marketingName, '') as model, nullif(deviceType, '') as device_type from tac),
 new as (select f.tac, n.tac is not null as known, brand, model, device_type, first_day, days_seen, first_day_handsets, handsets, sims from firsts f left join named n on n.tac = f.tac left join held h on h.tac = f.tac where in_dump = 0 and days_seen > 0)"""
-_NEW = "tac, brand, model, device_type, first_day, days_seen, first_day_handsets, handsets, sims"
-query("new_models", NEW + f"\nselect {_NEW} from new where first_day between date '2026-01-26' and date '2026-04-25'")(lambda t: devices.new_models(_firsts(t), marts.tac_population(t.flagged), t.tac, "2026-01-26", "2026-04-25"))
+_NEW = "tac, coalesce(brand, '') as brand, coalesce(model, '') as model, coalesce(device_type, '') as device_type, first_day, days_seen, first_day_handsets, coalesce(handsets, 0) as handsets, coalesce(sims, 0) as sims"
+
+
+def _new(t, *limits):
+    found = devices.new_models(_firsts(t), marts.tac_population(t.flagged), t.tac, *limits)
+    return found.fillna("", ["brand", "model", "device_type"]).fillna(0, ["handsets", "sims"])
+
+
+query("new_models", NEW + f"\nselect {_NEW} from new where first_day between date '2026-01-26' and date '2026-04-25'")(lambda t: _new(t, "2026-01-26", "2026-04-25"))
 query("new_models_filtered", NEW + f"\nselect {_NEW} from new where first_day between date '2026-01-28' and date '2026-03-31' and known and lower(coalesce(brand, '')) like '%brand#%' and device_type = 'Smartphone'")(
-    lambda t: devices.new_models(_firsts(t), marts.tac_population(t.flagged), t.tac, "2026-01-28", "2026-03-31", True, "brand#", "Smartphone")
+    lambda t: _new(t, "2026-01-28", "2026-03-31", True, "brand#", "Smartphone")
 )
 for _grain in ("week", "month"):
     query(f"model_arrivals_{_grain}", FIRSTS + f"\nselect cast(date_trunc('{_grain}', first_day) as date) as period, count(*) as models, count(k.tac) as known from firsts f left join tac k on k.tac = f.tac where in_dump = 0 and days_seen > 0 group by 1")(

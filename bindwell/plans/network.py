@@ -259,6 +259,21 @@ def _(t):
     return planning.breakdown(stage, planning.number_class(stage))
 
 
+for _most in (64, 2):
+    query(f"number_models_{_most}", STAGE + f"\nselect msisdn, array_to_string(list_sort(list(distinct tac))[1:{_most}], ',') as models, count(distinct tac) as n_models from stage where tac <> '' group by 1")(
+        lambda t, n=_most: planning.number_models(planning.handset_stage(t.flagged, t.radio), n).select("msisdn", F.array_join("models", ",").alias("models"), "n_models")
+    )
+
+
+@query("planning_class_summary", STAGE + """,
+cells as (select msisdn, 'sunset' as measure, sunset as class, reason, bindings from numbers union all select msisdn, 'esim', esim, 0, bindings from numbers),
+held as (select measure, class, reason, count(distinct imei) as handsets from cells join (select msisdn, imei from stage) using (msisdn) group by all)
+select measure, class, reason, count(*) as numbers, cast(sum(bindings) as bigint) as bindings, any_value(handsets) as handsets from cells join held using (measure, class, reason) group by all""")
+def _(t):
+    stage = planning.handset_stage(t.flagged, t.radio)
+    return planning.class_summary(planning.number_class(stage), stage)
+
+
 query("planning_summary", STAGE + "\nselect sunset, reason, esim, count(*) as numbers, sum(iot) as iot, sum(gsm_only) as gsm_only from numbers group by all")(lambda t: planning.summary(planning.number_class(planning.handset_stage(t.flagged, t.radio))))
 SPELL = """,
 now as (select msisdn, imei, max(active) as held, max(last_change_date) as last from flag where countable = 1 group by all),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindwell.operators import risk, tac_mart
@@ -9,6 +10,7 @@ from bindwell.operators.explore import explore_stored
 from bindwell.plans.dashboards import LENSED, LENSES
 from bindwell.plans.network import ACT, DIM, KPI, ORACLES, QUERIES, query
 from bindwell.plans.state import STATE
+from bindwell.sources import catalogue
 from bindwell.sources.layouts import Journal
 from bindwell.sources.store import kept_folder
 from bindwell.streaming import days
@@ -137,3 +139,52 @@ def _(t):
 def _(t):
     """Day marts as the deliveries left them."""
     return Journal(t.spark, t.copies[0].root).table("change_summary")
+
+
+CATALOGUE = """,
+recs as (select tac, row_number() over (order by tac) as k from tac),
+good as (select tac, k from recs where k % 41 <> 0)"""
+
+
+def _catalogue_files(t):
+    """The catalogue as files: quoted line feeds, commas and quotes, short and long records, repeated and odd TACs."""
+
+    def fill(root):
+        k = F.row_number().over(Window.orderBy("tac"))  # the catalogue of a test
+        rows = t.tac.withColumn("k", k)
+        cell = {c: F.col(c) if c in t.tac.columns else F.lit("") for c in catalogue.COLUMNS}
+        cell["marketingName"] = F.when(F.col("k") % 7 == 0, F.concat("marketingName", F.lit('\n"two", lines'))).otherwise(F.col("marketingName"))
+        cell["tac"] = F.when(F.col("k") % 53 == 0, F.concat(F.lit("x"), F.substring("tac", 2, 7))).otherwise(F.col("tac"))
+        quoted = F.concat_ws(",", *(F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"')) for c in cell.values()))
+        line = F.when(F.col("k") % 82 == 0, F.lit("35000000,short,record")).when(F.col("k") % 41 == 0, F.concat(quoted, F.lit(",odd"))).otherwise(quoted)
+        again = rows.where("k % 59 = 0 and k % 41 <> 0 and k % 53 <> 0")
+        lines = rows.select("k", line.alias("value")).union(again.select("k", line.alias("value")))
+        head = t.spark.createDataFrame([(0, ",".join(catalogue.COLUMNS))], "k int, value string")
+        head.union(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(root)
+
+    return kept_folder(t.spark, t.sf_dir, "catalogue_files", fill)
+
+
+@query("scan_catalogue_files", CATALOGUE + """
+select count(*) + (select count(*) from good where k % 59 = 0 and k % 53 <> 0) as records, count(*) filter (k % 41 = 0) as malformed, count(*) filter (k % 41 <> 0 and k % 53 = 0) as not_eight_digits,
+ (select count(*) from good where k % 59 = 0 and k % 53 <> 0) as repeated_tacs, (select count(*) from good where k % 59 = 0 and k % 53 <> 0) as repeated_records,
+ coalesce((select string_agg(tac, ',' order by tac) from (select tac from good where k % 59 = 0 and k % 53 <> 0 order by tac limit 10)), '') as repeated_samples, false as accepted from recs""")
+def _(t):
+    scan = catalogue.scan_records(catalogue.read_records(t.spark, _catalogue_files(t)))
+    return scan.drop("malformed_samples").withColumn("repeated_samples", F.array_join("repeated_samples", ","))
+
+
+@query("read_catalogue_files", CATALOGUE + """
+select case when k % 53 = 0 then 'x' || substr(tac, 2) else tac end as tac, case when k % 7 = 0 then marketingName || chr(10) || '"two", lines' else marketingName end as marketingName, bandDetails, 3 as version_id, case when k % 59 = 0 and k % 53 <> 0 then 2 else 1 end as n
+from good join tac using (tac)""")
+def _(t):
+    rows = catalogue.read_catalogue(t.spark, _catalogue_files(t), 3)
+    return rows.groupBy("tac", "marketingName", F.coalesce("bandDetails", F.lit("")).alias("bandDetails"), "version_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vendor_map_updates", """,
+updates as (select manufacturer as raw, case when cast(substr(tac, 6, 3) as int) % 5 = 0 then '' else 'vendor ' || right(tac, 2) end as vendor, tac as updated from tac)
+select raw as raw_manufacturer, arg_max(vendor, updated) as vendor_canonical from updates group by 1 having arg_max(vendor, updated) <> ''""")
+def _(t):
+    vendor = F.when(F.substring("tac", 6, 3).cast("int") % 5 == 0, "").otherwise(F.concat(F.lit("vendor "), F.substring("tac", 7, 2)))
+    return catalogue.vendor_map(t.tac.select(F.col("manufacturer").alias("raw_manufacturer"), vendor.alias("vendor_canonical"), F.col("tac").alias("updated_at")))

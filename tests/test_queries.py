@@ -21,7 +21,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             df[c] = df[c].map(lambda v: None if v is pd.NaT else str(v)[:10]).astype(object)
 
     def cell(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
