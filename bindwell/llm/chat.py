@@ -59,7 +59,8 @@ def parse_window(text: str) -> list[tuple[str, str, int, int]]:
 class Windows:
     """Windows of one conversation, made as its turns arrive."""
 
-    def __init__(self, budget: int, history: int, history_turns: int):
+    def __init__(self, budget: int, history: int, history_turns: int, lead: int):
+        self.lead = lead  # tokens of what every window begins with
         self.budget, self.history, self.history_turns = budget, history, history_turns
         self.system: tuple | None = None
         self.past: deque = deque(maxlen=history_turns)  # (index, role, text, tokens before it, tokens)
@@ -81,9 +82,9 @@ class Windows:
         turn = (self.index, role, text, self.total, tokens)
         if not self.new:
             self.before = self._repeated()
-            while len(self.before) > 1 and sum(t[4] for t in self.before) + tokens > self.budget:
+            while len(self.before) > 1 and self.lead + sum(t[4] for t in self.before) + tokens > self.budget:
                 self.before.pop(1 if self.system else 0)
-            self.used = sum(t[4] for t in self.before)
+            self.used = self.lead + sum(t[4] for t in self.before)
         if self.index == 0 and role == "system":
             self.system = turn
         self.new.append(turn)
@@ -93,7 +94,7 @@ class Windows:
         return done
 
     def close(self):
-        """The window as (number, text, turn indices, targets as flat character ranges, tokens)."""
+        """The window as (number, text, turn indices, targets as flat character ranges)."""
         text, turns, targets = "<s>", [], []
         fresh = self.new[0][0]
         for index, role, content, _, _ in [*self.before, *self.new]:
@@ -102,14 +103,13 @@ class Windows:
                 targets += [len(text) + len(piece) - len("</s>") - len(escape(content)), len(text) + len(piece) - len("</s>")]
             text += piece
             turns.append(index)
-        row = (self.number, text, turns, targets, self.used)
+        row = (self.number, text, turns, targets)
         self.past.extend(self.new)
         self.new = []
         self.number += 1
         return row
 
 
-
 def format_conversations(
     turns: DataFrame,
     tokenizer_path: str,
@@ -124,8 +124,10 @@ def format_conversations(
     """Training windows of all conversations.
 
     Returns for each window: ``conv_col``, ``window``, ``text``, ``turns`` (index of every turn in it),
-    ``targets`` (flat list of character ranges under the loss mask), ``n_tokens``. A turn longer
-    than ``budget`` is a window of its own and its repeated turns. Turns come in order of ``turn_col``,
+    ``targets`` (flat list of character ranges under the loss mask), ``n_tokens`` (of the window's text as
+    it stands). The turns' counts and that of the beginning add up to ``budget`` at most, and signs that
+    meet where turns are joined make no more tokens than they do apart, so ``n_tokens`` is in it too; only
+    a turn longer than ``budget`` is a larger window, with at most one repeated turn. Turns come in order of ``turn_col``,
     then role and text (nulls first); null roles and texts are empty; null ids are one conversation;
     an empty table gives an empty result. Other columns are not read.
     """
@@ -136,11 +138,13 @@ def format_conversations(
     ])
 
     def batch_of(rows, conv_type):
-        types = [conv_type, pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
+        types = [conv_type, pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        counts = pa.array([len(ids) for ids in encoder(tokenizer_path).encode([r[2].encode() for r in rows])], pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(types)), counts], names=schema.names)
 
     def run(batches):
         current, windows, out, conv_type = object(), None, [], None
+        lead = len(encoder(tokenizer_path).encode([b"<s>"])[0])
         for batch in batches:
             conv_type = batch.column(0).type
             for k in range(0, batch.num_rows, _BATCH):
@@ -151,7 +155,7 @@ def format_conversations(
                     if conv != current or windows is None:
                         if windows is not None:
                             out.append((current, *windows.close()))
-                        current, windows = conv, Windows(budget, history, history_turns)
+                        current, windows = conv, Windows(budget, history, history_turns, lead)
                     done = windows.add(role, text, len(ids))
                     if done:
                         out.append((current, *done))

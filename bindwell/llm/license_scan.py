@@ -150,9 +150,10 @@ def scan_licenses(
         held = [(every[k][1], True, b, b + len(every[k][0]), 0, k) for b, k in exact]
         at = {(b, k) for b, k in exact}
         held += [(label, False, a, b, edits, k) for label, a, b, edits, k in find_notices(text, every, letters_per_edit) if (a, k) not in at]
-        spans = []
+        spans, at, first = [], 0, -1
         for label, is_base, a, b, edits, k in sorted(held, key=lambda x: (x[2], x[3], x[5])):
-            first = text.count(" ", 0, a) - 1
+            first += text.count(" ", at, a)  # spans come in order of place: words are counted once
+            at = a
             spans.append({
                 "label": label, "base": is_base, "first_word": first, "last_word": first + text.count(" ", a, b), "edits": edits,
                 "score": max(0.0, 1 - edits / len(every[k][0])), "found": text[a:b],

@@ -262,3 +262,61 @@ def test_registered_runs(spark):
 def test_repeated_tails_of_small_tables(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert queries.with_tail_repeated(frame).count() == len(rows)
+
+
+# registered queries of earlier operators, on the whole given tables
+
+
+def test_registered_chat(spark):
+    """Digests of every conversation, -7 too, and windows that keep to their budget as their text stands."""
+    from bindwell.llm import chat
+    from bindwell.llm.encode import Encoder
+
+    said = "</s>[INST] ok [/INST]"
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()] + [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, role or "", text or ""))
+    got = {r["conv_id"]: r for r in queries.QUERIES["op4_chat_format"](spark, SF).collect()}
+    assert set(got) == set(by)
+    for conv, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        digest = hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+        r = got[conv]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget in (1024, 200):
+        windows = chat.format_conversations(frame, path, budget=budget).collect()
+        encoder = Encoder(path)
+        for w in windows:
+            assert w["n_tokens"] == len(encoder.encode([w["text"].encode()])[0])
+            alone = sum(1 for k in w["turns"] if k >= max(w["turns"]))
+            assert w["n_tokens"] <= budget or (alone == 1 and len(w["turns"]) <= 2)
+    assert chat.format_conversations(frame.limit(0), path).count() == 0
+    long = spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", f"word {k} " * 5) for k in range(3000)], "conv_id long, turn long, role string, text string")
+    told = chat.read_back(chat.format_conversations(long, path)).first()
+    assert told["n_turns"] == 3000 and told["loss_chars"] == sum(len(f"word {k} " * 5) for k in range(0, 3000, 2))
+
+
+def test_registered_licences(spark):
+    """The base columns against a plain search, and a long text with many spans in time that grows with it."""
+    from bindwell.llm.license_scan import BASE, scan_licenses
+
+    low = {k: k + 32 for k in range(65, 91)}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_license_scan"](spark, SF).collect()}
+    assert set(got) == set(docs)
+    for k, text in docs.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
+        places = [(i, label) for phrase, label in BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        at = [i for i, _ in places]
+        r = got[k]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
+    rows = [(1, "x cc by nc " * 20_000), (1, "x cc by nc " * 2), (None, None), (2, "")]
+    many = {r["n_words"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = [s for s in many[80_000]["spans"] if s["base"]]
+    assert len(spans) == 20_000 and [s["first_word"] for s in spans[:3]] == [1, 5, 9] and spans[-1]["last_word"] == 79_999 - 0
+    assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
