@@ -70,19 +70,20 @@ def periods(events: DataFrame, snapshot: DataFrame) -> DataFrame:
 def lifetimes(events: DataFrame, snapshot: DataFrame) -> DataFrame:
     """A binding's life: first seen, last change, periods, idle events, days with conflicts, state."""
     done = fold_outcomes(events, snapshot)
+    opened = (F.col("outcome") == "applied") & (F.col("label") == "add")
     by_day = done.groupBy(*KEY, "data_date").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("outcome") == "redundant_add").alias("redundant"),
-        F.count_if(F.col("outcome") == "orphan_remove").alias("orphan"),
-    )
-    sums = by_day.groupBy(*KEY).agg(
-        F.min("data_date").alias("first"), F.max("data_date").alias("last_change"), F.sum("redundant").alias("redundant"), F.sum("orphan").alias("orphan"),
-        F.count_if(F.col("n") > 1).alias("conflicts"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "redundant_add").alias("redundant"), F.count_if(F.col("outcome") == "orphan_remove").alias("orphan"),
+        F.count_if(opened).alias("opened"), F.max(F.struct("seq", "label")).alias("end"),
     )
-    spans = periods(events, snapshot).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("periods"), F.max(F.col("close").isNull().cast("int")).alias("active"), F.max((F.col("open") == DUMP_DAY).cast("int")).alias("in_dump"),
+    sums = by_day.groupBy(*KEY).agg(
+        F.min("data_date").alias("first"), F.max("data_date").alias("last_change"), F.sum("redundant").alias("redundant"), F.sum("orphan").alias("orphan"), F.count_if(F.col("n") > 1).alias("conflicts"),
+        F.sum("opened").alias("opened"), F.max_by("end.label", "data_date").alias("last"),
     )
-    every = sums.join(spans, KEY, "full_outer")
+    held = sums.join(snapshot.select(*KEY, F.lit(1).alias("in_dump")).distinct(), KEY, "full_outer")
+    # the dump opens a period; what the last event says holds, and without one the dump
+    dumped = F.coalesce("in_dump", F.lit(0))
+    active = F.when(F.col("last").isNull(), dumped).otherwise((F.col("last") == "add").cast("int"))
+    every = held.withColumn("periods", F.coalesce("opened", F.lit(0)) + dumped).withColumn("active", active)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     seen = F.when(F.col("in_dump") == 1, F.lit(DUMP_DAY).cast("date")).otherwise(F.col("first")).alias("first_seen")
     return every.select(*KEY, seen, "last_change", *map(zero, ("periods", "active", "in_dump", "redundant", "orphan", "conflicts")))
@@ -91,8 +92,9 @@ def lifetimes(events: DataFrame, snapshot: DataFrame) -> DataFrame:
 def union_periods(spans: DataFrame, by: list[str]) -> DataFrame:
     """The union of overlapping periods (open, close; no close is endless) for each ``by``."""
     endless = F.lit("9999-12-31").cast("date")
-    order = Window.partitionBy(*by).orderBy("open", "_end")
-    ends = spans.select(*by, "open", F.coalesce("close", endless).alias("_end")).distinct()  # both windows see the same order
+    # of periods that open on a day only the longest matters: a row a day, however many periods a value has
+    order = Window.partitionBy(*by).orderBy("open")
+    ends = spans.groupBy(*by, "open").agg(F.max(F.coalesce("close", endless)).alias("_end"))
     reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = ends.withColumn("_new", F.when(F.col("open") <= reach, 0).otherwise(1))
     islands = starts.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

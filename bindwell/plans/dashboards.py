@@ -8,6 +8,7 @@ from bindwell.functions.rules import flag_handsets
 from bindwell.operators import daily, dashboard, marts
 from bindwell.plans.network import ACT, KPI, ORACLES, QUERIES, RADIO, query
 from bindwell.plans.state import CATEGORY, DQ, EVIDENCE, HISTORY_CATEGORY, REF, STEPS, SWAP
+from bindwell.sources.store import kept
 
 __all__ = ["ORACLES", "QUERIES"]
 LENSED = """,
@@ -64,8 +65,9 @@ moved as (select vendor, coalesce(added, 0) as added, coalesce(removed, 0) as re
 
 
 def _moved(t):
+    """A row a vendor, written once for all rankings."""
     before = flag_handsets(dashboard.state_at(t.snapshot, t.events, 30), t.tac)
-    return dashboard.vendor_movement(t.events, before, t.flagged, t.devices, "2026-02-25", "2026-04-25")
+    return kept(t.spark, t.sf_dir, "vendor_movement", lambda: dashboard.vendor_movement(t.events, before, t.flagged, t.devices, "2026-02-25", "2026-04-25"))
 
 
 query("vendor_movement", MOVED + "\nselect * from moved")(_moved)
@@ -99,15 +101,15 @@ query("change_table", CHANGES + "\nselect data_date, net, cumulative from change
 )
 CHECKS = """,
 checks as (select data_date, string_agg("check", ',' order by "check") as checks from assessed where flagged group by 1)"""
-_assessed = lambda t: daily.assess_feed(daily.dq_daily(t.events, t.tac), *REF)
-_evidence = lambda t: daily.sim_change_evidence(t.events, t.multi, daily.dq_daily(t.events, t.tac))
+_assessed = lambda t: daily.assess_feed(t.dq, *REF)
+_evidence = lambda t: t.evidence
 query("sim_handset_table", DQ + CHURN + CHECKS + "\nselect churn.*, coalesce(checks, '') as checks from churn left join checks using (data_date) where data_date between date '2026-03-01' and date '2026-04-10'")(
     lambda t: dashboard.sim_handset_table(dashboard.daily_churn(t.events), _assessed(t), "2026-03-01", "2026-04-10")
 )
 query("sim_change_table", DQ + EVIDENCE + CHECKS + """
 select data_date, count(*) as total, count(*) filter (set_aside = 'none') as counted, count(*) filter (set_aside = 'multi_number') as multi_number, 0 as unmeasured, coalesce(any_value(checks), '') as checks
 from evidence left join checks using (data_date) where data_date between date '2026-03-01' and date '2026-04-10' group by 1""")(lambda t: dashboard.sim_change_table(_evidence(t), _assessed(t), "2026-03-01", "2026-04-10"))
-query("feed_trend", DQ + """\nselect data_date, rate, threshold, flagged, rows_total from assessed join dq using (data_date) where "check" = 'malformed_imei'""")(lambda t: dashboard.feed_trend(_assessed(t), daily.dq_daily(t.events, t.tac), "malformed_imei"))
+query("feed_trend", DQ + """\nselect data_date, rate, threshold, flagged, rows_total from assessed join dq using (data_date) where "check" = 'malformed_imei'""")(lambda t: dashboard.feed_trend(_assessed(t), t.dq, "malformed_imei"))
 query("flagged_and_missing_days", DQ + CHECKS + "\nselect data_date, checks from checks order by data_date desc limit 20")(lambda t: dashboard.flagged_and_missing(_assessed(t), daily.missing_days(t.events), 20))
 query("signal_groups", STEPS + HISTORY_CATEGORY.rsplit("\n", 1)[0] + f""",
 sg as (select 'current' as source, category, bindings from ({CATEGORY}) union all select 'history', k.c, count(*) from x where k.n > 0 group by k.c)

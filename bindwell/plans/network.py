@@ -26,14 +26,33 @@ class Tables:
         feed = stored(spark, sf_dir)
         self.events, self.snapshot, self.tac, self.vendors = feed.events, feed.snapshot, feed.tac, feed.vendors
         self.state = kept(spark, sf_dir, "state", lambda: fold.fold_all(feed.snapshot, feed.events))
-        self.flagged = flag_handsets(self.state, feed.tac)
-        self.radio = parse_radio(feed.tac)
         self.devices = marts.with_vendor(feed.tac, feed.vendors)
 
+    def _kept(self, name, make):
+        return kept(self.spark, self.sf_dir, name, make)
+
+    @property
+    def flagged(self):
+        """The state with what the catalogue says of its handsets, written once."""
+        return self._kept("flagged", lambda: flag_handsets(self.state, self.tac))
+
+    @property
+    def radio(self):
+        """The catalogue's radio profiles, parsed once a version."""
+        return self._kept("radio", lambda: parse_radio(self.tac))
+
+    @property
+    def dq(self):
+        return self._kept("dq_daily", lambda: daily.dq_daily(self.events, self.tac))
+
+    @property
+    def evidence(self):
+        return self._kept("evidence", lambda: daily.sim_change_evidence(self.events, self.multi, self.dq))
+
     @property
     def mart(self):
         """The models' mart with its sketches, written once."""
-        return kept(self.spark, self.sf_dir, "tac_mart", lambda: tac_mart.state_mart(self.flagged))
+        return self._kept("tac_mart", lambda: tac_mart.state_mart(self.flagged))
 
     @property
     def copies(self):
@@ -53,7 +72,7 @@ class Tables:
 
     @property
     def multi(self):
-        return daily.multi_number_sims(self.events)
+        return self._kept("multi", lambda: daily.multi_number_sims(self.events))
 
 
 def query(name: str, sql: str | None = None):
@@ -177,7 +196,7 @@ for _name, _args in {"top_vendors": ("vendor", "bindings", 10), "top_models": ("
 query("enrichment_split", ACT + KPI + "\nselect bindings - unknown_device - malformed_imei - invalid_imei as with_handset, unknown_device, malformed_imei, invalid_imei, tac_matched, round(100 * tac_matched / bindings, 3) as percent_matched from kpi")(
     lambda t: marts.kpi(t.flagged, t.tac).select((F.col("bindings") - F.col("unknown_device") - F.col("malformed_imei") - F.col("invalid_imei")).alias("with_handset"), "unknown_device", "malformed_imei", "invalid_imei", "tac_matched", F.round(100 * F.col("tac_matched") / F.col("bindings"), 3).alias("percent_matched"))
 )
-query("flagged_days", DQ + '\nselect data_date, "check", rate from assessed where flagged')(lambda t: daily.assess_feed(daily.dq_daily(t.events, t.tac), "2026-02-01", "2026-02-28").where("flagged").select("data_date", "check", "rate"))
+query("flagged_days", DQ + '\nselect data_date, "check", rate from assessed where flagged')(lambda t: daily.assess_feed(t.dq, "2026-02-01", "2026-02-28").where("flagged").select("data_date", "check", "rate"))
 _LISTS = ("lte_bands", "nr_bands", "umts_bands", "gsm_bands", "nb_iot_bands", "lte_m_bands", "ntn_bands", "unparsed")
 query("parse_radio", RADIO + "\nselect * replace (" + ", ".join(f"array_to_string({c}, ',') as {c}" for c in _LISTS) + ") from radios")(
     lambda t: t.radio.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in _LISTS})
@@ -234,7 +253,7 @@ select p.imei, count(*) as sims_ever, sum(bindings) as bindings, count(*) filter
 from pair p join num using (imei) group by 1 having count(*) >= 3 or count(*) filter (dated) >= 3""")(lambda t: risk.imei_lifetime(t.flagged, floor=3))
 query("risk_distribution", SIM_WINDOW.replace("{floor}", "1").replace("select p.imsi,", ",\nw as (select p.imsi,", 1) + ")\nselect e as edge, count(*) as n from w, (select unnest([1, 2, 5, 10, 20]) as e) where imeis_30 >= e group by 1")(lambda t: risk.risk_distribution(risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1), "imeis_30", [1, 2, 5, 10, 20]))
 query("number_changes", DQ + EVIDENCE + "\nselect msisdn, count(*) filter (set_aside = 'none') as clean, count(*) as raw from evidence where data_date between date '2026-04-25' - 6 and date '2026-04-25' group by 1")(
-    lambda t: risk.number_changes(daily.sim_change_evidence(t.events, t.multi, daily.dq_daily(t.events, t.tac)), AS_OF)
+    lambda t: risk.number_changes(t.evidence, AS_OF)
 )
 STAGE = RADIO + """,
 stage as (select msisdn, imei, min(f.tac) as tac, min(case when shifted = 1 then 5 when no_handset = 1 or not regexp_full_match(imei, '[0-9]*') then 6 when r.tac is null then 7 else sunset end) as state, min(coalesce(esim, 2)) as esim,

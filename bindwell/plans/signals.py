@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bindwell.operators import daily, dashboard, risk, signals
 from bindwell.plans.network import ADDS, AS_OF, ORACLES, QUERIES, SIM_WINDOW, query
 from bindwell.plans.state import EVIDENCE, REF
+from bindwell.sources.store import kept
 
 __all__ = ["ORACLES", "QUERIES"]
 LIMITS = {"shared_imei_sims_30": 1, "shared_imei_numbers_30": 1, "shared_imei_sims_ever": 2, "shared_imei_sims_not_removed": 2, "high_device_count_30": 2, "rapid_device_change_7": 1, "randomisation_20": 1, "repeated_sim_change_7": 0}
@@ -43,15 +44,19 @@ links as (select distinct 'sim' as family, cast(imsi as varchar) as key, 'number
  union select 'sim', cast(imsi as varchar), 'imei', imei from near where length(imei) = 14 union select 'imei', imei, 'sim', cast(imsi as varchar) from near where length(imei) = 14)"""
 
 
+def sim_windows(t):
+    """The SIMs' windows, written once for all rules."""
+    return kept(t.spark, t.sf_dir, "sim_windows", lambda: risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1))
+
+
 class Windows:
     """The measured tables of a feed, without floors."""
 
     def __init__(self, t):
-        self.assessed = daily.assess_feed(daily.dq_daily(t.events, t.tac), *REF)
-        self.sims = risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1)
-        self.imeis = risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=1)
-        evidence = daily.sim_change_evidence(t.events, t.multi, daily.dq_daily(t.events, t.tac))
-        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), risk.number_changes(evidence, AS_OF))
+        self.assessed = daily.assess_feed(t.dq, *REF)
+        self.sims = sim_windows(t)
+        self.imeis = kept(t.spark, t.sf_dir, "imei_windows", lambda: risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=1))
+        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), risk.number_changes(t.evidence, AS_OF))
         self.listed = signals.risk_list(self.rows, LIMITS, TACS, SHARE)
         self.doubted = signals.doubted_rules(self.assessed, AS_OF)
 
@@ -81,12 +86,12 @@ def _(t):
 
 
 query("risk_distribution_raw", WINDOWS + "\nselect e as edge, count(*) filter (imeis_30 >= e) as clean, count(*) filter (imeis_30_raw >= e) as raw from sw, (select unnest([1, 2, 5, 10, 20]) as e) group by 1")(
-    lambda t: signals.distribution(risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1), "imeis_30", "imeis_30_raw", [1, 2, 5, 10, 20])
+    lambda t: signals.distribution(sim_windows(t), "imeis_30", "imeis_30_raw", [1, 2, 5, 10, 20])
 )
 query("risk_daily", WINDOWS + """
 select data_date, count(*) as total, count(*) filter (set_aside = 'none') as counted, count(*) filter (set_aside = 'multi_number') as multi_number, 0 as unmeasured, coalesce(any_value(checks), '') as checks
 from evidence left join (select data_date, string_agg("check", ',' order by "check") as checks from assessed where flagged group by 1) using (data_date) group by 1""")(
-    lambda t: dashboard.sim_change_table(daily.sim_change_evidence(t.events, t.multi, daily.dq_daily(t.events, t.tac)), daily.assess_feed(daily.dq_daily(t.events, t.tac), *REF), "1970-01-01", "2100-01-01")
+    lambda t: dashboard.sim_change_table(t.evidence, daily.assess_feed(t.dq, *REF), "1970-01-01", "2100-01-01")
 )
 
 
