@@ -131,9 +131,8 @@ def tac_dump(snapshot: DataFrame, tac: DataFrame) -> DataFrame:
     return held.groupBy("tac").agg(F.count_distinct("imei").alias("handsets"), F.count_distinct("imsi").alias("sims"), F.count(F.lit(1)).alias("bindings"))
 
 
-def quality_current(state: DataFrame, tac: DataFrame) -> DataFrame:
-    """Quality categories of the current state, a binding in each that fits it."""
-    f = flag_handsets(state, tac)
+def quality_cells(f: DataFrame) -> DataFrame:
+    """The bindings of a flagged state by quality category, in each that fits."""
     missing = F.col("imei").isin("000000", "")
     tests = {
         "all": F.lit(True), "active": F.col("active") == 1, "missing_imei": missing, "invalid_imei": ~missing & ~F.col("imei").rlike("^[0-9]{14}$"),
@@ -142,14 +141,18 @@ def quality_current(state: DataFrame, tac: DataFrame) -> DataFrame:
         "untouched_since_dump": (F.col("active") == 1) & F.col("last_change_date").isNull(),
     }
     named = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
-    cells = f.select(*KEY, F.explode(named).alias("category"))
-    return cells.groupBy("category").agg(
+    return f.select(*KEY, F.explode(named).alias("category"))
+
+
+def quality_current(state: DataFrame, tac: DataFrame) -> DataFrame:
+    """Quality categories of the current state, a binding in each that fits it."""
+    return quality_cells(flag_handsets(state, tac)).groupBy("category").agg(
         F.count(F.lit(1)).alias("bindings"), F.count_distinct("msisdn").alias("numbers"), F.count_distinct("imsi").alias("sims"), F.count_distinct("imei").alias("imeis")
     )
 
 
-def quality_history(history: DataFrame) -> DataFrame:
-    """Quality categories of the history: idle events, lengths of add-to-remove periods, still held."""
+def quality_history_cells(history: DataFrame) -> DataFrame:
+    """Bindings by quality category of the history, with the amount of each: idle events, lengths of add-to-remove periods, still held."""
     whole = history.groupBy(*KEY).agg(F.max("in_dump").alias("dump"), F.array_sort(F.flatten(F.collect_list("events"))).alias("ev"))
     at = F.sequence(F.lit(1), F.size("ev"))
     is_, before = (lambda i: F.element_at("ev", i)["label"]), (lambda i: F.when(i > 1, F.element_at("ev", F.greatest(i - 1, F.lit(1)))["label"]))
@@ -171,7 +174,11 @@ def quality_history(history: DataFrame) -> DataFrame:
         "period_2_7_days": within(2, 7), "period_8_30_days": within(8, 30), "period_31_90_days": within(31, 90), "period_over_90_days": within(91, 1 << 30), "still_held": held,
     }
     cells = F.array(*(F.struct(F.lit(k).alias("category"), v.cast("long").alias("amount")) for k, v in amounts.items()))
-    rows = counted.select(*KEY, F.inline(cells)).where("amount > 0")
-    return rows.groupBy("category").agg(
+    return counted.select(*KEY, F.inline(cells)).where("amount > 0")
+
+
+def quality_history(history: DataFrame) -> DataFrame:
+    """Figures of the history's quality categories."""
+    return quality_history_cells(history).groupBy("category").agg(
         F.count(F.lit(1)).alias("bindings"), F.count_distinct("msisdn").alias("numbers"), F.count_distinct("imsi").alias("sims"), F.count_distinct("imei").alias("imeis"), F.sum("amount").alias("periods")
     )

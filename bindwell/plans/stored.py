@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bindwell.operators import risk, tac_mart
+from bindwell.operators import quality, risk, tac_mart
 from bindwell.operators.explore import explore_stored
 from bindwell.plans.dashboards import LENSED, LENSES
 from bindwell.plans.network import ACT, DIM, KPI, ORACLES, QUERIES, query
-from bindwell.plans.state import STATE
+from bindwell.plans.state import CATEGORY, HISTORY_CATEGORY, STATE, STEPS
 from bindwell.sources import catalogue
 from bindwell.sources.layouts import Journal
-from bindwell.sources.store import kept_folder
+from bindwell.sources.store import kept, kept_folder
 from bindwell.streaming import days
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,3 +188,21 @@ select raw as raw_manufacturer, arg_max(vendor, updated) as vendor_canonical fro
 def _(t):
     vendor = F.when(F.substring("tac", 6, 3).cast("int") % 5 == 0, "").otherwise(F.concat(F.lit("vendor "), F.substring("tac", 7, 2)))
     return catalogue.vendor_map(t.tac.select(F.col("manufacturer").alias("raw_manufacturer"), vendor.alias("vendor_canonical"), F.col("tac").alias("updated_at")))
+
+
+def _published(t):
+    """Three runs: an old one over half the state, the one to serve, and a newer one that was never published."""
+
+    def make():
+        one = quality.quality_chunks(t.state.where("active = 1"), t.history.limit(0), t.tac, 1)
+        return one.unionByName(quality.quality_chunks(t.state, t.history, t.tac, 2)).unionByName(quality.quality_chunks(t.state.limit(0), t.history, t.tac, 3))
+
+    ledger = [(1, "published", 1), (2, "running", 2), (2, "published", 4), (3, "published", 3), (3, "failed", 5), (4, "published", 6)]
+    runs = t.spark.createDataFrame([(r, "2026-04-25", state, at) for r, state, at in ledger], "run_id long, as_of string, state string, updated_at int")
+    return quality.latest_published(runs, kept(t.spark, t.sf_dir, "quality_chunks", make))
+
+
+query("quality_published", STEPS + HISTORY_CATEGORY.rsplit("\n", 1)[0] + f"""
+select 2 as run_id, '2026-04-25' as as_of, 'current' as source, category, bindings, numbers, 0 as periods from ({CATEGORY})
+union all select 2, '2026-04-25', 'history', k.c, count(*), count(distinct msisdn), cast(sum(k.n) as bigint) from x where k.n > 0 group by k.c""")(lambda t: _published(t).select("run_id", "as_of", "source", "category", "bindings", "numbers", "periods"))
+query("quality_published_estimates")(lambda t: _published(t).select("source", "category", "sims", "imeis"))

@@ -22,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(spark: SparkSession, source: str, name: str, make) -> DataFrame:
-    """The table ``name`` that ``make`` derives from the tables at ``source``, written once an application."""
+    """The table ``name`` that ``make`` derives from the tables at ``source``, written once an application.
+
+    Tables under a path are taken not to change meanwhile; ``forget`` says that they have.
+    """
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _WRITTEN:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,3 +42,9 @@ def kept_folder(spark: SparkSession, source: str, name: str, fill) -> str:
         fill(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
+
+
+def forget(source: str) -> None:
+    """Derive everything from the tables at ``source`` anew when it is next asked for."""
+    for key in [k for k in _WRITTEN if k[1] == source]:
+        del _WRITTEN[key]

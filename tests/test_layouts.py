@@ -223,3 +223,30 @@ def test_lensed_figures_come_from_the_mart_alone(spark):
         assert all(abs(found[c] - want[c]) <= 0.03 * want[c] + 1 for c in tac_mart.SKETCHES)
     with pytest.raises(ValueError, match="numbers"):
         tac_mart.under(t.mart, t.devices, {"number_prefix": "912"})
+
+
+def test_published_quality_merges_chunks(spark):
+    from bindwell.operators import daily
+    from bindwell.plans.stored import _published
+
+    t = Tables(spark, SF)
+    got = {(r["source"], r["category"]): r for r in _published(t).collect()}
+    exact = [("current", r) for r in daily.quality_current(t.state, t.tac).collect()] + [("history", r) for r in daily.quality_history(t.history).collect()]
+    assert set(got) == {(source, r["category"]) for source, r in exact}
+    for source, r in exact:
+        found = got[source, r["category"]]
+        assert (found["run_id"], found["bindings"], found["numbers"]) == (2, r["bindings"], r["numbers"])
+        assert all(abs(found[c] - r[c]) <= 0.03 * r[c] + 1 for c in ("sims", "imeis"))
+
+
+def test_derived_tables_are_made_anew_after_a_change(spark, tmp_path):
+    from bindwell.sources.store import forget, kept
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    make = lambda: spark.read.parquet(path)
+    assert kept(spark, path, "copy", make).count() == 3
+    spark.range(2).write.mode("append").parquet(path)
+    assert kept(spark, path, "copy", make).count() == 3
+    forget(path)
+    assert kept(spark, path, "copy", make).count() == 5
