@@ -19,13 +19,13 @@ def quality_chunks(state: DataFrame, history: DataFrame, tac: DataFrame, run_id:
     now = quality_cells(flag_handsets(state, tac)).select(F.lit("current").alias("source"), "category", "msisdn", "imsi", "imei", F.lit(0).cast("long").alias("amount"))
     then = quality_history_cells(history).select(F.lit("history").alias("source"), "category", "msisdn", "imsi", "imei", "amount")
     rows = now.unionByName(then).withColumn("chunk", F.pmod(F.xxhash64("msisdn"), F.lit(chunks)).cast("int"))
-    # once by number, then by chunk: no distinct count of numbers
-    by_number = rows.groupBy("chunk", "source", "category", "msisdn").agg(
-        F.count(F.lit(1)).alias("bindings"), F.sum("amount").alias("periods"), F.hll_sketch_agg(F.col("imsi").cast("string"), REGISTERS).alias("sims"), F.hll_sketch_agg("imei", REGISTERS).alias("imeis")
-    )
-    sums = by_number.groupBy("chunk", "source", "category").agg(
-        F.sum("bindings").alias("bindings"), F.count(F.lit(1)).alias("numbers"), F.hll_union_agg("sims").alias("sims"), F.hll_union_agg("imeis").alias("imeis"), F.sum("periods").alias("periods")
+    by = ["chunk", "source", "category"]
+    sums = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("bindings"), F.hll_sketch_agg(F.col("imsi").cast("string"), REGISTERS).alias("sims"), F.hll_sketch_agg("imei", REGISTERS).alias("imeis"), F.sum("amount").alias("periods")
     )
+    # apart, as a distinct count beside sketches would keep a sketch for each number
+    numbers = rows.select(*by, "msisdn").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("numbers"))
+    sums = sums.join(numbers, by).select(*by, "bindings", "numbers", "sims", "imeis", "periods")
     return sums.select(F.lit(run_id).cast("long").alias("run_id"), "*")
 
 

@@ -98,8 +98,8 @@ rows_ as (select {_key} as key, s.msisdn, s.imei, s.bindings from stage s join n
 select key, sum(bindings) as bindings, count(distinct msisdn) as numbers, count(distinct imei) as handsets from rows_ group by 1 order by bindings desc, key limit 12""")(
         lambda t, b=_by: views.class_breakdown(_stage(t), _numbers(t), t.devices, "sunset", 2, b, 12)
     )
-query("class_numbers", INDEX + "\nselect distinct msisdn, sunset, reason, esim, handsets, bindings from idx where sunset = 2 and tac in (select tac from dev where vendor = 'Maker A') order by msisdn limit 100")(
-    lambda t: views.class_numbers(_index(t), t.devices, "sunset", 2, vendor="Maker A", limit=100)
+query("class_numbers", INDEX + "\nselect distinct msisdn, sunset, reason, esim, handsets, bindings from idx where sunset = 1 and tac in (select tac from dev where vendor = 'Maker A') order by msisdn limit 100")(
+    lambda t: views.class_numbers(_index(t), t.devices, "sunset", 1, vendor="Maker A", limit=100)
 )
 query("campaign_list", INDEX + """
 select msisdn, any_value(handsets) as handsets, any_value(bindings) as bindings, coalesce(string_agg(distinct case when tac <> '' then concat_ws(' ', coalesce(vendor, '(unknown TAC)'), coalesce(marketingName, tac)) end, '; ' order by case when tac <> '' then concat_ws(' ', coalesce(vendor, '(unknown TAC)'), coalesce(marketingName, tac)) end), '') as models
