@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: every stage works on all that the one before kept."""
+"""From raw documents to packed sequences: every stage works on all that the one before kept.
+
+What holds for each stage: columns other than those of ``documents`` are dropped, whatever their names; a null text
+counts as empty; nulls in lang, source and n_chars are carried along; an empty table gives an empty one. Rows
+that repeat an id share its fate in the stages that drop by id (exact dedup, Jaccard join) and are judged singly
+in the others; a row without an id is never dropped by id. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -22,35 +28,35 @@ LEAST_SCORE = 0.5
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the ids of ``dropped``; texts are not moved while those are few."""
     ids = bounded(cut(dropped.select(F.col("doc_id").alias("_dropped")).distinct()))
-    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters or in no learnt language go."""
+    """Texts without letters (null and empty ones too) or in no learnt language go; without a labelled row all do."""
     model = train(docs, ~F.coalesce(held_out(), F.lit(False)))
     judged = identify(docs, model, carry=tuple(COLUMNS[1:]))
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays; all rows of an id stay if one of them does."""
     judged = cut(exact_dedup(docs).select("doc_id", "kept"))
     return without(docs, judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each linked group stays."""
+    """The document with the smallest id of each linked group stays; texts without words are in no group and stay."""
     return without(docs, jaccard_join(docs).where("doc_id <> component_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go; those without words stay."""
     judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(COLUMNS[1:]))
     return judged.where("not contaminated").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; an empty text is one token, the end id."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
