@@ -9,9 +9,10 @@ shingle: the window's rarest one in the corpus. Two passes over the documents, n
    fixes where the window would begin, which gives the length and positional bounds; the window of
    exactly that many words is then compared whole.
 
-The prefix table is broadcast in blocks of at most ``block_windows`` windows (24 bytes each); a
-larger benchmark takes more passes over the documents, which are then stored once with a key for
-each row, by which the passes' hits are merged.
+Windows are cut and hashed in tasks and come to the driver as packed arrays, a block of at most
+``block_windows`` at a time: some 330 bytes a window while a block's prefixes are chosen (50 MB at the
+default), 110 in the table that is broadcast. A larger benchmark takes more passes over the documents,
+which are then stored once with a key for each row, by which the passes' hits are merged.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from bindwell.llm.text import ALNUM, U64, Words, in_batches, map_texts, portions
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 4
 _FILTER = 1 << 20
+#: Windows that a task packs into a row.
+PART = 25_000
 #: The key of a stored row.
 _ROW = "__row"
 
@@ -52,62 +55,60 @@ def _gram_size(size):
     return np.minimum(size, SHINGLE)
 
 
-def _windows_of(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("item", items.schema[item_col].dataType), T.StructField("size", T.IntegerType()), T.StructField("whole", T.LongType()),
-        T.StructField("shingles", T.ArrayType(T.LongType())),
-    ])
+def _windows_of(items: DataFrame, item_col: str, text_col: str, window: int, most: int) -> DataFrame:
+    """The items' windows as arrays, at most ``most`` windows a row: names, and of each window its name's place, size, hash and shingles."""
+    schema = T.StructType([T.StructField("names", T.ArrayType(T.StringType())), *(T.StructField(c, T.BinaryType()) for c in ("item", "size", "whole", "shingles"))])
+    width = max(window - SHINGLE + 1, 1)
 
     def run(batch):
         words = Words(batch.column(1), ALNUM, lower=True)
-        ids, size, whole, shingles = [], [], [], []
-        item_ids = batch.column(0).to_pylist()
-        for row in range(words.rows):
+        item, size, whole, shingles = [], [], [], []
+        for row in np.flatnonzero(words.count):
             n, first = int(words.count[row]), int(words.first[row])
-            if not n:
-                continue
             m = min(n, window)
             g = min(m, SHINGLE)
             at = np.arange(first, first + n - m + 1)
-            grams = words.gram_at(np.arange(first, first + n - g + 1), g).view(np.int64)
-            whole += words.gram_at(at, m).view(np.int64).tolist()
-            shingles += [grams[k : k + m - g + 1].tolist() for k in range(len(at))]
-            size += [m] * len(at)
-            ids += [item_ids[row]] * len(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, batch.column(0).type), pa.array(size, pa.int32()), pa.array(whole, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))],
-            names=schema.names,
-        )
-
-    return map_texts(items.where(F.col(item_col).isNotNull()), [item_col, text_col], run, schema)
+            grams = words.gram_at(np.arange(first, first + n - g + 1), g)
+            whole.append(words.gram_at(at, m))
+            shingles.append(grams[(at - first)[:, None] + np.minimum(np.arange(width), m - g)])
+            size.append(np.full(len(at), m, np.int32))
+            item.append(np.full(len(at), row, np.int32))
+        if not item:
+            return
+        item, size, whole, shingles = (np.concatenate(x) for x in (item, size, whole, shingles))
+        for k in range(0, len(item), most):
+            here = slice(k, k + most)
+            rows, place = np.unique(item[here], return_inverse=True)
+            names = pa.array([batch.column(0).take(pa.array(rows)).to_pylist()], pa.list_(pa.string()))
+            arrays = (place.astype(np.int32), size[here], whole[here], shingles[here])
+            yield pa.RecordBatch.from_arrays([names, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=schema.names)
+
+    named = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+    return map_texts(named, ["name", "text"], run, schema)
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_windows: int):
-    """The benchmark's windows in blocks that are small enough to broadcast."""
-    windows = cut(_windows_of(items, item_col, text_col, window))
-    held: list = []
-    for row in windows.toLocalIterator():
-        held.append(row)
-        if len(held) == block_windows:
+    """The benchmark's windows in blocks that are small enough to broadcast, each as a list of rows of ``_windows_of``."""
+    windows = cut(_windows_of(items, item_col, text_col, window, min(block_windows, PART)))
+    held, size = [], 0
+    # a partition comes to the driver whole: some rows each
+    for row in windows.repartition(-(-windows.count() // 4) or 1).toLocalIterator():
+        n = len(row["item"]) // 4
+        if held and size + n > block_windows:
             yield held
-            held = []
+            held, size = [], 0
+        held.append(row)
+        size += n
     if held:
         yield held
 
 
 def _columns(rows: list, window: int) -> tuple[Windows, np.ndarray]:
-    names = sorted({str(r["item"]) for r in rows})
-    number = {n: k for k, n in enumerate(names)}
-    width = max(window - SHINGLE + 1, 1)
-    return (
-        Windows(
-            np.array([r["size"] for r in rows], np.int64),
-            np.array([r["whole"] for r in rows], np.int64).view(U64),
-            np.array([number[str(r["item"])] for r in rows], np.int64),
-            np.array([r["shingles"] + r["shingles"][-1:] * (width - len(r["shingles"])) for r in rows], np.int64).view(U64),
-        ),
-        np.array(names, object),
-    )
+    names = np.array(sorted({x for r in rows for x in r["names"]}), object)
+    number = {x: k for k, x in enumerate(names)}
+    joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+    item = np.concatenate([np.array([number[x] for x in r["names"]], np.int64)[np.frombuffer(r["item"], np.int32)] for r in rows])
+    return Windows(joined("size", np.int32).astype(np.int64), joined("whole", U64), item, joined("shingles", U64).reshape(-1, max(window - SHINGLE + 1, 1))), names
 
 
 def _lookup(sorted_keys: np.ndarray):
@@ -146,6 +147,7 @@ def _frequencies(docs: DataFrame, text_col: str, shingles: np.ndarray, sizes: li
     counted = in_batches(docs).select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     for row in counted.toLocalIterator():
         out[row["k"]] = row["n"]
+    keys.destroy()
     return out
 
 
@@ -167,7 +169,7 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, windows: Windows, names:
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-        *([T.StructField("ranges", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))] if merge else []),
+        *([T.StructField("ranges", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in "ab"]))), T.StructField("items", T.ArrayType(T.StringType()))] if merge else []),
         *(docs.schema[c] for c in carry),
     ])
     nothing = hashlib.sha256(b"").hexdigest()
@@ -212,13 +214,13 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, windows: Windows, names:
             items[row] = found
         if merge and len(begins):
             for row, a, m in sorted(set(zip(rows.tolist(), (begins - words.first[rows]).tolist(), w.size[which].tolist(), strict=True))):
-                ranges[row] += [a, a + m]
+                ranges[row].append({"a": a, "b": a + m})
         arrays = [
             batch.column(0), pa.array(words.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest),
             pa.array((n_hit > 0) & (20 * n_hit >= words.count)),
         ]
         if merge:
-            arrays += [pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            arrays += [pa.array(ranges, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
         arrays += [batch.column(columns.index(c)) for c in carry]
         yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -232,19 +234,15 @@ def _merged(parts: list[DataFrame], key: str) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part)
 
-    @F.udf("long")
-    def covered(ranges):
-        total, reach = 0, 0
-        for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
-            total += max(0, b - max(a, reach))
-            reach = max(reach, b)
-        return total
-
     joined = every.groupBy(key).agg(
         F.max("n_words").alias("n_words"),
-        covered(F.flatten(F.collect_list("ranges"))).alias("n_hit"),
+        F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    # in order of their begin, each range adds what lies beyond the ones before it
+    none, beyond = F.lit(0).cast("long"), lambda x, reach: F.greatest(x["b"] - F.greatest(x["a"], reach), F.lit(0))
+    step = lambda acc, x: F.struct((acc["n"] + beyond(x, acc["reach"])).alias("n"), F.greatest(acc["reach"], x["b"]).alias("reach"))
+    joined = joined.withColumn("n_hit", F.aggregate("ranges", F.struct(none.alias("n"), none.alias("reach")), step, lambda acc: acc["n"]))
     return joined.select(
         key, "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -261,7 +259,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    block_windows: int = 1_000_000,
+    block_windows: int = 150_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Which words of each document lie in an occurrence of a benchmark window.

@@ -113,18 +113,24 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def counts(column: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of each text and how often each stands in it."""
+    g = grams(column, bits)
+    both, n = np.unique(g.row.astype(np.int64) << bits | g.feature, return_counts=True)
+    ends = np.searchsorted(both, np.arange(g.rows + 1) << bits)
+    feature = (both & ((1 << bits) - 1)).astype(np.uint32)
+    return [(feature[a:b], n[a:b].astype(np.uint32)) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def fit(
-    texts: list[str], labels: list[str], bits: int = 18, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, scale: float = 20.0
+    texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], bits: int = 18, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, scale: float = 20.0
 ) -> Model:
-    """Train on a sample; every fifth text is held back for the temperature."""
+    """Train on a sample of texts' n-gram ``counts``; every fifth text is held back for the temperature."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((0, 1 << bits)), np.zeros(0), 1.0, bits)
     number = {x: k for k, x in enumerate(languages)}
-    rows = []
-    for text in texts:
-        feature, count = np.unique(grams(pa.array([text], pa.string()), bits).feature, return_counts=True)
-        rows.append((feature, count / max(1, count.sum())))
+    rows = [(feature, count / max(1, int(count.sum()))) for feature, count in texts]
     df = np.zeros(1 << bits)
     for feature, _ in rows:
         df[feature] += 1
@@ -154,7 +160,7 @@ def fit(
             squares[at] += g * g
     full = weights(np.arange((1 << bits) + 1))
     model = Model(languages, np.ascontiguousarray((full[:-1] * idf[:, None]).T.astype(np.float32)), full[-1], 1.0, bits)
-    logits = np.array([model.scores(grams(pa.array([texts[k]], pa.string()), bits))[0] for k in held])
+    logits = np.array([model.weights[:, rows[k][0]].astype(np.float64) @ rows[k][1] + model.bias for k in held])
     truth = np.array([number[labels[k]] for k in held])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
@@ -162,18 +168,36 @@ def fit(
     return model
 
 
-def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train: int = 4000, **options) -> Model:
-    """Fit on the at most ``max_train`` rows that are ``usable`` and have the smallest hash of their id."""
+def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train: int = 4000, max_bytes: int = 64 << 20, bits: int = 18, **options) -> Model:
+    """Fit on the at most ``max_train`` rows that are ``usable`` and have the smallest hash of their id.
+
+    Tasks count the n-grams of the whole texts; the counts, eight bytes for each n-gram that a text has,
+    come to the driver in that order until ``max_bytes`` of them are there.
+    """
     labelled = docs.where(usable & F.col(label_col).isNotNull())
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     chosen = labelled.select(F.col(id_col).alias("__id")).orderBy(*order).limit(max_train).distinct()
     # the chosen ids are at most max_train, so the broadcast is bounded
     joined = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").where(F.col(text_col).isNotNull())
     wanted = joined.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    place = [F.xxhash64(F.col("id").cast("string")), "id", F.xxhash64("text"), "label"]  # rows that repeat an id come in one order
-    sample = wanted.orderBy(*place).limit(max_train).collect()
-    sample.sort(key=lambda r: (str(r["id"]), r["text"], r["label"]))
-    return fit([r["text"] for r in sample], [r["label"] for r in sample], **options)
+    place = ["h", "id", "th", "label"]  # rows that repeat an id come in one order
+    wanted = wanted.select(F.xxhash64(F.col("id").cast("string")).alias("h"), "id", F.xxhash64("text").alias("th"), "label", "text")
+    schema = T.StructType([*wanted.schema.fields[:4], T.StructField("feature", T.BinaryType()), T.StructField("n", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in portions(batch, 4, 1 << 20):
+                found = counts(part.column(4), bits)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=schema.names)
+
+    sample, used = [], 0
+    for row in in_batches(wanted).mapInArrow(trimmed(run), schema).orderBy(*place).toLocalIterator():
+        used += len(row["feature"]) + len(row["n"])
+        if len(sample) == max_train or sample and used > max_bytes:
+            break
+        sample.append(row)
+    sample.sort(key=lambda r: (str(r["id"]), r["th"], r["label"]))
+    return fit([(np.frombuffer(r["feature"], np.uint32), np.frombuffer(r["n"], np.uint32)) for r in sample], [r["label"] for r in sample], bits, **options)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

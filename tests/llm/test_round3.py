@@ -320,3 +320,31 @@ def test_registered_licences(spark):
     spans = [s for s in many[80_000]["spans"] if s["base"]]
     assert len(spans) == 20_000 and [s["first_word"] for s in spans[:3]] == [1, 5, 9] and spans[-1]["last_word"] == 79_999 - 0
     assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_registered_languages(spark):
+    """Every text of the given table: the fold, ``und`` where there is no letter, and accuracy on texts that were held out."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.QUERIES["op1_language_id"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    right = []
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        text = docs[r["doc_id"]]["text"] or ""
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text))
+        if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und":
+            right.append(r["lang_pred"] == docs[r["doc_id"]]["lang"])
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
+def test_language_sample_is_bounded_and_repeats_are_judged_singly(spark):
+    from bindwell.llm import langid
+
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * (1 + k % 5), "en" if k % 2 else "de") for k in range(200)]
+    rows += [(3, "the cat and the dog", "en"), (3, None, "en"), (None, "der hund", "de"), (7, "", "en"), (8, "katze " * 200_000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = langid.train(docs, F.lit(True), max_train=50, max_bytes=2000)
+    assert small.languages and langid.train(docs, F.lit(True), max_train=50).languages == ["de", "en"]
+    model = langid.train(docs, F.lit(True))
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, model).collect())
+    assert got[3, "en"] == 2 and got[3, "und"] == 1 and got[None, "de"] == 1 and got[7, "und"] == 1 and got[8, "de"] == 2
