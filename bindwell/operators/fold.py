@@ -120,12 +120,6 @@ def history_from_dump(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def write_layouts(df: DataFrame, path: str) -> None:
-    """The same rows in three sort orders, so that look-ups by any key prune row groups."""
-    for key in KEY:
-        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/by_{key}")
-
-
 def folded_count(day: DataFrame) -> DataFrame:
     """How many bindings each day touched."""
     return day.groupBy("data_date", *KEY).agg(F.lit(1).alias("one")).groupBy("data_date").agg(F.count("one").alias("bindings"))

@@ -23,8 +23,9 @@ KEY = ["msisdn", "imsi", "imei"]
 FIRST_DAY = "2026-01-26"
 LAST_DAY = "2026-04-25"
 LAST_SEQ = 90
-#: Models that the digits of a TAC after "351" leave room for.
-MODELS = 900_000
+#: The first model's TAC, and how many models there is room for up to the last of eight digits.
+FIRST_TAC = 35_100_000
+MODELS = 100_000_000 - FIRST_TAC
 #: What the catalogue's columns say, by part key.
 DEVICE_TYPES = ("Smartphone", "Smartphone", "Mobile Phone/Feature phone", "Tablet", "IoT Device", "Handheld", "Modem", "e-Book", "Wearable", "Vehicle", "Smartphone")
 SYSTEMS = (" Android ", "Android", "", "iOS")
@@ -65,9 +66,9 @@ def derived(spark: SparkSession, sf_dir: str) -> Feed:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     part, cust = F.col("l_partkey"), F.col("o_custkey")
-    model = F.lpad((100000 + (F.floor(cust / 4) + part % 12 * 100) % MODELS).cast("string"), 6, "0")
+    model = (FIRST_TAC + (F.floor(cust / 4) + part % 12 * 100) % MODELS).cast("string")
     serial = F.lpad((cust % 999000 + F.when(part % 24 >= 12, 1).otherwise(0)).cast("string"), 6, "0")
-    imei14 = F.concat(F.lit("35"), model, serial)
+    imei14 = F.concat(model, serial)
     removed = F.col("l_returnflag") == "R"
     day_no = (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) % 90).cast("int")
     raw = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -103,14 +104,14 @@ def stored(spark: SparkSession, sf_dir: str) -> Feed:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The device catalogue: twelve columns a model, one row for each part but one in 23; a TAC has room for ``MODELS`` parts."""
+    """The device catalogue: twelve columns a model, one row for each part but one in 23; eight digits have room for ``MODELS`` (64.9 million) of them."""
     p = F.col("p_partkey")
     text = lambda cases: F.element_at(F.array(*map(F.lit, cases)), (p % len(cases) + 1).cast("int"))
     return (
         spark.read.parquet(f"{sf_dir}/part.parquet")
         .where((p % 23 != 0) & (p < MODELS))
         .select(
-            F.concat(F.lit("35"), F.lpad((100000 + p).cast("string"), 6, "0")).alias("tac"),
+            (FIRST_TAC + p).cast("string").alias("tac"),
             F.when((p % 50).isin(3, 9), "Maker A Korea").when(p % 50 == 4, "Maker A Vietnam").otherwise(F.col("p_brand")).alias("manufacturer"),
             F.col("p_brand").alias("brandName"),
             F.concat(F.lit("M"), p.cast("string")).alias("modelName"),
@@ -137,7 +138,7 @@ raw as (
  select o.o_custkey, l.l_orderkey, l.l_partkey,
   cast(9120000000 + o.o_custkey as bigint) as msisdn,
   cast(432110000000000 + case when l.l_partkey % 71 = 0 then (o.o_custkey - o.o_custkey % 5) * 2 else o.o_custkey * 2 + (l.l_suppkey % 2) end as bigint) as imsi,
-  concat('35', lpad(cast(100000 + (o.o_custkey // 4 + (l.l_partkey % 12) * 100) % 900000 as varchar), 6, '0'),
+  concat(cast(35100000 + (o.o_custkey // 4 + (l.l_partkey % 12) * 100) % 64900000 as varchar),
          lpad(cast(o.o_custkey % 999000 + case when l.l_partkey % 24 >= 12 then 1 else 0 end as varchar), 6, '0')) as imei14,
   case when l.l_returnflag = 'R' then 'remove' else 'add' end as label,
   cast(datediff('day', date '1995-01-01', cast(l.l_shipdate as date)) % 90 as int) as day_no,
@@ -155,13 +156,13 @@ ev as (
  from dirty where l_orderkey % 5 <> 0 group by msisdn, imsi, imei, day_no),
 snapshot as (select distinct msisdn, imsi, imei from dirty where l_orderkey % 5 = 0),
 tac as (
- select concat('35', lpad(cast(100000 + p_partkey as varchar), 6, '0')) as tac,
+ select cast(35100000 + p_partkey as varchar) as tac,
   case when p_partkey % 50 in (3, 9) then 'Maker A Korea' when p_partkey % 50 = 4 then 'Maker A Vietnam' else p_brand end as manufacturer,
   p_brand as brandName, concat('M', cast(p_partkey as varchar)) as modelName,
   case when p_partkey % 50 in (6, 7) then concat('twin phone ', p_partkey % 50) else p_name end as marketingName,
   {types} as deviceType, {systems} as operatingSystem, {removable} as removableEUICC, {nonremovable} as nonremovableEUICC, {ntn} as ntnConnectivity,
   concat('0', cast(1 + p_partkey % 9 as varchar), '-Jan-20', cast(10 + p_partkey % 16 as varchar)) as allocationDate, {bands} as bandDetails
- from part where p_partkey % 23 <> 0 and p_partkey < 900000),
+ from part where p_partkey % 23 <> 0 and p_partkey < 64900000),
 vendor_map as (select 'Maker A Korea' as raw_manufacturer, 'Maker A' as vendor_canonical union all select 'Maker A Vietnam', 'Maker A'),
 cur as (
  select msisdn, imsi, imei, case when arg_max(label, seq) = 'add' then 1 else 0 end as active, max(seq) as last_change_seq,

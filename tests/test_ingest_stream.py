@@ -6,6 +6,7 @@ from bindwell.operators import daily, fold
 from bindwell.operators.explore import explore, export, prefix_ranges, route
 from bindwell.sources import ingest
 from bindwell.sources.feed import derived
+from bindwell.sources.layouts import Journal
 from bindwell.streaming import days
 
 SF = "/root/testdata/sf0.001"
@@ -67,11 +68,12 @@ def test_stream_ends_like_the_batch(spark, tmp_path):
     days.stream_days(spark, source, feed.snapshot, root, feed.tac).awaitTermination()
     want = fold.fold_all(feed.snapshot, events)
     assert sorted(map(str, days.latest(spark, root).select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    marts = spark.read.parquet(f"{root}/change_summary")
+    marts = Journal(spark, root).table("change_summary")
     expected = daily.change_summary(events)
     assert sorted(map(str, marts.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
     for name, expected in (("dq_daily", daily.dq_daily(events, feed.tac)), ("history", fold.build_history(events)), ("multi_number", daily.multi_number_sims(events))):
-        got = spark.read.parquet(f"{root}/{name}").select(*expected.columns)
+        journal = Journal(spark, root)
+        got = (journal.monthly(name) if name == "history" else journal.table(name)).select(*expected.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
