@@ -96,13 +96,18 @@ def _(t):
 
 
 def _files(t, root: str, groups: int) -> str:
-    """The log as files of some days each, as they would arrive: the middle ones first."""
+    """The log as deliveries of some days each, as they would arrive: the middle ones first, each as files of its own."""
     source = f"{root}/source"
     for k in sorted(range(groups), key=lambda k: (k * 2) % groups):
-        t.events.where(f"seq % {groups} = {k}").select("seq", "data_date", "msisdn", "imsi", "imei", "tac", "label").coalesce(1).write.mode("append").parquet(source)
+        t.events.where(f"seq % {groups} = {k}").select("seq", "data_date", "msisdn", "imsi", "imei", "tac", "label").write.mode("append").parquet(source)
     return source
 
 
+def _a_delivery(t, source: str, groups: int) -> int:
+    """How many files a delivery has, so that a stream takes about one a batch."""
+    return -(-len(t.spark.read.parquet(source).inputFiles()) // groups)
+
+
 @query("stream_days_state", STATE)
 def _(t):
     """The state after three deliveries; the last replaces a day that the first had otherwise."""
@@ -120,8 +125,8 @@ def _(t):
     def fill(root):
         source = _files(t, root, 3)
         dump = t.snapshot.selectExpr("0 as seq", "cast(null as date) as data_date", "msisdn", "imsi", "imei", "'' as tac", "'add' as label")
-        dump.coalesce(1).write.mode("append").parquet(source)
-        days.stream_state(t.spark, source, root).awaitTermination()
+        dump.write.mode("append").parquet(source)
+        days.stream_state(t.spark, source, root, _a_delivery(t, source, 4)).awaitTermination()
 
     return days.folded(t.spark, kept_folder(t.spark, t.sf_dir, "stateful_fold", fill)).select(*STATE_COLUMNS)
 
@@ -130,7 +135,8 @@ def _(t):
 def _(t):
     """Counts of sliding weeks, with a watermark wide enough for every file."""
     def fill(root):
-        days.stream_windows(t.spark, _files(t, root, 3), root, "7 days", "1 day", "100 days").awaitTermination()
+        source = _files(t, root, 3)
+        days.stream_windows(t.spark, source, root, "7 days", "1 day", "100 days", _a_delivery(t, source, 3)).awaitTermination()
 
     return days.windows(t.spark, kept_folder(t.spark, t.sf_dir, "stream_windows", fill)).select(F.col("start").cast("date").alias("start"), "label", "n")
 
