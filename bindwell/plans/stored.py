@@ -11,7 +11,6 @@ from bindwell.plans.dashboards import LENSED, LENSES
 from bindwell.plans.network import ACT, DIM, KPI, ORACLES, QUERIES, query
 from bindwell.plans.state import CATEGORY, HISTORY_CATEGORY, STATE, STEPS
 from bindwell.sources import catalogue
-from bindwell.sources.layouts import Journal
 from bindwell.sources.store import kept, kept_folder
 from bindwell.streaming import days
 
@@ -144,7 +143,7 @@ def _(t):
 @query("stream_day_marts", "\nselect data_date, count(*) filter (label = 'add') as added, count(*) filter (label = 'remove') as removed, count(*) filter (imei = '000000') as unknown_device, count(*) as rows_total from ev group by 1")
 def _(t):
     """Day marts as the deliveries left them."""
-    return Journal(t.spark, t.copies[0].root).table("change_summary")
+    return t.day_marts.table("change_summary")
 
 
 CATALOGUE = """,

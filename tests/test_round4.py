@@ -11,6 +11,7 @@ from bindwell.operators import fold
 from bindwell.plans import stored
 from bindwell.plans.network import Tables
 from bindwell.sources.feed import KEY
+from bindwell.sources.layouts import Journal, Layouts
 from bindwell.streaming import days
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,23 @@ def test_keyed_state_is_spark_s_own_aggregate_on_disk(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", None) is None
     columns = [*KEY, "active", "last_change_seq", "last_change_date"]
     assert rows_of(days.folded(spark, str(tmp_path / "root")), *columns) == rows_of(fold.fold_all(t.snapshot.limit(0), log.events), *columns)
+
+
+def test_a_batch_opens_few_files_a_day_and_reads_the_touched_ranges_once(spark, tmp_path, monkeypatch):
+    """Days from many tasks land in a file each; the touched bindings are joined with the state once for all copies."""
+    t = Tables(spark, SF)
+    log = t.events.where("seq <= 8").repartition(8).cache()
+    days.on_days(log.where("seq <= 6"), t.snapshot, str(tmp_path), 0)
+    for name in ("log", "change_daily"):
+        assert {len(list(p.glob("*.parquet"))) for p in tmp_path.glob(f"{name}/batch=0/data_date=*")} == {1}
+    reads = []
+    read = Layouts.read
+    monkeypatch.setattr(Layouts, "read", lambda self, key, *args: reads.append(key) or read(self, key, *args))
+    days.on_days(log.where("seq > 6"), t.snapshot, str(tmp_path), 1, marts=False)
+    assert reads == ["msisdn", "msisdn"]  # for what changed, and for what stays
+    assert not list(tmp_path.glob("change_daily/batch=1"))
+    columns = [*KEY, "tac", "active", "last_change_seq", "last_change_date"]
+    want = rows_of(fold.fold_all(t.snapshot, log), *columns)
+    layouts, manifest = Layouts(spark, str(tmp_path)), Journal(spark, str(tmp_path)).manifest()
+    for key in KEY:
+        assert rows_of(layouts.read(key, manifest), *columns) == want
