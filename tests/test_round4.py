@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from bindwell.operators import fold
+from bindwell.operators import daily, fold, quality
 from bindwell.plans import stored
 from bindwell.plans.network import Tables
 from bindwell.sources.feed import KEY
@@ -57,3 +57,14 @@ def test_a_batch_opens_few_files_a_day_and_reads_the_touched_ranges_once(spark,
     layouts, manifest = Layouts(spark, str(tmp_path)), Journal(spark, str(tmp_path)).manifest()
     for key in KEY:
         assert rows_of(layouts.read(key, manifest), *columns) == want
+
+
+def test_quality_sketches_are_grouped_by_chunk_over_rows_derived_once(spark):
+    """All chunks' figures come from one row a binding, however many categories it is in, and stay exact where they are counts."""
+    t = Tables(spark, SF)
+    chunks = quality.quality_chunks(t.state, t.history, t.tac, 7, chunks=4)
+    assert chunks.inputFiles() and all("quality_amounts" in f for f in chunks.inputFiles())
+    whole = chunks.groupBy("source", "category").agg(F.sum("bindings").alias("bindings"), F.sum("numbers").alias("numbers"), F.sum("periods").alias("periods"))
+    now = daily.quality_current(t.state, t.tac).select(F.lit("current").alias("source"), "category", "bindings", "numbers", F.lit(0).cast("long").alias("periods"))
+    then = daily.quality_history(t.history).select(F.lit("history").alias("source"), "category", "bindings", "numbers", "periods")
+    assert rows_of(whole, *whole.columns) == rows_of(now.unionByName(then), *whole.columns)
