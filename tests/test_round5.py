@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindwell.functions import rules
+from bindwell.functions.radio import parse_radio
 from bindwell.functions.rules import countable_rows, flag_handsets
 from bindwell.operators import daily, devices, marts
 from bindwell.plans.network import Tables
@@ -47,3 +48,16 @@ def test_a_large_catalogue_is_not_broadcast(spark, monkeypatch):
     large = firsts()
     assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
     assert rows_of(large) == rows_of(small)
+
+
+def test_a_band_text_is_parsed_once_and_by_many_tasks(spark, tmp_path):
+    """A catalogue of one file is parsed in more than one task, and by distinct text; rows and repeats stay as they are."""
+    one = str(tmp_path / "one")
+    tac = Tables(spark, SF).tac
+    tac.unionByName(tac.limit(3)).unionByName(tac.limit(1).withColumn("bandDetails", F.lit(None).cast("string"))).coalesce(1).write.parquet(one)
+    profiles = parse_radio(spark.read.parquet(one))
+    assert profiles.rdd.getNumPartitions() >= 4
+    assert profiles.count() == tac.count() + 4
+    assert profiles.where("options is null or unparsed is null or bands_listed is null").count() == 0
+    text = profiles._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bandDetails" in text and "REPARTITION_BY_NUM" in text
