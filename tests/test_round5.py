@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindwell.functions import rules
 from bindwell.functions.radio import parse_radio
 from bindwell.functions.rules import countable_rows, flag_handsets
-from bindwell.operators import daily, devices, marts
+from bindwell.operators import daily, devices, marts, risk
 from bindwell.plans.network import Tables
 from bindwell.sources.store import spread
 
@@ -61,3 +61,25 @@ def test_a_band_text_is_parsed_once_and_by_many_tasks(spark, tmp_path):
     assert profiles.where("options is null or unparsed is null or bands_listed is null").count() == 0
     text = profiles._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bandDetails" in text and "REPARTITION_BY_NUM" in text
+
+
+def test_a_search_counts_blocks_instead_of_pairs(spark):
+    """Pages and counts of any ranges equal those of all pairs: single numbers, nested, repeated, empty and very long ranges, negative bounds."""
+    spots = [(p, lo, hi) for p, lo, hi in (("a", 95, 1205), ("b", 0, 9), ("c", 7, 7), ("d", -5, 10**18), ("e", 100, 99), ("f", 90, 110), ("f", 90, 110), ("f", 105, 2000), ("g", 999, 1000), ("h", 5000, 6000))]
+    ranges = spark.createDataFrame(spots, "prefix string, low long, high long")
+    key = F.col("id")
+    flagged = spark.range(3000).select(
+        (key % 37).alias("msisdn"), (key * key % 2003).alias("imsi"), key.cast("string").alias("imei"), (key % 3).cast("string").alias("tac"), (key % 5 != 0).cast("int").alias("active"),
+        (key % 7 == 0).cast("int").alias("no_handset"), F.lit("2026-03-01").cast("date").alias("last_change_date"),
+    )
+    models = spark.createDataFrame([("0", "M", "N", "Tablet", ""), ("1", "M", "N", "Smartphone", "")], "tac string, manufacturer string, marketingName string, deviceType string, operatingSystem string")
+    got = risk.search_sims(flagged, ranges, models, 4, active=True, device_type="Smartphone").select("prefix", "place", "imsi", "msisdn", "imei", "total", "left_out").collect()
+    rows = [(r["imsi"], r["msisdn"], r["imei"], r["no_handset"] == 0 and r["active"] == 1 and r["tac"] == "1", r["no_handset"]) for r in flagged.collect()]
+    want = []
+    for p in "abcdefgh":
+        hits = [r for q, lo, hi in spots if q == p for r in rows if lo <= r[0] <= hi]
+        shown = sorted(r[:3] for r in hits if r[3])
+        want += [(p, k, *r, len(shown), sum(x[4] for x in hits)) for k, r in enumerate(shown[:4], 1)]
+    assert sorted(map(tuple, got)) == want
+    blocks = risk._range_blocks(ranges)
+    assert max(r["count"] for r in blocks.groupBy("prefix", "low", "nth", "level").count().collect()) <= 18
