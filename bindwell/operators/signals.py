@@ -105,7 +105,7 @@ def doubted_rules(assessed: DataFrame, as_of: str) -> DataFrame:
 
 
 def assess(rows: DataFrame, thresholds: Mapping[str, int], tac_threshold: int, share: float, doubted: DataFrame) -> DataFrame:
-    """Each entity's level and reasons, the gravest first.
+    """Each entity's level and reasons, the gravest first, from one row an entity and rule.
 
     A count of all time is an anomaly at most; so is a window that feed defects or flagged days cast doubt on.
     """
@@ -113,10 +113,13 @@ def assess(rows: DataFrame, thresholds: Mapping[str, int], tac_threshold: int, s
     windowed = _of_rule(lambda r: int(r.days is not None)) == 1
     enough = (F.col("adds") <= 0) | (F.col("aside") / F.nullif(F.col("adds"), F.lit(0)) <= share)
     level = F.when(~F.col("crossed"), OBSERVATION).when(~windowed | ~enough | F.col("flagged_days").isNotNull(), ANOMALY).otherwise(SIGNAL)
-    reason = F.struct((-level).alias("grave"), _of_rule(lambda r: RULES.index(r)).alias("place"), "rule", level.alias("level"), "value")
-    sums = judged.groupBy("family", "key").agg(F.max(level).alias("level"), F.min(enough).alias("assessable"), F.array_sort(F.collect_set(reason)).alias("reasons"))
-    text = F.transform("reasons", lambda r: F.concat_ws(":", r["rule"], r["level"].cast("string"), r["value"].cast("string")))
-    return sums.select("family", "key", "level", "assessable", F.array_join(text, ",").alias("reasons"))
+    # numbers of each rule side by side are aggregated in hash tables; lists of reasons would be sorted
+    mine = lambda r, c: F.max(F.when(F.col("rule") == r.name, c))
+    numbers = [x for k, r in enumerate(RULES) for x in (mine(r, level).alias(f"_level{k}"), mine(r, F.col("value")).alias(f"_value{k}"))]
+    sums = judged.groupBy("family", "key").agg(F.max(level).alias("level"), F.min(enough).alias("assessable"), *numbers)
+    text = lambda k, r, n: F.when(F.col(f"_level{k}") == n, F.concat_ws(":", F.lit(r.name), F.lit(str(n)), F.col(f"_value{k}").cast("string")))
+    reasons = F.concat_ws(",", *(text(k, r, n) for n in (SIGNAL, ANOMALY, OBSERVATION) for k, r in enumerate(RULES)))
+    return sums.select("family", "key", "level", "assessable", reasons.alias("reasons"))
 
 
 def linked(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -46,7 +46,7 @@ links as (select distinct 'sim' as family, cast(imsi as varchar) as key, 'number
 
 def sim_windows(t):
     """The SIMs' windows, written once for all rules."""
-    return kept(t.spark, t.sf_dir, "sim_windows", lambda: risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1))
+    return kept(t.spark, t.sf_dir, "sim_windows", lambda: risk.sim_window(t.events, t.tac, t.multi, AS_OF, floor=1, adds=t.adds))
 
 
 class Windows:
@@ -55,8 +55,8 @@ class Windows:
     def __init__(self, t):
         self.assessed = daily.assess_feed(t.dq, *REF)
         self.sims = sim_windows(t)
-        self.imeis = kept(t.spark, t.sf_dir, "imei_windows", lambda: risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=1))
-        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), risk.number_changes(t.evidence, AS_OF))
+        self.imeis = kept(t.spark, t.sf_dir, "imei_windows", lambda: risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=1, adds=t.adds))
+        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), risk.number_changes(t.week_evidence, AS_OF))
         self.listed = signals.risk_list(self.rows, LIMITS, TACS, SHARE)
         self.doubted = signals.doubted_rules(self.assessed, AS_OF)
 

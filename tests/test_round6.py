@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from bindwell.functions import rules
-from bindwell.operators import dashboard, fold
-from bindwell.plans.network import Tables
+from bindwell.operators import dashboard, fold, risk, signals
+from bindwell.plans.network import AS_OF, Tables
 
 SF = "/root/testdata/sf0.001"
 plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
@@ -49,3 +49,21 @@ def test_fold_compares_statements_as_structs_do(spark):
     want = last.select("msisdn", (F.col("last.label") == "add").cast("int").alias("active"), "last.seq", "last.date")
     assert sorted(map(str, map(tuple, out.select("msisdn", "active", "last_change_seq", "last_change_date").collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert "SortAggregate" not in plan_of(out)
+
+
+def test_windows_and_assessment_are_aggregated_in_hash_tables(spark):
+    t = Tables(spark, SF)
+    for window in (risk.sim_window, risk.imei_window):
+        apart, shared = window(t.events, t.tac, t.multi, AS_OF, floor=1), window(t.events, t.tac, t.multi, AS_OF, floor=1, adds=t.adds)
+        assert sorted(map(str, apart.collect())) == sorted(map(str, shared.collect()))
+        assert "SortAggregate" not in plan_of(shared) and "ObjectHashAggregate" not in plan_of(shared)
+    rows = spark.createDataFrame(
+        [("sim", "a", "randomisation_20", 9, None, 2, 4, 0), ("sim", "a", "high_device_count_30", 3, 3, None, 4, 0), ("sim", "a", "rapid_device_change_7", 0, 0, None, 4, 3), ("imei", "b", "shared_imei_sims_ever", None, None, None, 0, 0)],
+        "family string, key string, rule string, value long, raw_value long, tacs long, adds long, aside long",
+    )
+    none = spark.createDataFrame([], "rule string, flagged_days long")
+    done = signals.assess(rows, {r.name: 1 for r in signals.RULES}, 1, 0.5, none)
+    assert {r["key"]: (r["level"], r["assessable"], r["reasons"]) for r in done.collect()} == {
+        "a": (2, False, "high_device_count_30:2:3,randomisation_20:2:9,rapid_device_change_7:0:0"), "b": (0, True, "shared_imei_sims_ever:0"),
+    }
+    assert "ObjectHashAggregate" not in plan_of(done)
