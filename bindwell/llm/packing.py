@@ -133,7 +133,7 @@ def slots(plan: list[tuple[tuple[int, ...], int]], total: int):
     return np.array(rows, np.int64).reshape(-1, 4)
 
 
-def piece_table(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, max_tokens: int) -> DataFrame:
+def piece_table(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, max_tokens: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents: id, piece, start, length, crc32 of its ids."""
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -160,19 +160,20 @@ def piece_table(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
             names=schema.names,
         )
 
-    return map_texts(docs, [id_col, text_col], run, schema, caches=True, most=SLICE_BYTES)
+    return map_texts(docs, [id_col, text_col], run, schema, caches=True, most=slice_bytes)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_tokens: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, max_tokens: int = 1024, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pack all documents into few sequences of at most ``max_tokens`` tokens.
 
     A document is its ids and ``end_id``; one longer than a sequence is cut into full pieces, of
     which the first may be shorter. Returns for each piece: ``id_col``, ``piece``, ``start`` (ids of
     the document before it), ``length``, ``ids_crc32``, ``sequence_id``, ``offset``; offsets of a
     sequence have no gaps. Null and empty texts are the end id alone; rows that repeat an id are
-    packed singly; an empty table gives an empty result. Other columns are not read.
+    packed singly; an empty table gives an empty result. Other columns are not read. ``slice_bytes`` of
+    texts are encoded together: more take more memory and less time.
     """
-    pieces = cut(piece_table(docs, id_col, text_col, tokenizer_path, end_id, max_tokens).withColumn("part", F.spark_partition_id()))
+    pieces = cut(piece_table(docs, id_col, text_col, tokenizer_path, end_id, max_tokens, slice_bytes).withColumn("part", F.spark_partition_id()))
     counts = cut(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = np.zeros(max_tokens + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_tokens rows

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from bindwell.functions import rules
+from bindwell.llm.packing import pack
 from bindwell.operators import dashboard, fold, risk, signals
 from bindwell.plans.network import AS_OF, Tables
 
@@ -67,3 +70,9 @@ def test_windows_and_assessment_are_aggregated_in_hash_tables(spark):
         "a": (2, False, "high_device_count_30:2:3,randomisation_20:2:9,rapid_device_change_7:0:0"), "b": (0, True, "shared_imei_sims_ever:0"),
     }
     assert "ObjectHashAggregate" not in plan_of(done)
+
+
+def test_packing_is_the_same_for_slices_of_any_size(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if os.path.exists(f"{SF}/documents.parquet") else spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), "id", F.lit(" ")), F.col("id").cast("int") * 9).alias("text"))
+    packed = [sorted(map(tuple, pack(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_bytes=n).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) for n in (1, 6 << 20)]
+    assert packed[0] == packed[1] and packed[0]
