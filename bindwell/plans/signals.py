@@ -56,7 +56,8 @@ class Windows:
         self.assessed = daily.assess_feed(t.dq, *REF)
         self.sims = sim_windows(t)
         self.imeis = kept(t.spark, t.sf_dir, "imei_windows", lambda: risk.imei_window(t.events, t.tac, t.multi, AS_OF, floor=1, adds=t.adds))
-        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), risk.number_changes(t.week_evidence, AS_OF))
+        numbers = kept(t.spark, t.sf_dir, "number_changes_7", lambda: risk.number_changes(t.week_evidence, AS_OF))
+        self.rows = signals.measures(self.sims, self.imeis, risk.imei_lifetime(t.flagged, floor=1), numbers)
         self.listed = signals.risk_list(self.rows, LIMITS, TACS, SHARE)
         self.doubted = signals.doubted_rules(self.assessed, AS_OF)
 
