@@ -74,7 +74,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), slice_bytes=6 << 20)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

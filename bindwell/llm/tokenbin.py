@@ -109,11 +109,13 @@ def write_token_files(
     end_id: int = 2,
     width: int = 8,
     segment_ids: int = 1 << 21,
+    slice_bytes: int = SLICE_BYTES,
 ) -> None:
     """Write the ids of all documents, in ascending order of ``id_col``, as segment files at ``path``.
 
     Rows: part, segment, n_ids, ids (of the documents), file. A segment ends with the document that
-    brings it to ``segment_ids`` ids, so it is at most that and one document long. A null id comes
+    brings it to ``segment_ids`` ids, so it is at most that and one document long. Texts are encoded in
+    slices of ``slice_bytes``, of which a word that recurs in one is handled once. A null id comes
     first, equal ids in the order of their texts; null texts are the end id alone.
     """
     schema = T.StructType([
@@ -135,7 +137,7 @@ def write_token_files(
         size = 0
         for batch in batches:
             kind = batch.column(0).type
-            for some in portions(batch, 1, SLICE_BYTES):
+            for some in portions(batch, 1, slice_bytes):
                 data, offsets = buffers(some.column(1))
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
