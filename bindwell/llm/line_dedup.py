@@ -5,6 +5,11 @@ node from the start, however often they occur. Lines that share a join key are c
 filtered by their sketches and verified by edit similarity. Of each connected group the first
 occurrence stays.
 
+The rows that are sorted by key carry size and sketch, so all pairs of a key with few lines are filtered where
+they meet and nothing else is joined. Of a key with more lines each meets the key's first one there, later the one
+that shares most keys with others; what is still in different components is compared in cells of bounded size, with the
+lines' words beside them: a cell gives links, and no more of them than it has lines.
+
 * SimHash by blocks: the distinct words of a line are dealt by hash to the blocks of its size band, and
   a word votes on the bits of its own block's SimHash only. An edit so leaves all blocks alone but those
   of the words it touches, where a SimHash of the whole line would change a few bits in many of its
@@ -33,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindwell.llm.jaccard import Rule, all_keys, linked_components, parity_sketches, shingle_sets
+from bindwell.llm.graph import components
+from bindwell.llm.jaccard import CELL, Rule, Sketches, all_keys, parity_sketches
 from bindwell.llm.store import BROADCAST_IDS, bounded, cut, written
-from bindwell.llm.text import ALNUM, LOWER, U64, Words, map_texts, mix
+from bindwell.llm.text import ALNUM, LOWER, U64, Words, map_texts, mix, trimmed
 
 #: Bits of a block's SimHash.
 BITS = 64
@@ -45,23 +51,30 @@ NUM, DEN = 9, 10
 SMALL, LEAST, PARTS = 8, 8, 4
 #: Blocks that may change at least, for sets that have blocks.
 CHANGED = 6
-#: Bits of the narrowest parity sketch of a word set.
+#: Bits of the parity sketch of a word set: two numbers.
 PARITY = 128
+#: Lines of a key of which all pairs are compared where they meet, and rows that are looked at together there.
+FEW, TOGETHER = 32, 1 << 16
+#: Pairs of a cell that are verified before the next ones are looked at.
+PAIRS = 2000
 
 #: Lines of more characters are compared singly; numbers of a row of the bands that are compared together.
 LONG, CELLS = 2000, 100_000
+#: Edits that are looked for first, in a band whose places are the bits of one number, and pairs looked at together.
+NARROW, NARROW_PAIRS = 31, 4000
 
 _TABLE = np.where(ALNUM, LOWER, 0x20).astype(np.uint8)
 _TABLE[0x41:0x5B] = np.arange(0x61, 0x7B)
 _TABLE[0x30:0x3A] = 0x30
 _NORMAL = bytes(_TABLE)
+_BYTE = np.arange(256)
+#: Classes of characters by their first byte; 0 for the bytes that follow it.
+_CLASS = np.select([_BYTE < 0x40, _BYTE < 0x80, _BYTE < 0xC0], [33 + (_BYTE >> 4), 1 + _BYTE % 32, 0], 40 + _BYTE % 24)
 #: The bits of a byte as the bytes of a number, and how many of these can be summed.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _RUN = 254
 
 
-
-
 def normalise(line: bytes) -> bytes:
     return b" ".join(line.translate(_NORMAL).split())
 
@@ -90,12 +103,36 @@ class LineRule(Rule):
 def simhashes(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """SimHash of each group of tokens, which stand together from ``begins`` on, as unsigned 64-bit numbers.
 
-    Every token votes on every bit; bits of the group's parity decide ties. Votes are summed eight to a
-    number, a byte each, over runs of at most 254 tokens.
+    Every token votes on every bit; bits of the group's parity decide ties. Groups of up to four are
+    counted by logic on whole numbers.
     """
-    votes = mix(tokens ^ U64(0x6A09E667F3BCC909))
-    ties = np.bitwise_xor.reduceat(mix(tokens ^ U64(0x9FB21C651E98DF25)), begins).view(np.uint8).reshape(-1, 8)
+    votes, parity = mix(tokens ^ U64(0x6A09E667F3BCC909)), mix(tokens ^ U64(0x9FB21C651E98DF25))
     count = np.diff(np.append(begins, len(tokens)))
+    out = np.empty(len(begins), U64)
+    for n in range(1, 5):
+        of = np.flatnonzero(count == n)
+        v, t = ([x[begins[of] + k] for k in range(n)] for x in (votes, parity))
+        if n == 1:
+            out[of] = v[0]
+        elif n == 2:
+            out[of] = v[0] & v[1] | (v[0] | v[1]) & (t[0] ^ t[1])
+        elif n == 3:
+            out[of] = v[0] & v[1] | (v[0] | v[1]) & v[2]
+        else:
+            both, some, both_, some_ = v[0] & v[1], v[0] | v[1], v[2] & v[3], v[2] | v[3]
+            three, two = both & some_ | both_ & some, both | both_ | some & some_
+            out[of] = three | two & (t[0] ^ t[1] ^ t[2] ^ t[3])
+    more = np.flatnonzero(count > 4)
+    if len(more):
+        take = np.repeat(begins[more] - np.cumsum(count[more]) + count[more], count[more]) + np.arange(count[more].sum())
+        out[more] = _majorities(votes[take], parity[take], np.cumsum(count[more]) - count[more])
+    return out
+
+
+def _majorities(votes: np.ndarray, parity: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The same for groups of any size: votes are summed eight to a number, a byte each, over runs of at most 254 tokens."""
+    ties = np.bitwise_xor.reduceat(parity, begins).view(np.uint8).reshape(-1, 8)
+    count = np.diff(np.append(begins, len(votes)))
     runs = -(-count // _RUN)
     owner = np.repeat(np.arange(len(begins)), runs)
     run_first = np.cumsum(runs) - runs
@@ -124,6 +161,32 @@ def line_keys(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.nda
     return np.concatenate((key, mix(sums ^ U64(0xBB67AE8584CAA73B)))), np.concatenate((owner, small, rows[less]))
 
 
+#: What ``Words.gram_at`` starts from for one word.
+_ONE = 0xA0761D6478BD642F * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF
+
+
+def word_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes of every row, in order of row: those of ``shingle_sets`` for single words."""
+    hashes, rows = words.hash, words.row
+    code = rows.astype(U64) << U64(40) | hashes >> U64(24)
+    order = np.argsort(code)
+    code, hashes, rows = code[order], hashes[order], rows[order]
+    same, other = code[1:] == code[:-1], hashes[1:] != hashes[:-1]
+    if words.rows >> 24 or (same & other).any():  # the code does not tell all of them apart
+        order = np.lexsort((words.hash, words.row))
+        hashes, rows = words.hash[order], words.row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return mix(hashes[new] + U64(_ONE)), rows[new]
+
+
+def sketches_of(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """The parity sketch of every row's tokens: each flips one bit."""
+    bit = rows * PARITY + (mix(tokens ^ U64(0xD1B54A32D192ED03)) & U64(PARITY - 1)).astype(np.int64)
+    flips = np.bincount(bit, minlength=n_rows * PARITY).astype(np.uint8) & 1
+    return np.packbits(flips).view(np.int64).reshape(n_rows, 2)
+
+
 def _split(text: str | None) -> list[bytes]:
     return [normalise(line) for line in (text or "").encode().split(b"\n")]
 
@@ -133,14 +196,14 @@ def _node(line: bytes) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """The distinct lines with words of each slice of documents: (node, words, n, sketch, keys, places).
+    """The distinct lines with words of each slice of documents: (node, words, n, s0, s1, keys, places).
 
-    The node is a 64-bit digest of the normalised line ``words``, ``n`` its number of distinct words;
-    ``places`` are (id, line, th) of its occurrences in the slice.
+    The node is a 64-bit digest of the normalised line ``words``, ``n`` its number of distinct words,
+    ``s0`` and ``s1`` their sketch; ``places`` are (id, line, th) of its occurrences in the slice.
     """
     place = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "line", "th")])
     schema = T.StructType([
-        T.StructField("node", T.LongType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()),
+        T.StructField("node", T.LongType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(place)),
     ])
 
@@ -157,7 +220,8 @@ def _lines(docs: DataFrame) -> DataFrame:
                     row.append(k)
                     number.append(j)
                     which.append(known.setdefault(line, len(known)))
-        tokens, rows = shingle_sets(Words(pa.array(list(known), pa.binary()), ALNUM, lower=False), 1)
+        tokens, rows = word_sets(Words(pa.array(list(known), pa.binary()), ALNUM, lower=False))
+        sketch = sketches_of(tokens, rows, len(known))
         n = np.bincount(rows, minlength=len(known))
         key, owner = line_keys(tokens, rows, len(known))
         signs = np.array([_node(b"signs " + x.replace(b" ", b"")) for x in known], np.int64).view(U64)
@@ -167,7 +231,7 @@ def _lines(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([_node(x) for x in known], pa.int64()), pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
-                pa.array(parity_sketches(tokens, rows, n, PARITY), pa.binary()), listed(pa.array(key.view(np.int64)), owner, len(known)), listed(places, np.array(which, np.int64), len(known)),
+                pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), listed(pa.array(key.view(np.int64)), owner, len(known)), listed(places, np.array(which, np.int64), len(known)),
             ],
             names=schema.names,
         )
@@ -262,36 +326,271 @@ def bands_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     return found
 
 
+def narrow_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """The same for at most NARROW edits: a row of each pair's band is the steps between its places, as bits of two numbers (Hyyro 2003)."""
+    k, both = NARROW, [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    longer, shorter = (np.array([len(p[c]) for p in both]) for c in (0, 1))
+    codes = [np.array([p[c].ljust(int(size.max()), "\0") for p in both]).view(np.uint32).reshape(len(both), -1) for c, size in ((0, longer), (1, shorter))]
+    kind = np.uint16 if max(x.max() for x in codes) < 0xFFFF else np.uint32
+    columns = np.full((len(both), 63 + codes[0].shape[1] + k), np.iinfo(kind).max, kind)  # stands for no character
+    columns[:, 63 - k : 63 - k + codes[0].shape[1]] = np.where(np.arange(codes[0].shape[1]) < longer[:, None], codes[0], np.iinfo(kind).max)
+    rows = codes[1].astype(kind)
+    up, down = np.full(len(both), U64(0xFFFFFFFFFFFFFFFF) << U64(63 - k), U64), np.zeros(len(both), U64)
+    edits, out = np.minimum(longer, k), shorter == 0
+    out &= longer <= most
+    for i in range(rows.shape[1]):
+        same = np.packbits(columns[:, i : i + 64] == rows[:, i, None], axis=1, bitorder="little").view("<u8").ravel()
+        flat = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | ~(flat | up), flat & up
+        last = i + k - longer  # places by which the band reaches beyond the longer line's end
+        place = U64(63) - np.clip(last + 1, 0, 63).astype(U64)
+        step = np.where(last < 0, 1 - (flat >> U64(63)).astype(np.int64), (right_up >> place & U64(1)).astype(np.int64) - (right_down >> place & U64(1)).astype(np.int64))
+        edits += np.where(i < shorter, step, 0)
+        flat >>= U64(1)
+        up, down = right_down | ~(flat | right_up), flat & right_up
+    return np.where(shorter > 0, edits <= most, out)
+
+
+def letters_apart(a: list[str], b: list[str]) -> np.ndarray:
+    """A number of edits that each pair needs at least: an edit takes one character away and adds one at most, so counts of characters tell."""
+
+    def counts(lines: list[str]) -> np.ndarray:
+        data = [x.encode() for x in lines]
+        row = np.repeat(np.arange(len(data)), np.fromiter(map(len, data), np.int64, len(data)))
+        sign = _CLASS[np.frombuffer(b"".join(data), np.uint8)]
+        return np.bincount(row * 64 + sign, minlength=len(data) * 64).reshape(-1, 64)[:, 1:]
+
+    out = np.empty(len(a), np.int64)
+    for k in range(0, len(a), PAIRS):
+        more = counts(a[k : k + PAIRS]) - counts(b[k : k + PAIRS])
+        out[k : k + PAIRS] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    return out
+
+
 def alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether each pair of lines has the edit similarity: in bands for lines of like lengths, long ones singly, by words first."""
+    """Whether each pair of lines has the edit similarity: counts of letters first, then bands, narrow ones first, for lines of like lengths together; long ones singly, by words first."""
     size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     most = size * (DEN - NUM) // DEN
-    out = np.array([abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)], np.int64) <= most
+    least = letters_apart(a, b)
+    out = least <= most
     for k in np.flatnonzero(out & (size > LONG)):
         out[k] = edits_by_words(a[k].split(" "), b[k].split(" ")) <= most[k] or edits_within(a[k], b[k], int(most[k]))
     rest = np.flatnonzero(out & (size <= LONG))
     rest = rest[np.argsort(size[rest], kind="stable")]
-    while len(rest):
-        some = max(1, int(np.searchsorted(np.arange(1, len(rest) + 1) * (2 * most[rest] + 1), CELLS)))
-        now, rest = rest[:some], rest[some:]
-        out[now] = bands_within([a[k] for k in now], [b[k] for k in now], most[now])
+    out[rest] = False
+    for within, numbers, cells, edits in (narrow_within, 0 * most + 1, NARROW_PAIRS, np.minimum(most, NARROW)), (bands_within, 2 * most + 1, CELLS, most):
+        waiting = rest[least[rest] <= edits[rest]]
+        while len(waiting):
+            some = max(1, int(np.searchsorted(np.arange(1, len(waiting) + 1) * numbers[waiting], cells)))
+            now, waiting = waiting[:some], waiting[some:]
+            out[now] = within([a[k] for k in now], [b[k] for k in now], edits[now])
+        rest = rest[~out[rest] & (most[rest] > NARROW)]
     return out
 
 
+def sets_near(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether sketches of twice as many bits as a line has words allow a link; those of up to 64 words have been compared by then."""
+    out, rule = np.ones(len(a), bool), LineRule()
+    large = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if max(x.count(" "), y.count(" ")) >= PARITY // 2]
+    for k in range(0, len(large), PAIRS):
+        some = large[k : k + PAIRS]
+        lines = [x[k].encode() for x in (a, b) for k in some]
+        tokens, rows = word_sets(Words(pa.array(lines, pa.binary()), ALNUM, lower=False))
+        n, left = np.bincount(rows, minlength=len(lines)), np.arange(len(some))
+        sketches = Sketches(parity_sketches(tokens, rows, n, PARITY))
+        out[some] = rule.near(sketches.apart(left, sketches, left + len(some)), n[: len(some)] + n[len(some) :])
+    return out
+
+
+def links_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether each pair of lines is a link."""
+    out = sets_near(a, b)
+    some = np.flatnonzero(out)
+    out[some] = alike([a[k] for k in some], [b[k] for k in some])
+    return out
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, words) of a stored table of nodes."""
+    return cut(lines.select("node", "words").join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("words").alias("words")))
+
+
 def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines have the edit similarity. Only the words of lines in pairs are moved."""
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    wanted = bounded(cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-    texts = cut(lines.select("node", "words").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("words").alias("words")))
+    texts = _texts(lines, cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     ends = [texts.select(F.col("node").alias(c), F.col("words").alias(f"w{c}")) for c in "ab"]
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(alike(x.tolist(), y.tolist()))
+        return pd.Series(links_of(x.tolist(), y.tolist()))
 
     return cut(pairs.join(ends[0], "a").join(ends[1], "b").where(near("wa", "wb")).select("a", "b").distinct())
 
 
+def _shared(lines: DataFrame) -> DataFrame:
+    """What meets at the keys: (key, id, hub, n, s0, s1) of the lines of keys with more than FEW, and without a key the pairs (id, hub) that sizes and sketches allow.
+
+    The pairs are all those of a key's lines if these are few, else those of each with the key's smallest.
+    """
+    rule = LineRule()
+
+    def run(batches):
+        held, large = [np.empty(0, np.int64)] * 5, False  # rows of the last key, which may go on; of a large one the first and the last row alone
+
+        def met(columns: list[np.ndarray], known: int) -> pa.RecordBatch:
+            """Of rows of whole keys; the first ``known`` have been given already as lines of a large key."""
+            key, ident, n, *sketch = columns
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            group = np.repeat(np.arange(len(start)), size)
+            big = size > FEW
+            big[0] |= known > 0
+            ends = (start + size)[group]
+            first, second = [], []
+
+            def fits(x, y):
+                low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in (c.view(U64) for c in sketch))
+                fit = np.flatnonzero((low * rule.den >= high * rule.num) & rule.near(apart, low + high))
+                first.append(x[fit])
+                second.append(y[fit])
+
+            x, apart = np.flatnonzero(~big[group]), 1
+            while len(x := x[x + apart < ends[x]]):
+                fits(x, x + apart)
+                apart += 1
+            many = np.flatnonzero(big[group])
+            many = many[many >= known]
+            hub = start[group[many]]
+            fits(hub[hub != many], many[hub != many])
+            a, b = ident[np.concatenate(first)], ident[np.concatenate(second)]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            both = zip([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], [key[many], ident[many], ident[hub], *(c[many] for c in columns[2:])], strict=True)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y)]) for x, y in both], names=["key", "id", "hub", "n", "s0", "s1"])
+
+        def several():
+            some, size = [], 0
+            for batch in batches:
+                some.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+                if size >= TOGETHER:
+                    yield some
+                    some, size = [], 0
+            yield some
+
+        for some in several():
+            columns = [np.concatenate(c) for c in zip(held, *some, strict=True)]
+            key, ident = columns[:2]
+            if not len(key):
+                continue
+            once = np.append(True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]))  # a line that stands in several slices
+            known = len(held[0]) if large else 0
+            key, *_ = columns = [c[once] for c in columns]
+            last = int(np.searchsorted(key, key[-1]))
+            large = len(key) - last > FEW or large and last == 0
+            done = len(key) if large else last
+            if done:
+                yield met([c[:done] for c in columns], known)
+            held = [np.append(c[last : last + 1], c[max(last + 1, len(c) - 1) :]) if large else c[last:] for c in columns]
+        if len(held[0]) and not large:
+            yield met(held, 0)
+
+    rows = lines.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n", "s0", "s1")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long, n long, s0 long, s1 long")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their ``component``, of the keys whose members are not all in one; of keys with the same members one."""
+    labelled = members.drop("component").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    labelled = cut(labelled)
+    sets = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("id")).alias("set"), F.count(F.lit(1)).alias("size"))
+    mixed = sets.where("x <> y").groupBy("set", "size").agg(F.min("key").alias("key")).select("key")
+    return cut(labelled.join(mixed, "key", "left_semi"))
+
+
+def _middle_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's member that shares most keys with others and those of other components, if sizes and sketches allow them."""
+    rule = LineRule()
+    shared = members.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.max_by(F.struct("id", "component", "n", "s0", "s1"), F.struct("shared", -F.col("id")))
+    hubs = members.join(shared, "id").groupBy("key").agg(best.alias("h"))
+    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"h.{s}"))) for s in ("s0", "s1")), F.lit(0))
+    total, low, high = F.col("n") + F.col("h.n"), F.least("n", "h.n"), F.greatest("n", "h.n")
+    most = F.greatest(F.floor(total * (rule.den - rule.num) / (rule.den + rule.num)), F.lit(3))
+    pairs = members.join(hubs, "key").where((F.col("component") != F.col("h.component")) & (low * rule.den >= high * rule.num) & (apart <= most))
+    return pairs.select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+
+
+def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between the components of a cell, of lines that share a key: as many as join them, no more.
+
+    Pairs are looked at where sizes and sketches allow them; once linked, components are one.
+    """
+    rule = LineRule()
+    ident, n, piece = (cell[c].to_numpy() for c in ("id", "n", "piece"))
+    sketch = cell[["s0", "s1"]].to_numpy().astype(np.int64).view(U64)
+    keys, words = [frozenset(map(int, x)) for x in cell["keys"]], cell["words"].tolist()
+    _, label = np.unique(cell["component"].to_numpy(), return_inverse=True)
+    across = cell["i"].iloc[0] != cell["j"].iloc[0]
+    found = []
+
+    def verify(pairs: list[tuple[int, int]]) -> None:
+        pairs = [(x, y) for x, y in pairs if label[x] != label[y] and not keys[x].isdisjoint(keys[y])]
+        for (x, y), link in zip(pairs, links_of([words[x] for x, _ in pairs], [words[y] for _, y in pairs]).tolist(), strict=True):
+            if link and label[x] != label[y]:
+                found.append((ident[x], ident[y]))
+                label[label == label[y]] = label[x]
+
+    waiting: list[tuple[int, int]] = []
+    for x in range(len(cell) - 1):
+        y = np.arange(x + 1, len(cell))
+        y = y[(label[y] != label[x]) & (piece[y] != piece[x] if across else True)]
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        sizes = np.minimum(n[y], n[x]) * rule.den >= np.maximum(n[y], n[x]) * rule.num
+        waiting += [(x, k) for k in y[sizes & rule.near(apart, n[y] + n[x])].tolist()]
+        if len(waiting) >= PAIRS:
+            verify(waiting)
+            waiting = []
+    verify(waiting)
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _cells(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between lines of one key and of different components.
+
+    The lines of the keys of one hub are dealt by the hash of their id into pieces of about CELL, and every
+    two pieces meet in a cell, so no group is held whole.
+    """
+    mine = cut(members.groupBy("hub", "id").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "component"))))
+    pieces = mine.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
+    x = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x")
+    spread = mine.join(pieces, "hub").select("*", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), x)
+    spread = spread.withColumn("i", F.least("piece", "x")).withColumn("j", F.greatest("piece", "x")).drop("pieces", "x")
+    texts = _texts(lines, cut(mine.select(F.col("id").alias("node")).distinct())).select(F.col("node").alias("id"), "words")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put into few tasks
+    cells = spread.join(texts, "id").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j")
+    return cut(cells.applyInPandas(_cell_links, "a long, b long"))
+
+
+def _linked(lines: DataFrame) -> DataFrame:
+    """(node, component) of the lines with links."""
+    shared = written(_shared(lines), "shared")
+    links = _verified(lines, shared.where("key is null").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    found = cut(components(links))
+    members = _mixed(shared.where("key is not null"), found)
+    if members.isEmpty():
+        return found
+    more = _verified(lines, _middle_pairs(members))
+    if not more.isEmpty():
+        links = links.union(more)
+        found = cut(components(links))
+        members = _mixed(members, found)
+    new = _cells(lines, members)
+    return found if new.isEmpty() else cut(components(links.union(new)))
+
+
 def _places(lists: DataFrame, name: str) -> DataFrame:
     """A stored table of (id, th, ``name``: line numbers), marked for broadcast if all its numbers are counted to be few."""
     size = lists.agg((F.count(F.lit(1)) * 4 + F.coalesce(F.sum(F.size(name)), F.lit(0))).alias("size")).first()["size"]
@@ -310,8 +609,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     lines = written(_lines(mine), "lines")  # a line stands once a slice that has it
-    features = lines.select(F.col("node").alias("id"), "n", "sketch", "keys")
-    found = linked_components(features, LineRule(), lambda pairs: _verified(lines, pairs))
+    found = _linked(lines)
 
     # lines that occur once and have no links are in no group
     every = lines.groupBy("node").agg(F.min(F.array_min("places")).alias("first"), F.sum(F.size("places")).alias("times"))
