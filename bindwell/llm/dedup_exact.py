@@ -29,13 +29,16 @@ FLUSH = 4_000_000
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 
-def _places(hashes: pd.Series, n_bits: int, n_hashes: int) -> np.ndarray:
-    """The places of each hash, one row of the result for each hash function."""
-    values = hashes.to_numpy(np.int64).view(U64)
+def filter_places(values: np.ndarray, n_bits: int, n_hashes: int) -> np.ndarray:
+    """The places of each unsigned hash, one row of the result for each hash function."""
     first, second = mix(values), mix(values ^ U64(0x5851F42D4C957F2D)) | U64(1)
     return np.stack([(first + U64(k) * second) % U64(n_bits) for k in range(n_hashes)]).astype(np.int64)
 
 
+def _places(hashes: pd.Series, n_bits: int, n_hashes: int) -> np.ndarray:
+    return filter_places(hashes.to_numpy(np.int64).view(U64), n_bits, n_hashes)
+
+
 def _by_segment(places: list[np.ndarray]) -> pd.DataFrame:
     """Places hit at all and places hit twice, as 16-bit lists by segment."""
     hit, times = np.unique(np.concatenate(places), return_counts=True)

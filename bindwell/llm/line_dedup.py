@@ -29,19 +29,23 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bindwell.llm.bloom import Bloom
+from bindwell.llm.dedup_exact import SEGMENT, filter_places, repeat_filter
 from bindwell.llm.graph import components
 from bindwell.llm.jaccard import CELL, Rule, Sketches, all_keys, parity_sketches
-from bindwell.llm.store import BROADCAST_IDS, bounded, cut, written
-from bindwell.llm.text import ALNUM, LOWER, U64, Words, map_texts, mix, trimmed
+from bindwell.llm.store import BROADCAST_IDS, settled, written
+from bindwell.llm.text import ALNUM, LOWER, U64, Words, in_batches, map_texts, mix, trimmed
 
 #: Bits of a block's SimHash.
 BITS = 64
@@ -55,13 +59,19 @@ CHANGED = 6
 PARITY = 128
 #: Lines of a key of which all pairs are compared where they meet, and rows that are looked at together there.
 FEW, TOGETHER = 32, 1 << 16
+#: Bytes of pairs of lines that are compared together.
+PAIR_BYTES = 24 << 20
+#: Bits of the filter of repeated keys for each key, and at most (64 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 29
+#: Ids that are broadcast as such (about 20 MB at the driver); more are looked up in a filter of bounded size first.
+FEW_IDS = 200_000
 #: Pairs of a cell that are verified before the next ones are looked at.
 PAIRS = 2000
 
-#: Lines of more characters are compared singly; numbers of a row of the bands that are compared together.
-LONG, CELLS = 2000, 100_000
-#: Edits that are looked for first, in a band whose places are the bits of one number, and pairs looked at together.
-NARROW, NARROW_PAIRS = 31, 4000
+#: Lines of more characters are compared singly; characters of lines that are compared together.
+LONG, CELLS = 3000, 1_000_000
+#: Edits that can be told from a band whose places are the bits of one number; kinds of characters that are looked up.
+NARROW, KINDS = 31, 64
 
 _TABLE = np.where(ALNUM, LOWER, 0x20).astype(np.uint8)
 _TABLE[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -294,61 +304,102 @@ def edits_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def bands_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most its ``most``: the diagonals around the table's main one, a row of all pairs at a time.
+def narrow_within(a: list[str], b: list[str], most: np.ndarray, words: int = 1) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its ``most``, which is at most 32 ``words`` - 1.
 
-    Every few rows, pairs whose distance is too large already are left out.
+    A row of each pair's band is the steps between its places, as bits of two numbers of 64 ``words`` bits (Hyyro 2003). Where the
+    longer line has a character of the shorter one is a bit each as well, looked up by characters if there are few kinds of them.
     """
-    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    k, found = int(most.max()), np.zeros(len(a), bool)
-    codes = lambda lines, width: np.array([x.ljust(width, "\0") for x in lines]).view(np.uint32).reshape(len(lines), width)
-    rows_of, columns = codes(a, int(size_a.max())), np.full((len(b), int(size_a.max()) + 2 * k + 1), 0xFFFFFFFF, np.uint32)
-    inside = codes(b, int(size_b.max()))[:, : columns.shape[1] - k]
-    columns[:, k : k + inside.shape[1]] = np.where(np.arange(inside.shape[1]) < size_b[:, None], inside, 0xFFFFFFFF)
-    step, endless = np.arange(2 * k + 1, dtype=np.int16), np.int16(20_000)
-    edits = np.broadcast_to(np.where(step >= k, step - k, endless), (len(a), len(step))).astype(np.int16)
-    pairs = np.arange(len(a))
-    for i in range(int(size_a.max()) + 1):
-        if i:
-            new = edits + (columns[:, i - 1 : i + 2 * k] != rows_of[:, i - 1, None])
-            np.minimum(new[:, :-1], edits[:, 1:] + np.int16(1), out=new[:, :-1])
-            if i <= k:
-                new[:, : k - i], new[:, k - i] = endless, i
-            edits = np.minimum.accumulate(new - step, axis=1) + step
-        ends = np.flatnonzero(size_a[pairs] == i)
-        found[pairs[ends]] = edits[ends, size_b[pairs[ends]] - i + k] <= most[pairs[ends]]
-        if i % 32 == 31:
-            stay = np.flatnonzero((size_a[pairs] > i) & (edits.min(axis=1) <= most[pairs]))
-            if len(stay) <= 0.8 * len(pairs):
-                pairs, edits, columns, rows_of = pairs[stay], edits[stay], columns[stay], rows_of[stay]
-            if not len(pairs):
-                break
-    return found
-
-
-def narrow_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """The same for at most NARROW edits: a row of each pair's band is the steps between its places, as bits of two numbers (Hyyro 2003)."""
-    k, both = NARROW, [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    width, both = 64 * words, [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    k, count = width // 2 - 1, len(both)
     longer, shorter = (np.array([len(p[c]) for p in both]) for c in (0, 1))
-    codes = [np.array([p[c].ljust(int(size.max()), "\0") for p in both]).view(np.uint32).reshape(len(both), -1) for c, size in ((0, longer), (1, shorter))]
-    kind = np.uint16 if max(x.max() for x in codes) < 0xFFFF else np.uint32
-    columns = np.full((len(both), 63 + codes[0].shape[1] + k), np.iinfo(kind).max, kind)  # stands for no character
-    columns[:, 63 - k : 63 - k + codes[0].shape[1]] = np.where(np.arange(codes[0].shape[1]) < longer[:, None], codes[0], np.iinfo(kind).max)
-    rows = codes[1].astype(kind)
-    up, down = np.full(len(both), U64(0xFFFFFFFFFFFFFFFF) << U64(63 - k), U64), np.zeros(len(both), U64)
-    edits, out = np.minimum(longer, k), shorter == 0
-    out &= longer <= most
-    for i in range(rows.shape[1]):
-        same = np.packbits(columns[:, i : i + 64] == rows[:, i, None], axis=1, bitorder="little").view("<u8").ravel()
-        flat = (((same & up) + up) ^ up) | same | down
-        right_up, right_down = down | ~(flat | up), flat & up
-        last = i + k - longer  # places by which the band reaches beyond the longer line's end
-        place = U64(63) - np.clip(last + 1, 0, 63).astype(U64)
-        step = np.where(last < 0, 1 - (flat >> U64(63)).astype(np.int64), (right_up >> place & U64(1)).astype(np.int64) - (right_down >> place & U64(1)).astype(np.int64))
-        edits += np.where(i < shorter, step, 0)
-        flat >>= U64(1)
-        up, down = right_down | ~(flat | right_up), flat & right_up
-    return np.where(shorter > 0, edits <= most, out)
+    codes = [np.array([p[c].ljust(int(size.max()), "\0") for p in both]).view(np.uint32).reshape(count, -1) for c, size in ((0, longer), (1, shorter))]
+    blocks = (width - 1 - k + codes[0].shape[1] + k) // 64 + words + 2
+    kinds = np.unique(codes[1])
+    few = len(kinds) <= KINDS
+    kind = np.uint8 if few else np.uint32
+    columns = np.full((count, 64 * blocks), np.iinfo(kind).max, kind)  # stands for no character
+    inside = np.arange(codes[0].shape[1]) < longer[:, None]
+    if few:
+        codes = [np.searchsorted(kinds, codes[0]).astype(kind) + (np.isin(codes[0], kinds, invert=True) * 128).astype(kind), np.searchsorted(kinds, codes[1]).astype(kind)]
+    columns[:, width - 1 - k : width - 1 - k + codes[0].shape[1]] = np.where(inside, codes[0], np.iinfo(kind).max)
+    if few:
+        table = np.empty((count, len(kinds), blocks), U64)
+        for x in range(len(kinds)):
+            table[:, x] = np.packbits(columns == kind(x), axis=1, bitorder="little").view("<u8")
+        table, rows = table.ravel(), np.ascontiguousarray(codes[1].T).astype(np.int64) * blocks + np.arange(count) * (len(kinds) * blocks)
+    up, down = np.zeros((words, count), U64), np.zeros((words, count), U64)
+    for place in range(width - 1 - k, width):
+        up[place >> 6] |= U64(1) << U64(place & 63)
+    edits, some, out = np.minimum(longer, k), shorter > 0, longer <= most
+    stay, done, every, one, top, inner, least = np.arange(count), np.empty(count, np.int64), np.arange(count), U64(1), U64(63), int(longer.min()) - k, int(shorter.min())
+    for i in range(codes[1].shape[1]):
+        if i >= least and i & 31 == 0 and (left := np.count_nonzero(shorter > i)) <= 0.9 * len(stay):  # go on with pairs that are not through
+            done[stay], on = edits, np.flatnonzero(shorter > i)
+            stay, up, down, edits, longer, shorter, every = stay[on], up[:, on], down[:, on], edits[on], longer[on], shorter[on], every[:left]
+            if few:
+                rows[i:, :left] = rows[i:, on]
+            else:
+                columns, codes[1] = columns[on], codes[1][on]
+            count, inner, least = left, int(longer.min()) - k, int(shorter.min())
+        if few:
+            at = rows[i, :count] + (i >> 6)
+            same = table.take(at if words == 1 else at + np.arange(words)[:, None]).reshape(words, count)
+            if i & 63:
+                same >>= U64(i & 63)
+                beyond = table.take(at + 1 if words == 1 else at + np.arange(1, words + 1)[:, None]).reshape(words, count)
+                beyond <<= U64(64 - (i & 63))
+                same |= beyond
+        else:
+            same = np.ascontiguousarray(np.packbits(columns[:, i : i + width] == codes[1][:, i, None], axis=1, bitorder="little").view("<u8").T)
+        flat = same & up
+        if words == 1:
+            flat += up
+        else:
+            sums, carry = flat.copy(), False
+            flat += up
+            for w in range(words):
+                more = flat[w] < sums[w]
+                flat[w] += carry
+                carry = more | carry & (flat[w] == 0)
+        flat ^= up
+        flat |= same
+        flat |= down
+        right_up, right_down = flat | up, flat & up
+        np.invert(right_up, out=right_up)
+        right_up |= down
+        if i < inner:  # the band ends within all longer lines
+            step = 1 - (flat[-1] >> top).view(np.int64)
+        else:
+            last = i + k - longer  # places by which the band reaches beyond the longer line's end
+            place = np.clip(width - 2 - last, 0, width - 1)
+            w, bit = place >> 6, (place & 63).astype(U64)
+            step = (right_up[w, every] >> bit & one).astype(np.int64) - (right_down[w, every] >> bit & one).astype(np.int64)
+            step = np.where(last < 0, 1 - (flat[-1] >> top).view(np.int64), step)
+        edits += step if i < least else np.where(i < shorter, step, 0)
+        if words > 1:
+            low = flat[1:] << top
+        flat >>= one
+        if words > 1:
+            flat[:-1] |= low
+        down = flat & right_up
+        flat |= right_up
+        np.invert(flat, out=flat)
+        flat |= right_down
+        up = flat
+    done[stay] = edits
+    return np.where(some, done <= most, out)
+
+
+def between(a: str, b: str) -> tuple[str, str]:
+    """What is left of two lines without what they begin and end with alike."""
+    x, y = (np.frombuffer(line.encode("utf-32-le"), np.uint32) for line in (a, b))
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    head = int(other[0]) if len(other) else n
+    other = np.flatnonzero(x[len(x) - n + head :] != y[len(y) - n + head :])
+    tail = n - head - 1 - int(other[-1]) if len(other) else n - head
+    return a[head : len(a) - tail], b[head : len(b) - tail]
 
 
 def letters_apart(a: list[str], b: list[str]) -> np.ndarray:
@@ -368,23 +419,25 @@ def letters_apart(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether each pair of lines has the edit similarity: counts of letters first, then bands, narrow ones first, for lines of like lengths together; long ones singly, by words first."""
+    """Whether each pair of lines has the edit similarity: counts of letters first, then bands for lines of like lengths together; long ones singly, by words first."""
     size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     most = size * (DEN - NUM) // DEN
     least = letters_apart(a, b)
     out = least <= most
-    for k in np.flatnonzero(out & (size > LONG)):
-        out[k] = edits_by_words(a[k].split(" "), b[k].split(" ")) <= most[k] or edits_within(a[k], b[k], int(most[k]))
-    rest = np.flatnonzero(out & (size <= LONG))
-    rest = rest[np.argsort(size[rest], kind="stable")]
-    out[rest] = False
-    for within, numbers, cells, edits in (narrow_within, 0 * most + 1, NARROW_PAIRS, np.minimum(most, NARROW)), (bands_within, 2 * most + 1, CELLS, most):
-        waiting = rest[least[rest] <= edits[rest]]
-        while len(waiting):
-            some = max(1, int(np.searchsorted(np.arange(1, len(waiting) + 1) * numbers[waiting], cells)))
-            now, waiting = waiting[:some], waiting[some:]
-            out[now] = within([a[k] for k in now], [b[k] for k in now], edits[now])
-        rest = rest[~out[rest] & (most[rest] > NARROW)]
+    rest, inner = np.flatnonzero(out), {}
+    for k in rest:
+        inner[k] = x, y = between(a[k], b[k])
+        size[k] = max(len(x), len(y))
+    for k in rest[size[rest] > LONG]:
+        out[k] = edits_by_words(a[k].split(" "), b[k].split(" ")) <= most[k] or edits_within(*inner[k], int(most[k]))
+    rest = rest[(size[rest] > most[rest]) & (size[rest] <= LONG)]
+    words = most // (NARROW + 1) + 1
+    rest = rest[np.lexsort((size[rest], words[rest]))]
+    while len(rest):
+        wide = int(np.searchsorted(words[rest], words[rest[0]], "right"))
+        some = max(1, min(wide, int(np.searchsorted(np.arange(1, wide + 1) * size[rest[:wide]], CELLS))))
+        now, rest = rest[:some], rest[some:]
+        out[now] = narrow_within([inner[k][0] for k in now], [inner[k][1] for k in now], most[now], int(words[now[0]]))
     return out
 
 
@@ -411,21 +464,57 @@ def links_of(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of a stored table of nodes."""
-    return cut(lines.select("node", "words").join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("words").alias("words")))
+    """(node, words) of a stored table of nodes. Beyond FEW_IDS of them, lines that a filter does not let through are not moved."""
+    mine = lines.select("node", "words")
+    if wanted.count() <= FEW_IDS:
+        return settled(mine.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(F.min("words").alias("words")))
+    held = Bloom.of(wanted.select(F.col("node").alias("key")))
+    maybe = F.pandas_udf(lambda nodes: pd.Series(held.has(nodes.to_numpy(np.int64).view(U64))), "boolean")
+    return settled(mine.where(maybe("node")).groupBy("node").agg(F.min("words").alias("words")).join(wanted, "node", "left_semi"))
 
 
 def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines have the edit similarity. Only the words of lines in pairs are moved."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    texts = _texts(lines, cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    texts = _texts(lines, settled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     ends = [texts.select(F.col("node").alias(c), F.col("words").alias(f"w{c}")) for c in "ab"]
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(links_of(x.tolist(), y.tolist()))
+    def run(batches):
+        some, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                some.append(batch)
+                size += batch.nbytes
+            if some and (batch is None or size >= PAIR_BYTES):
+                table = pa.Table.from_batches(some)
+                links = links_of(table["wa"].to_pylist(), table["wb"].to_pylist())
+                yield from table.select(["a", "b"]).filter(pa.array(links)).to_batches()
+                some, size = [], 0
+
+    linked = in_batches(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "wa", "wb")).mapInArrow(trimmed(run), "a long, b long")
+    return settled(linked.distinct())
+
+
+def _repeated_keys(lines: DataFrame) -> DataFrame:
+    """(key, id, n, s0, s1) of each line and key, without most of the keys that stand once: two keys that share a place of the filter stay."""
+    keys = lines.select(F.explode("keys").alias("key"))
+    wanted = max(1, lines.agg(F.sum(F.size("keys"))).first()[0] or 0) * KEY_BITS
+    n_bits = min(-(-wanted // SEGMENT) * SEGMENT, MOST_BITS)
+    held = lines.sparkSession.sparkContext.broadcast(repeat_filter(keys, n_bits, 1))
+
+    def run(batches):
+        bits = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            key = lists.flatten().to_numpy()
+            places = filter_places(key.view(U64), n_bits, 1)[0]
+            some = np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())[some])
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), *(c.take(of) for c in batch.columns[1:])], names=["key", "id", "n", "s0", "s1"])
 
-    return cut(pairs.join(ends[0], "a").join(ends[1], "b").where(near("wa", "wb")).select("a", "b").distinct())
+    return lines.select("keys", F.col("node").alias("id"), "n", "s0", "s1").mapInArrow(trimmed(run), "key long, id long, n long, s0 long, s1 long")
 
 
 def _shared(lines: DataFrame) -> DataFrame:
@@ -497,17 +586,16 @@ def _shared(lines: DataFrame) -> DataFrame:
         if len(held[0]) and not large:
             yield met(held, 0)
 
-    rows = lines.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n", "s0", "s1")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long, n long, s0 long, s1 long")
+    return _repeated_keys(lines).repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long, n long, s0 long, s1 long")
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """``members`` with their ``component``, of the keys whose members are not all in one; of keys with the same members one."""
     labelled = members.drop("component").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    labelled = cut(labelled)
+    labelled = settled(labelled)
     sets = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("id")).alias("set"), F.count(F.lit(1)).alias("size"))
     mixed = sets.where("x <> y").groupBy("set", "size").agg(F.min("key").alias("key")).select("key")
-    return cut(labelled.join(mixed, "key", "left_semi"))
+    return settled(labelled.join(mixed, "key", "left_semi"))
 
 
 def _middle_pairs(members: DataFrame) -> DataFrame:
@@ -563,32 +651,32 @@ def _cells(lines: DataFrame, members: DataFrame) -> DataFrame:
     The lines of the keys of one hub are dealt by the hash of their id into pieces of about CELL, and every
     two pieces meet in a cell, so no group is held whole.
     """
-    mine = cut(members.groupBy("hub", "id").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "component"))))
+    mine = settled(members.groupBy("hub", "id").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "component"))))
     pieces = mine.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
     x = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x")
     spread = mine.join(pieces, "hub").select("*", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), x)
     spread = spread.withColumn("i", F.least("piece", "x")).withColumn("j", F.greatest("piece", "x")).drop("pieces", "x")
-    texts = _texts(lines, cut(mine.select(F.col("id").alias("node")).distinct())).select(F.col("node").alias("id"), "words")
+    texts = _texts(lines, settled(mine.select(F.col("id").alias("node")).distinct())).select(F.col("node").alias("id"), "words")
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put into few tasks
     cells = spread.join(texts, "id").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j")
-    return cut(cells.applyInPandas(_cell_links, "a long, b long"))
+    return settled(cells.applyInPandas(_cell_links, "a long, b long"))
 
 
 def _linked(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines with links."""
     shared = written(_shared(lines), "shared")
     links = _verified(lines, shared.where("key is null").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    found = cut(components(links))
+    found = settled(components(links))
     members = _mixed(shared.where("key is not null"), found)
     if members.isEmpty():
         return found
     more = _verified(lines, _middle_pairs(members))
     if not more.isEmpty():
         links = links.union(more)
-        found = cut(components(links))
+        found = settled(components(links))
         members = _mixed(members, found)
     new = _cells(lines, members)
-    return found if new.isEmpty() else cut(components(links.union(new)))
+    return found if new.isEmpty() else settled(components(links.union(new)))
 
 
 def _places(lists: DataFrame, name: str) -> DataFrame:
@@ -614,11 +702,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # lines that occur once and have no links are in no group
     every = lines.groupBy("node").agg(F.min(F.array_min("places")).alias("first"), F.sum(F.size("places")).alias("times"))
     linked = every.join(found, "node", "left").where("times > 1 or component is not null")
-    linked = cut(linked.select("node", F.coalesce("component", "node").alias("group"), "first"))
+    linked = settled(linked.select("node", F.coalesce("component", "node").alias("group"), "first"))
     stays = linked.groupBy("group").agg(F.min("first").alias("stays"))
     repeated = linked.select("node", "group").join(stays, "group").select("node", "stays")
     again = lines.select("node", "places").join(repeated, "node").select(F.explode("places").alias("at"), "stays").where(F.col("at") != F.col("stays")).select("at.*")
-    lists = _places(cut(again.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))), "gone")
+    lists = _places(settled(again.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))), "gone")
 
     joined = mine.join(lists, ["id", "th"], "left")
     parts = F.split("text", "\n")

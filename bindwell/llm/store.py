@@ -34,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut`` without what the planner has estimated of ``df``: for tables that are made from one another again and again.
+
+    A checkpoint keeps the estimated size of its plan, and a join's is the product of its sides'. Round after round that is a
+    number of millions of digits, which fills the driver. A join of such tables is planned by what its sides turn out to be.
+    """
+    rows, spark = cut(df)._jdf.queryExecution().toRdd(), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once and kept as a compressed table in the shared folder: for the large ones."""
     path = fresh_path(df.sparkSession, name)
