@@ -27,6 +27,7 @@ many words by a letter each may have the edit similarity and share no key.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections import Counter
 from itertools import chain
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 from bindwell.llm.bloom import Bloom
 from bindwell.llm.dedup_exact import SEGMENT, filter_places, repeat_filter
 from bindwell.llm.graph import components
-from bindwell.llm.jaccard import CELL, Rule, Sketches, all_keys, parity_sketches
+from bindwell.llm.jaccard import Rule, Sketches, all_keys, parity_sketches
 from bindwell.llm.store import BROADCAST_IDS, settled, written
 from bindwell.llm.text import ALNUM, LOWER, U64, Words, in_batches, map_texts, mix, trimmed
 
@@ -65,8 +66,14 @@ PAIR_BYTES = 24 << 20
 KEY_BITS, MOST_BITS = 16, 1 << 29
 #: Ids that are broadcast as such (about 20 MB at the driver); more are looked up in a filter of bounded size first.
 FEW_IDS = 200_000
-#: Pairs of a cell that are verified before the next ones are looked at.
-PAIRS = 2000
+#: Pairs that are handled together, and lines of a cell that meet the others together.
+PAIRS, ROWS = 2000, 64
+#: Lines of a piece of a large group.
+CELL = 1024
+#: Pairs of cells that are compared together.
+TOGETHER_PAIRS = 8000
+#: Logarithm of the ratio of a class of lengths to the next: lines that link are in one class or in neighbours.
+LENGTHS = 1.0001 * math.log(DEN / NUM)
 
 #: Lines of more characters are compared singly; characters of lines that are compared together.
 LONG, CELLS = 3000, 1_000_000
@@ -206,14 +213,14 @@ def _node(line: bytes) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """The distinct lines with words of each slice of documents: (node, words, n, s0, s1, keys, places).
+    """The distinct lines with words of each slice of documents: (node, words, n, size, s0, s1, keys, places).
 
-    The node is a 64-bit digest of the normalised line ``words``, ``n`` its number of distinct words,
+    The node is a 64-bit digest of the normalised line ``words``, ``n`` its number of distinct words, ``size`` that of its characters,
     ``s0`` and ``s1`` their sketch; ``places`` are (id, line, th) of its occurrences in the slice.
     """
     place = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "line", "th")])
     schema = T.StructType([
-        T.StructField("node", T.LongType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()),
+        T.StructField("node", T.LongType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(place)),
     ])
 
@@ -236,11 +243,11 @@ def _lines(docs: DataFrame) -> DataFrame:
         key, owner = line_keys(tokens, rows, len(known))
         signs = np.array([_node(b"signs " + x.replace(b" ", b"")) for x in known], np.int64).view(U64)
         key, owner = np.concatenate((key, signs)), np.concatenate((owner, np.arange(len(known))))
-        at = pa.array(row, pa.int64())
+        at, words = pa.array(row, pa.int64()), pa.array(list(known), pa.binary()).cast(pa.string())
         places = pa.StructArray.from_arrays([batch.column(0).take(at), pa.array(number, pa.int64()), batch.column(1).take(at)], ["id", "line", "th"])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([_node(x) for x in known], pa.int64()), pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
+                pa.array([_node(x) for x in known], pa.int64()), words, pa.array(n, pa.int64()), pc.utf8_length(words).cast(pa.int64()),
                 pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), listed(pa.array(key.view(np.int64)), owner, len(known)), listed(places, np.array(which, np.int64), len(known)),
             ],
             names=schema.names,
@@ -402,6 +409,11 @@ def between(a: str, b: str) -> tuple[str, str]:
     return a[head : len(a) - tail], b[head : len(b) - tail]
 
 
+def lengths_near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether numbers of characters allow a link: what one line has more is at least so many edits."""
+    return DEN * np.abs(x - y) <= (DEN - NUM) * np.maximum(x, y)
+
+
 def letters_apart(a: list[str], b: list[str]) -> np.ndarray:
     """A number of edits that each pair needs at least: an edit takes one character away and adds one at most, so counts of characters tell."""
 
@@ -496,7 +508,7 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _repeated_keys(lines: DataFrame) -> DataFrame:
-    """(key, id, n, s0, s1) of each line and key, without most of the keys that stand once: two keys that share a place of the filter stay."""
+    """(key, id, n, size, s0, s1) of each line and key, without most of the keys that stand once: two keys that share a place of the filter stay."""
     keys = lines.select(F.explode("keys").alias("key"))
     wanted = max(1, lines.agg(F.sum(F.size("keys"))).first()[0] or 0) * KEY_BITS
     n_bits = min(-(-wanted // SEGMENT) * SEGMENT, MOST_BITS)
@@ -512,24 +524,24 @@ def _repeated_keys(lines: DataFrame) -> DataFrame:
             places = filter_places(key.view(U64), n_bits, 1)[0]
             some = np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
             of = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())[some])
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), *(c.take(of) for c in batch.columns[1:])], names=["key", "id", "n", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), *(c.take(of) for c in batch.columns[1:])], names=["key", "id", "n", "size", "s0", "s1"])
 
-    return lines.select("keys", F.col("node").alias("id"), "n", "s0", "s1").mapInArrow(trimmed(run), "key long, id long, n long, s0 long, s1 long")
+    return lines.select("keys", F.col("node").alias("id"), "n", "size", "s0", "s1").mapInArrow(trimmed(run), "key long, id long, n long, size long, s0 long, s1 long")
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """What meets at the keys: (key, id, hub, n, s0, s1) of the lines of keys with more than FEW, and without a key the pairs (id, hub) that sizes and sketches allow.
+    """What meets at the keys: (key, id, hub, n, size, s0, s1) of the lines of keys with more than FEW, and without a key the pairs (id, hub) that sizes and sketches allow.
 
     The pairs are all those of a key's lines if these are few, else those of each with the key's smallest.
     """
     rule = LineRule()
 
     def run(batches):
-        held, large = [np.empty(0, np.int64)] * 5, False  # rows of the last key, which may go on; of a large one the first and the last row alone
+        held, large = [np.empty(0, np.int64)] * 6, False  # rows of the last key, which may go on; of a large one the first and the last row alone
 
         def met(columns: list[np.ndarray], known: int) -> pa.RecordBatch:
             """Of rows of whole keys; the first ``known`` have been given already as lines of a large key."""
-            key, ident, n, *sketch = columns
+            key, ident, n, chars, *sketch = columns
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(start, len(key)))
             group = np.repeat(np.arange(len(start)), size)
@@ -541,7 +553,7 @@ def _shared(lines: DataFrame) -> DataFrame:
             def fits(x, y):
                 low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                 apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in (c.view(U64) for c in sketch))
-                fit = np.flatnonzero((low * rule.den >= high * rule.num) & rule.near(apart, low + high))
+                fit = np.flatnonzero((low * rule.den >= high * rule.num) & rule.near(apart, low + high) & lengths_near(chars[x], chars[y]))
                 first.append(x[fit])
                 second.append(y[fit])
 
@@ -556,8 +568,8 @@ def _shared(lines: DataFrame) -> DataFrame:
             a, b = ident[np.concatenate(first)], ident[np.concatenate(second)]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             none = pa.nulls(len(pairs), pa.int64())
-            both = zip([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], [key[many], ident[many], ident[hub], *(c[many] for c in columns[2:])], strict=True)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y)]) for x, y in both], names=["key", "id", "hub", "n", "s0", "s1"])
+            both = zip([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, none], [key[many], ident[many], ident[hub], *(c[many] for c in columns[2:])], strict=True)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y)]) for x, y in both], names=["key", "id", "hub", "n", "size", "s0", "s1"])
 
         def several():
             some, size = [], 0
@@ -586,7 +598,7 @@ def _shared(lines: DataFrame) -> DataFrame:
         if len(held[0]) and not large:
             yield met(held, 0)
 
-    return _repeated_keys(lines).repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long, n long, s0 long, s1 long")
+    return _repeated_keys(lines).repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, hub long, n long, size long, s0 long, s1 long")
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -602,64 +614,128 @@ def _middle_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key's member that shares most keys with others and those of other components, if sizes and sketches allow them."""
     rule = LineRule()
     shared = members.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    best = F.max_by(F.struct("id", "component", "n", "s0", "s1"), F.struct("shared", -F.col("id")))
+    best = F.max_by(F.struct("id", "component", "n", "size", "s0", "s1"), F.struct("shared", -F.col("id")))
     hubs = members.join(shared, "id").groupBy("key").agg(best.alias("h"))
     apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"h.{s}"))) for s in ("s0", "s1")), F.lit(0))
     total, low, high = F.col("n") + F.col("h.n"), F.least("n", "h.n"), F.greatest("n", "h.n")
     most = F.greatest(F.floor(total * (rule.den - rule.num) / (rule.den + rule.num)), F.lit(3))
-    pairs = members.join(hubs, "key").where((F.col("component") != F.col("h.component")) & (low * rule.den >= high * rule.num) & (apart <= most))
+    lengths = DEN * F.abs(F.col("size") - F.col("h.size")) <= (DEN - NUM) * F.greatest("size", "h.size")
+    pairs = members.join(hubs, "key").where(lengths & (F.col("component") != F.col("h.component")) & (low * rule.den >= high * rule.num) & (apart <= most))
     return pairs.select(F.col("h.id").alias("a"), F.col("id").alias("b"))
 
 
-def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) between the components of a cell, of lines that share a key: as many as join them, no more.
+def _cell_pairs(cell: pa.Table) -> np.ndarray:
+    """Pairs (rows of a cell) of lines that sizes, lengths and sketches allow, and that share a key and are of different components.
 
-    Pairs are looked at where sizes and sketches allow them; once linked, components are one.
+    Lines of the cell's own piece of those that meet all meet those of its own piece of all.
     """
     rule = LineRule()
-    ident, n, piece = (cell[c].to_numpy() for c in ("id", "n", "piece"))
-    sketch = cell[["s0", "s1"]].to_numpy().astype(np.int64).view(U64)
-    keys, words = [frozenset(map(int, x)) for x in cell["keys"]], cell["words"].tolist()
-    _, label = np.unique(cell["component"].to_numpy(), return_inverse=True)
-    across = cell["i"].iloc[0] != cell["j"].iloc[0]
-    found = []
-
-    def verify(pairs: list[tuple[int, int]]) -> None:
-        pairs = [(x, y) for x, y in pairs if label[x] != label[y] and not keys[x].isdisjoint(keys[y])]
-        for (x, y), link in zip(pairs, links_of([words[x] for x, _ in pairs], [words[y] for _, y in pairs]).tolist(), strict=True):
-            if link and label[x] != label[y]:
-                found.append((ident[x], ident[y]))
-                label[label == label[y]] = label[x]
-
-    waiting: list[tuple[int, int]] = []
-    for x in range(len(cell) - 1):
-        y = np.arange(x + 1, len(cell))
-        y = y[(label[y] != label[x]) & (piece[y] != piece[x] if across else True)]
-        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-        sizes = np.minimum(n[y], n[x]) * rule.den >= np.maximum(n[y], n[x]) * rule.num
-        waiting += [(x, k) for k in y[sizes & rule.near(apart, n[y] + n[x])].tolist()]
-        if len(waiting) >= PAIRS:
-            verify(waiting)
-            waiting = []
-    verify(waiting)
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    ident, n, chars, home, meets, piece, label = (cell[c].to_numpy() for c in ("id", "n", "size", "home", "meets", "piece", "component"))
+    s0, s1 = (cell[c].to_numpy().view(U64) for c in ("s0", "s1"))
+    left, right = np.flatnonzero(meets == cell["i"][0].as_py()), np.flatnonzero(piece == cell["j"][0].as_py())
+    found = [np.empty((0, 2), np.int64)]
+    for k in range(0, len(left), ROWS):
+        x, y = left[k : k + ROWS, None], right[None, :]
+        apart = (np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])).astype(np.int64)
+        fit = rule.near(apart, n[x] + n[y]) & (label[x] != label[y]) & (home[x] | home[y]) & lengths_near(chars[x], chars[y])
+        fit &= (meets[y] < 0) | (ident[x] < ident[y])  # two that meet all meet once
+        fit &= np.minimum(n[x], n[y]) * rule.den >= np.maximum(n[x], n[y]) * rule.num
+        u, v = np.nonzero(fit)
+        found.append(np.stack([left[k + u], right[v]], axis=1))
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return pairs
+    rows, at = np.unique(pairs, return_inverse=True)
+    keys = [frozenset(x) for x in cell["keys"].take(pa.array(rows)).to_pylist()]
+    return pairs[[not keys[x].isdisjoint(keys[y]) for x, y in at.reshape(-1, 2).tolist()]]
+
+
+def _cell_links(batches):
+    """Links (a, b) between the components of cells, whose rows stand together: as many as join them, no more.
+
+    Pairs of several cells are compared together; once linked, components are one.
+    """
+    joined: dict[int, int] = {}
+    waiting, size, rest, read = [], 0, [], 0
+
+    def root(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = joined.get(up, up)
+            x = up
+        return x
+
+    def links() -> pa.RecordBatch:
+        table = pa.concat_tables(waiting)
+        a, b = ([root(x) for x in table[c].to_pylist()] for c in ("ca", "cb"))
+        table = table.filter(pa.array(np.array(a, np.int64) != np.array(b, np.int64)))
+        found = []
+        hit = table.filter(pa.array(links_of(table["wa"].to_pylist(), table["wb"].to_pylist())))
+        for x, y, of_x, of_y in zip(*(hit[c].to_pylist() for c in ("a", "b", "ca", "cb")), strict=True):
+            if (of_x := root(of_x)) != (of_y := root(of_y)):
+                joined[of_x] = of_y
+                found.append((x, y))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            rest.append(batch)
+            read += batch.nbytes
+        if not rest or batch is not None and read < PAIR_BYTES:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        label = np.stack([table[c].to_numpy().astype(np.int64) for c in ("hub", "length", "i", "j")])
+        starts = [0, *(np.flatnonzero((label[:, 1:] != label[:, :-1]).any(axis=0)) + 1).tolist()]
+        ends = [*starts[1:], table.num_rows] if batch is None else starts[1:]  # the last cell may go on
+        for first, end in zip(starts, ends, strict=False):
+            cell = table.slice(first, end - first)
+            pairs = _cell_pairs(cell)
+            for k in range(0, len(pairs), PAIRS):
+                x, y = (pa.array(side) for side in pairs[k : k + PAIRS].T)
+                ends_of = [cell.select(["id", "component", "words"]).take(side) for side in (x, y)]
+                waiting.append(pa.table([c for columns in zip(*(e.columns for e in ends_of), strict=True) for c in columns], names=["a", "b", "ca", "cb", "wa", "wb"]))
+                size += len(x)
+                if size >= TOGETHER_PAIRS:
+                    yield links()
+                    waiting, size = [], 0
+        rest = [] if batch is None else table.slice(starts[-1]).to_batches()
+        read = sum(x.nbytes for x in rest)
+    if waiting:
+        yield links()
 
 
 def _cells(lines: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between lines of one key and of different components.
 
-    The lines of the keys of one hub are dealt by the hash of their id into pieces of about CELL, and every
-    two pieces meet in a cell, so no group is held whole.
+    The lines of the keys of one hub are a group; those of a hub with more than CELL are dealt by their length, in classes of a
+    tenth, and a class and the next shorter one are a group. Lines of its largest component meet the others only: those are dealt into pieces of about CELL by the hash of their
+    id, and so are all lines, and every piece of the others and every piece of all meet in a cell, so no group is held whole.
     """
-    mine = settled(members.groupBy("hub", "id").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "component"))))
-    pieces = mine.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("pieces"))
-    x = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("x")
-    spread = mine.join(pieces, "hub").select("*", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"), x)
-    spread = spread.withColumn("i", F.least("piece", "x")).withColumn("j", F.greatest("piece", "x")).drop("pieces", "x")
-    texts = _texts(lines, settled(mine.select(F.col("id").alias("node")).distinct())).select(F.col("node").alias("id"), "words")
+    mine = settled(members.groupBy("hub", "id").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("n", "size", "s0", "s1", "component"))))
+    many = mine.join(mine.groupBy("hub").agg((F.count(F.lit(1)) > CELL).alias("many")), "hub")
+    own = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / LENGTHS)
+    own = F.when(F.col("many"), own).otherwise(F.lit(0).cast("long"))
+    classes = F.when(F.col("many"), F.array(own, own + 1)).otherwise(F.array(own))
+    near = many.select("hub", "id", "component", own.alias("own"), F.explode(classes).alias("length"))
+    near = near.select("hub", "length", "id", "component", (F.col("own") == F.col("length")).alias("home"))
+    counts = near.groupBy("hub", "length", "component").agg(F.count(F.lit(1)).alias("lines"), F.max("home").alias("home"))
+    largest = F.max(F.struct("lines", "component"))
+    sizes = counts.groupBy("hub", "length").agg(F.sum("lines").alias("lines"), largest.alias("most"), F.max("home").alias("home"))
+    sizes = sizes.where(F.col("home") & (F.col("lines") > F.col("most.lines")))
+    pieces = [F.ceil(x / CELL).cast("int").alias(c) for x, c in ((F.col("lines"), "pieces"), (F.col("lines") - F.col("most.lines"), "others"))]
+    dealt = near.join(sizes.select("hub", "length", F.col("most.component").alias("largest"), *pieces), ["hub", "length"])
+    piece = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    dealt = dealt.withColumn("piece", piece("pieces")).withColumn("meets", F.when(F.col("component") == F.col("largest"), F.lit(-1)).otherwise(piece("others")))
+    each = lambda c, cell: F.transform(F.sequence(F.lit(0), F.col(c) - 1), cell)
+    row = each("others", lambda x: F.struct(x.alias("i"), F.col("piece").alias("j")))
+    column = F.when(F.col("meets") >= 0, each("pieces", lambda x: F.struct(F.col("meets").alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    spread = dealt.select("hub", "length", "id", "home", "meets", "piece", F.explode(F.array_union(row, column)).alias("cell"))
+    spread = settled(spread.select("hub", "length", "id", "home", "meets", "piece", "cell.*"))
+    texts = _texts(lines, settled(spread.select(F.col("id").alias("node")).distinct())).select(F.col("node").alias("id"), "words")
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be put into few tasks
-    cells = spread.join(texts, "id").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j")
-    return settled(cells.applyInPandas(_cell_links, "a long, b long"))
+    cell = ["hub", "length", "i", "j"]
+    rows = spread.join(mine, ["hub", "id"]).join(texts, "id").repartition(tasks, *cell).sortWithinPartitions(*cell)
+    return settled(in_batches(rows).mapInArrow(trimmed(_cell_links), "a long, b long"))
 
 
 def _linked(lines: DataFrame) -> DataFrame:

@@ -62,3 +62,25 @@ def test_wide_bands_give_the_edit_distance():
         true = [distance(*p) for p in zip(a, b, strict=True)]
         assert line_dedup.narrow_within(a, b, np.full(40, most), words).tolist() == [d <= most for d in true]
         assert [distance(*line_dedup.between(*p)) for p in zip(a, b, strict=True)] == true
+
+
+def test_cells_of_any_size_give_the_same_components(spark, monkeypatch):
+    """Large groups are dealt by length and into pieces; rows of cells may be cut into batches anywhere."""
+    rng = random.Random(28)
+    lines = []
+    for base in (letters(rng, 12), letters(rng, 30)):
+        for _ in range(60):
+            words = base.split() + ["".join(rng.choices("klmnop", k=rng.choice([2, 9, 17]))) for _ in range(2)]
+            lines += [" ".join(words), " ".join(words)[:-1] + "z"]
+    stored = line_dedup.written(line_dedup._lines(table(spark, lines).selectExpr("doc_id as id", "xxhash64(text) as th", "text")), "lines")
+    members = line_dedup.written(line_dedup._shared(stored).where("key is not null"), "members")
+    members = line_dedup._mixed(members, spark.createDataFrame([], "node long, component long"))
+
+    def found():
+        return sorted(map(tuple, graph.components(line_dedup._cells(stored, members)).collect()))
+
+    whole = found()
+    monkeypatch.setattr(line_dedup, "CELL", 8)
+    monkeypatch.setattr(line_dedup, "TOGETHER_PAIRS", 5)
+    monkeypatch.setattr(line_dedup, "PAIR_BYTES", 2000)
+    assert found() == whole and len(whole) > 100
